@@ -10,17 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
-
-
-def order_levels(ord_col: str = "ord") -> list[tuple[str, Column]]:
-    """Coarse-to-fine split of a bigint: no level groups more than 2**20 values of the next."""
-    base = F.col(ord_col)
-    return [
-        ("__l0", F.shiftright(base, 2 * BLOCK_BITS)),
-        ("__l1", F.shiftright(base, BLOCK_BITS)),
-        ("__l2", base),
-    ]
+BLOCK_BITS = 12
+SUPER_BITS = 32
 
 
 def running_total(
@@ -28,44 +19,37 @@ def running_total(
 ) -> DataFrame:
     """Add `out`: the sum of `value` over all rows of `keys` up to and including this one.
 
-    Rows are ordered by `ord_col` (bigint), then by the columns in `then`. Keys must
-    not be null. Rows that share `keys`, `ord_col` and all of `then` must not exist;
-    rows that share only `ord_col` come from one input record, so they are few.
-    """
-    levels = order_levels(ord_col)
-    names = [name for name, _ in levels] + list(then)
-    rows = df.withColumn("__value", value.cast("bigint"))
-    for name, expr in levels:
-        rows = rows.withColumn(name, expr)
-
-    blocks = rows.groupBy(*keys, *names[:-1]).agg(F.sum("__value").alias("__sum"))
-    sums = {len(names) - 1: blocks}
-    for depth in range(len(names) - 2, 0, -1):
-        sums[depth] = sums[depth + 1].groupBy(*keys, *names[:depth]).agg(F.sum("__sum").alias("__sum"))
-
-    offsets: DataFrame | None = None
-    for depth in range(1, len(names)):
-        prefix = names[:depth]
-        earlier = (
-            Window.partitionBy(*keys, *prefix[:-1]).orderBy(prefix[-1])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        level = sums[depth].select(
-            *keys, *prefix, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before")
-        )
-        if offsets is not None:
-            level = level.join(offsets, [*keys, *prefix[:-1]]).select(
-                *keys, *prefix, (F.col("__before") + F.col("__offset")).alias("__before")
-            )
-        offsets = level.withColumnRenamed("__before", "__offset")
+    Rows are ordered by `ord_col`, a sequence number (bigint), then by the columns in
+    `then`; no two rows of a key may agree in all of them. Keys must not be null.
 
+    A block is 2**12 sequence numbers, a super-block 2**32. Windows see one block of
+    rows, one super-block of block sums (2**20 at most), or a key's super-block sums.
+    `df` occurs three times in the plan: pass a written table if it is costly.
+    """
+    block, super_ = "__block", "__super"
+    rows = df.withColumn("__value", value.cast("bigint")).withColumns({
+        super_: F.shiftright(F.col(ord_col), SUPER_BITS), block: F.shiftright(F.col(ord_col), BLOCK_BITS),
+    })
+    block_sums = rows.groupBy(*keys, super_, block).agg(F.sum("__value").alias("__sum"))
+    super_sums = block_sums.groupBy(*keys, super_).agg(F.sum("__sum").alias("__sum"))
+
+    def before(partition: list[str], by: str) -> Column:
+        earlier = Window.partitionBy(*partition).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("__sum").over(earlier), F.lit(0))
+
+    super_offsets = super_sums.select(*keys, super_, before(keys, super_).alias("__super_offset"))
+    offsets = (
+        block_sums.withColumn("__in_super", before([*keys, super_], block))
+        .join(super_offsets, [*keys, super_])
+        .select(*keys, super_, block, (F.col("__in_super") + F.col("__super_offset")).alias("__offset"))
+    )
     inside = (
-        Window.partitionBy(*keys, *names[:-1]).orderBy(names[-1])
+        Window.partitionBy(*keys, super_, block).orderBy(ord_col, *then)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         rows.withColumn("__inside", F.sum("__value").over(inside))
-        .join(offsets, [*keys, *names[:-1]])
+        .join(offsets, [*keys, super_, block])
         .withColumn(out, F.col("__inside") + F.col("__offset"))
         .select(*df.columns, out)
     )

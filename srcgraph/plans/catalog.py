@@ -12,7 +12,7 @@ from srcgraph.operators import (
     build, extract, files, layout, prompts, report, requests, resolve, responses, search,
 )
 from srcgraph.plans import fixtures
-from srcgraph.plans.analysis import analyze
+from srcgraph.plans.analysis import Workspace, analyze
 from srcgraph.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,21 +377,26 @@ def entity_nodes(spark, sf):
         F.col("metadata.database.db_type").alias("db_type"))
 
 
+def saved_entities(spark, sf):
+    """Entity nodes as a written table: the order-dependent steps read them several times."""
+    return Workspace(spark).saved("entities", entity_nodes_of(spark, sf).drop("metadata"))
+
+
 @query
 def relates_to(spark, sf):
-    return build.relates_to(entity_nodes_of(spark, sf))
+    return build.relates_to(saved_entities(spark, sf))
 
 
 @query
 def relates_to_raw_count(spark, sf):
     k = kept(spark, sf)
     passed = prompts.content_gates(k).filter("data_gate").select(F.col("repo_id").alias("session_id"), "ord")
-    return build.relates_to_raw_count(passed, entity_nodes_of(spark, sf))
+    return build.relates_to_raw_count(passed, saved_entities(spark, sf))
 
 
 @query
 def relates_to_resolved(spark, sf):
-    nodes = entity_nodes_of(spark, sf)
+    nodes = saved_entities(spark, sf)
     return build.relates_to_resolved(nodes, resolve.node_id_map(nodes))
 
 
