@@ -45,24 +45,27 @@ def _value(rule: Rule) -> Column:
 def extract(files: DataFrame, rules: tuple[Rule, ...], language_mode: str = "repo") -> DataFrame:
     """`(repo_id, ord, path, kind, rule, rule_rank, match_pos, value)` for every match.
 
+    `rule_rank` counts within a kind, so findings do not depend on what else is extracted.
+
     language_mode "repo" applies the rules of the repository's primary language to
     all its files; "file" goes by each file's own extension.
     """
     families = {i: rule.family for i, rule in enumerate(rules)}
     found = F.array(*[
-        F.struct(F.lit(i).alias("rule_rank"), _matches(rule).alias("hits")) for i, rule in enumerate(rules)
+        F.struct(F.lit(i).alias("rule_no"), _matches(rule).alias("hits")) for i, rule in enumerate(rules)
     ])
     rows = (
         files.select("repo_id", "ord", "path", F.explode(found).alias("f"))
-        .select("repo_id", "ord", "path", "f.rule_rank", F.posexplode_outer("f.hits").alias("match_pos", "match"))
+        .select("repo_id", "ord", "path", "f.rule_no", F.posexplode_outer("f.hits").alias("match_pos", "match"))
         .filter(F.col("match").isNotNull())
     )
-    rank = F.col("rule_rank")
+    ranks = [[r.kind for r in rules[:i]].count(rule.kind) for i, rule in enumerate(rules)]
 
-    def by_rule(pick) -> Column:
-        expr = F.when(F.lit(False), F.lit(None).cast("string"))
-        for i, rule in enumerate(rules):
-            expr = expr.when(rank == i, pick(rule))
+    def by_rule(pick, values=rules) -> Column:
+        expr = None
+        for i, value in enumerate(values):
+            case = F.col("rule_no") == i
+            expr = F.when(case, pick(value)) if expr is None else expr.when(case, pick(value))
         return expr
 
     rows = rows.select(
@@ -70,7 +73,7 @@ def extract(files: DataFrame, rules: tuple[Rule, ...], language_mode: str = "rep
         by_rule(lambda r: F.lit(r.kind)).alias("kind"),
         by_rule(lambda r: F.lit(r.name)).alias("rule"),
         by_rule(lambda r: F.lit(r.family)).alias("rule_family"),
-        "rule_rank", "match_pos",
+        by_rule(F.lit, ranks).alias("rule_rank"), "match_pos",
         by_rule(_value).alias("value"),
     )
     if any(families.values()):

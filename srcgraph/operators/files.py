@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcgraph.functions.ranking import first_n
-from srcgraph.functions.text import detect_language, language_family, strip_root
+from srcgraph.functions.text import LANGUAGE_FAMILY, detect_language, language_family, strip_root
 
 # The sizes of the reference's samples, off unless a caller passes them.
 REFERENCE_CAPS = {
@@ -132,12 +132,19 @@ def repo_languages(files: DataFrame) -> DataFrame:
 
 
 def primary_language(files: DataFrame) -> DataFrame:
-    """One row per repository with any known file: the language of its first one."""
-    return (
+    """One row per repository with any known file: the language of its first one.
+
+    The language travels as a number, so that the aggregate can hash instead of sort.
+    """
+    names = list(LANGUAGE_FAMILY)
+    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("language")).cast("int")
+    first = (
         known_files(files.select("repo_id", "ord", "path"))
-        .groupBy("repo_id").agg(F.min_by("language", "ord").alias("primary_language"))
-        .withColumn("family", language_family(F.col("primary_language")))
+        .groupBy("repo_id").agg(F.min_by(code, "ord").alias("code"))
     )
+    return first.select(
+        "repo_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code")).alias("primary_language"),
+    ).withColumn("family", language_family(F.col("primary_language")))
 
 
 def detect_framework(files: DataFrame, content_files: int | None = None) -> DataFrame:
