@@ -29,15 +29,19 @@ def build_session(app_name: str = "srcgraph", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and checkpoints.
 
     A cluster names it in spark.checkpoint.dir. Only where that is unset (tests,
-    a single machine) a temporary folder is used.
+    a single machine) one temporary folder per process is used.
     """
+    global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    made = tempfile.mkdtemp(prefix="srcgraph-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="srcgraph-")
+    return _own_dir
