@@ -131,17 +131,29 @@ def extract_env_vars(files: DataFrame) -> DataFrame:
     )
 
 
-def _sdk_hits(files: DataFrame, role: Column) -> DataFrame:
-    """One row per file and service found in it, with the file's role and environment keys."""
+def _needles(pattern: str) -> list[str]:
+    """Texts of an alternation, without those that contain another one."""
+    words = pattern.split("|")
+    return [w for w in words if not any(o != w and o in w for o in words)]
+
+
+def _sdk_rows(files: DataFrame, role: Column) -> DataFrame:
+    """One row per file and service found in it, with the file's role and environment keys.
+
+    Plain searches in the lower-cased text go first; the case-blind regex, which alone
+    decides, then runs only where one of them succeeds.
+    """
     content = F.col("content")
+    lowered = files.withColumn("__lower", F.lower(content))
     hits = F.filter(
         F.array(*[
-            F.when(content.rlike(f"(?i){pattern}"), F.lit(i)) for i, (_, _, pattern) in enumerate(SDK_RULES)
+            F.when(contains_any(F.col("__lower"), _needles(pattern)) & content.rlike(f"(?i){pattern}"), F.lit(i))
+            for i, (_, _, pattern) in enumerate(SDK_RULES)
         ]),
         lambda x: x.isNotNull(),
     )
     keys = F.when(F.col("is_config"), env_keys_of(content)).alias("keys")
-    return files.select("repo_id", "ord", role.alias("role"), keys, F.explode_outer(hits).alias("sdk")).filter(
+    return lowered.select("repo_id", "ord", role.alias("role"), keys, F.explode_outer(hits).alias("sdk")).filter(
         F.col("sdk").isNotNull()
     )
 
@@ -153,11 +165,14 @@ def _by_sdk(pick) -> Column:
     return expr
 
 
-def _sdk_scan(files: DataFrame, config_cap: int | None, source_cap: int | None) -> DataFrame:
+def sdk_hits(files: DataFrame, caps: dict | None = None) -> DataFrame:
     """Hits in config files and in known source files: `(repo_id, ord, sdk, is_config, keys)`.
 
-    With limits, the files that take part are chosen from paths first.
+    The one scan behind detect_sdks and sdk_env_keys; write it to a table to use both.
+    With limits, the files that take part are chosen from paths.
     """
+    caps = caps or {}
+    config_cap, source_cap = caps.get("infra_config"), caps.get("infra_source")
     marked = with_language(files).withColumn("is_config", F.col("path").rlike(CONFIG_PATH))
     known = F.col("language") != "unknown"
     if config_cap is not None or source_cap is not None:
@@ -171,7 +186,7 @@ def _sdk_scan(files: DataFrame, config_cap: int | None, source_cap: int | None)
         chosen = config.select("repo_id", "ord", F.lit(True).alias("as_config")).unionByName(
             source.select("repo_id", "ord", F.lit(False).alias("as_config"))
         )
-        hits = _sdk_hits(marked.filter(F.col("is_config") | known), F.lit(None))
+        hits = _sdk_rows(marked.filter(F.col("is_config") | known), F.lit(None))
         return hits.join(chosen, ["repo_id", "ord"]).select(
             "repo_id", "ord", "sdk", F.col("as_config").alias("is_config"), "keys"
         )
@@ -179,7 +194,7 @@ def _sdk_scan(files: DataFrame, config_cap: int | None, source_cap: int | None)
     roles = F.when(F.col("is_config") & known, F.array(F.lit(True), F.lit(False))).otherwise(
         F.array(F.col("is_config"))
     )
-    hits = _sdk_hits(marked.filter(F.col("is_config") | known), roles)
+    hits = _sdk_rows(marked.filter(F.col("is_config") | known), roles)
     return hits.select("repo_id", "ord", "sdk", F.explode("role").alias("is_config"), "keys")
 
 
@@ -196,8 +211,10 @@ def detect_sdks(files: DataFrame, caps: dict | None = None) -> DataFrame:
     environment keys of every config file that shows it; one seen only in source
     files is named after itself and has no keys. `ord` is the first file that counts.
     """
-    caps = caps or {}
-    hits = _sdk_scan(files, caps.get("infra_config"), caps.get("infra_source"))
+    return sdks_from_hits(sdk_hits(files, caps))
+
+
+def sdks_from_hits(hits: DataFrame) -> DataFrame:
     n_keys = F.when(F.col("is_config"), F.size(_own_keys())).otherwise(0)
     found = (
         hits.withColumn("n_keys", n_keys)
@@ -226,8 +243,10 @@ def detect_sdks(files: DataFrame, caps: dict | None = None) -> DataFrame:
 
 def sdk_env_keys(files: DataFrame, caps: dict | None = None) -> DataFrame:
     """`(repo_id, name, ord, pos, env_key)`: keys of each service, file by file, repeats kept."""
-    caps = caps or {}
-    hits = _sdk_scan(files, caps.get("infra_config"), caps.get("infra_source"))
+    return env_keys_from_hits(sdk_hits(files, caps))
+
+
+def env_keys_from_hits(hits: DataFrame) -> DataFrame:
     return (
         hits.filter("is_config")
         .select("repo_id", "ord", _by_sdk(lambda n, c, p: n).alias("name"),

@@ -136,15 +136,23 @@ def primary_language(files: DataFrame) -> DataFrame:
 
     The language travels as a number, so that the aggregate can hash instead of sort.
     """
-    names = list(LANGUAGE_FAMILY)
-    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("language")).cast("int")
-    first = (
-        known_files(files.select("repo_id", "ord", "path"))
-        .groupBy("repo_id").agg(F.min_by(code, "ord").alias("code"))
+    first = known_files(files.select("repo_id", "ord", "path")).groupBy("repo_id").agg(_first_language())
+    return _decoded(first)
+
+
+def _first_language() -> Column:
+    names = F.array(*[F.lit(n) for n in LANGUAGE_FAMILY])
+    known = F.col("language") != "unknown"
+    code = F.array_position(names, F.col("language")).cast("int")
+    return F.min_by(code, F.when(known, F.col("ord"))).alias("code")
+
+
+def _decoded(df: DataFrame) -> DataFrame:
+    """`code` to `primary_language` and `family`; null where a repository has no known file."""
+    names = F.array(*[F.lit(n) for n in LANGUAGE_FAMILY])
+    return df.withColumn("primary_language", F.try_element_at(names, F.col("code"))).drop("code").withColumn(
+        "family", language_family(F.col("primary_language"))
     )
-    return first.select(
-        "repo_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("code")).alias("primary_language"),
-    ).withColumn("family", language_family(F.col("primary_language")))
 
 
 def detect_framework(files: DataFrame, content_files: int | None = None) -> DataFrame:
@@ -152,6 +160,15 @@ def detect_framework(files: DataFrame, content_files: int | None = None) -> Data
 
     Each piece of evidence becomes a boolean in the scan, so only booleans are shuffled.
     """
+    return _profiled(files, content_files).select("repo_id", "framework")
+
+
+def repo_profile(files: DataFrame, content_files: int | None = None) -> DataFrame:
+    """One row per repository: framework and primary language (null when no file is known)."""
+    return _decoded(_profiled(files, content_files))
+
+
+def _profiled(files: DataFrame, content_files: int | None) -> DataFrame:
     known = F.col("language") != "unknown"
     marked = with_language(files)
     flags = []
@@ -167,21 +184,16 @@ def detect_framework(files: DataFrame, content_files: int | None = None) -> Data
         content_flags = [f for f, e in zip(flags, FRAMEWORK_EVIDENCE, strict=True) if e[1] == "content"]
         limited = first_n(marked.filter(known), ["repo_id"], ["ord"], content_files)
         path_only = marked.select(
-            "repo_id", *[F.lit(False).alias(f) if f in content_flags else F.col(f) for f in flags]
+            "repo_id", "ord", "language", *[F.lit(False).alias(f) if f in content_flags else F.col(f) for f in flags]
         )
         marked = path_only.unionByName(
-            limited.select("repo_id", *[F.col(f) if f in content_flags else F.lit(False).alias(f) for f in flags])
+            limited.select("repo_id", "ord", "language", *[F.col(f) if f in content_flags else F.lit(False).alias(f) for f in flags])
         )
-    found = marked.groupBy("repo_id").agg(*[F.bool_or(f).alias(f) for f in flags])
+    found = marked.groupBy("repo_id").agg(_first_language(), *[F.bool_or(f).alias(f) for f in flags])
     framework = F.when(F.lit(False), F.lit(None).cast("string"))
     for flag, (name, _, _) in zip(flags, FRAMEWORK_EVIDENCE, strict=True):
         framework = framework.when(F.col(flag), name)
-    return found.select("repo_id", framework.otherwise("unknown").alias("framework"))
-
-
-def repo_profile(files: DataFrame, content_files: int | None = None) -> DataFrame:
-    """One row per repository: framework and primary language (null when no file is known)."""
-    return detect_framework(files, content_files).join(primary_language(files), "repo_id", "left")
+    return found.select("repo_id", "code", framework.otherwise("unknown").alias("framework"))
 
 
 def relative_path(files: DataFrame, root: Column) -> DataFrame:

@@ -66,8 +66,8 @@ def analyze(
         F.col("repo_id").alias("session_id"), "framework", "primary_language", F.lit("/").alias("root")
     ))
     found = work.saved("found", extract.extract(kept, rules.ROUTE_RULES + rules.MODEL_RULES))
-    sdks = work.saved("sdks", extract.detect_sdks(kept, caps))
-    keys = extract.sdk_env_keys(kept, caps)
+    hits = work.saved("hits", extract.sdk_hits(kept, caps))
+    sdks, keys = extract.sdks_from_hits(hits), extract.env_keys_from_hits(hits)
 
     main = build.main_nodes(profile, entry_points)
     endpoints = build.endpoint_nodes(

@@ -34,6 +34,11 @@ def kept(spark: SparkSession, sf: str) -> DataFrame:
     return files.scan_files(view(spark, sf, "source_files"))
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files for queries that read their contents."""
+    return files.scan_files(fixtures.view(spark, sf, "source_files", {"documents": "doc_id"}))
+
+
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
     log = view(spark, sf, "event_log")
     return ev.parse_events(log.withColumn("ts", F.col("ts").cast("timestamp")))
@@ -80,7 +85,7 @@ def typed_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
-    return files.repo_profile(kept(spark, sf)).select(
+    return files.repo_profile(texts(spark, sf)).select(
         F.col("repo_id").alias("session_id"), "framework", "primary_language", F.lit("/").alias("root")
     )
 
@@ -104,7 +109,7 @@ def scan_files_capped(spark, sf):
 
 @query
 def read_text(spark, sf):
-    raw = kept(spark, sf).withColumn("content", F.col("content").cast("binary"))
+    raw = texts(spark, sf).withColumn("content", F.col("content").cast("binary"))
     return files.read_text(raw).select("repo_id", "ord", "content")
 
 
@@ -120,12 +125,12 @@ def repo_languages(spark, sf):
 
 @query
 def detect_framework(spark, sf):
-    return files.detect_framework(kept(spark, sf))
+    return files.detect_framework(texts(spark, sf))
 
 
 @query
 def detect_framework_capped(spark, sf):
-    return files.detect_framework(kept(spark, sf), files.REFERENCE_CAPS["plan_contents"])
+    return files.detect_framework(texts(spark, sf), files.REFERENCE_CAPS["plan_contents"])
 
 
 @query
@@ -148,7 +153,7 @@ def classify_files(spark, sf):
 
 @query
 def content_gates(spark, sf):
-    return prompts.content_gates(kept(spark, sf))
+    return prompts.content_gates(texts(spark, sf))
 
 
 @query
@@ -172,55 +177,55 @@ def feature_candidates_capped(spark, sf):
 
 @query
 def extract_routes(spark, sf):
-    return extract.extract_routes(kept(spark, sf)).select("repo_id", "ord", "rule", "match_pos", "route")
+    return extract.extract_routes(texts(spark, sf)).select("repo_id", "ord", "rule", "match_pos", "route")
 
 
 @query
 def extract_routes_by_file(spark, sf):
-    return extract.extract_routes(kept(spark, sf), "file").select("repo_id", "ord", "rule", "match_pos", "route")
+    return extract.extract_routes(texts(spark, sf), "file").select("repo_id", "ord", "rule", "match_pos", "route")
 
 
 @query
 def routes_per_method(spark, sf):
     """How many endpoints per method each repository exposes."""
-    routes = extract.extract_routes(kept(spark, sf))
+    routes = extract.extract_routes(texts(spark, sf))
     method = F.when(F.col("rule") == "handle_func", "any").otherwise(F.substring_index("route", " ", 1))
     return routes.groupBy("repo_id", method.alias("method")).agg(F.count("*").alias("n_endpoints"))
 
 
 @query
 def extract_models(spark, sf):
-    return extract.extract_models(kept(spark, sf)).select("repo_id", "ord", "rule", "match_pos", "model")
+    return extract.extract_models(texts(spark, sf)).select("repo_id", "ord", "rule", "match_pos", "model")
 
 
 @query
 def extract_imports(spark, sf):
-    return extract.extract_imports(kept(spark, sf)).select("repo_id", "ord", "rule", "match_pos", "package")
+    return extract.extract_imports(texts(spark, sf)).select("repo_id", "ord", "rule", "match_pos", "package")
 
 
 @query
 def top_packages(spark, sf):
-    return extract.top_packages(extract.extract_imports(kept(spark, sf)), 10)
+    return extract.top_packages(extract.extract_imports(texts(spark, sf)), 10)
 
 
 @query
 def extract_env_vars(spark, sf):
-    return extract.extract_env_vars(kept(spark, sf)).select("repo_id", "ord", "pos", "env_key")
+    return extract.extract_env_vars(texts(spark, sf)).select("repo_id", "ord", "pos", "env_key")
 
 
 @query
 def detect_sdks(spark, sf):
-    return extract.detect_sdks(kept(spark, sf))
+    return extract.detect_sdks(texts(spark, sf))
 
 
 @query
 def detect_sdks_capped(spark, sf):
-    return extract.detect_sdks(kept(spark, sf), files.REFERENCE_CAPS)
+    return extract.detect_sdks(texts(spark, sf), files.REFERENCE_CAPS)
 
 
 @query
 def sdk_env_keys(spark, sf):
-    return extract.sdk_env_keys(kept(spark, sf))
+    return extract.sdk_env_keys(texts(spark, sf))
 
 
 # --- recorded answers ------------------------------------------------------------------
@@ -269,13 +274,13 @@ def parse_plans(spark, sf):
 
 @query
 def planner_prompts(spark, sf):
-    return prompts.planner_prompts(kept(spark, sf))
+    return prompts.planner_prompts(texts(spark, sf))
 
 
 @query
 def build_prompts(spark, sf):
     """Endpoint and model prompts in one table."""
-    k = kept(spark, sf)
+    k = texts(spark, sf)
     return (
         prompts.api_prompts(k).withColumn("agent", F.lit("api"))
         .unionByName(prompts.data_prompts(k).withColumn("agent", F.lit("data")))
@@ -285,7 +290,7 @@ def build_prompts(spark, sf):
 @query
 def build_prompts_capped(spark, sf):
     """The reference's own samples: first files, first part of each."""
-    k, caps = kept(spark, sf), files.REFERENCE_CAPS
+    k, caps = texts(spark, sf), files.REFERENCE_CAPS
     return (
         prompts.api_prompts(k, caps).withColumn("agent", F.lit("api"))
         .unionByName(prompts.data_prompts(k, caps).withColumn("agent", F.lit("data")))
@@ -294,23 +299,23 @@ def build_prompts_capped(spark, sf):
 
 @query
 def service_prompts(spark, sf):
-    return prompts.service_prompts(kept(spark, sf))
+    return prompts.service_prompts(texts(spark, sf))
 
 
 @query
 def infra_prompts(spark, sf):
-    k = kept(spark, sf)
+    k = texts(spark, sf)
     return prompts.infra_prompts(k, extract.detect_sdks(k.filter(F.col("path").rlike(files.CONFIG_PATH))))
 
 
 @query
 def feature_prompts(spark, sf):
-    return prompts.feature_prompts(kept(spark, sf), view(spark, sf, "nodes"), ["ord"])
+    return prompts.feature_prompts(texts(spark, sf), view(spark, sf, "nodes"), ["ord"])
 
 
 @query
 def router_prompts(spark, sf):
-    return prompts.router_prompts(kept(spark, sf))
+    return prompts.router_prompts(texts(spark, sf))
 
 
 @query
@@ -333,11 +338,11 @@ def main_nodes(spark, sf):
 
 
 def endpoint_nodes_of(spark, sf):
-    return build.endpoint_nodes(build.endpoints_from_routes(extract.extract_routes(kept(spark, sf))))
+    return build.endpoint_nodes(build.endpoints_from_routes(extract.extract_routes(texts(spark, sf))))
 
 
 def entity_nodes_of(spark, sf):
-    return build.entity_nodes(build.entities_from_models(extract.extract_models(kept(spark, sf))))
+    return build.entity_nodes(build.entities_from_models(extract.extract_models(texts(spark, sf))))
 
 
 def services_of(spark, sf):
@@ -346,8 +351,10 @@ def services_of(spark, sf):
 
 
 def external_nodes_of(spark, sf):
-    k = kept(spark, sf)
-    return build.external_nodes(build.externals_from_sdks(extract.detect_sdks(k), extract.sdk_env_keys(k)))
+    hits = Workspace(spark).saved("hits", extract.sdk_hits(texts(spark, sf)))
+    return build.external_nodes(
+        build.externals_from_sdks(extract.sdks_from_hits(hits), extract.env_keys_from_hits(hits))
+    )
 
 
 def features_of(spark, sf):
@@ -389,7 +396,7 @@ def relates_to(spark, sf):
 
 @query
 def relates_to_raw_count(spark, sf):
-    k = kept(spark, sf)
+    k = texts(spark, sf)
     passed = prompts.content_gates(k).filter("data_gate").select(F.col("repo_id").alias("session_id"), "ord")
     return build.relates_to_raw_count(passed, saved_entities(spark, sf))
 
@@ -556,26 +563,30 @@ def node_subtitle(spark, sf):
     return report.node_subtitle(typed_nodes(spark, sf))
 
 
+def facts(spark, sf):
+    return fixtures.view(spark, sf, "facts", {"documents": "doc_id"})
+
+
 # --- retrieval ------------------------------------------------------------------------------
 
 @query
 def search_facts(spark, sf):
-    return search.search_facts(view(spark, sf, "facts"), view(spark, sf, "questions"))
+    return search.search_facts(facts(spark, sf), view(spark, sf, "questions"))
 
 
 @query
 def query_context(spark, sf):
-    return search.query_context(view(spark, sf, "facts"), view(spark, sf, "questions"))
+    return search.query_context(facts(spark, sf), view(spark, sf, "questions"))
 
 
 @query
 def vector_topk(spark, sf):
     """The ten most typical vectors of every label: its mean embedding is the question."""
-    facts = fixtures.table(spark, sf, "embeddings").select(
+    vectors = fixtures.spread(fixtures.table(spark, sf, "embeddings"), "vec_id").select(
         F.col("label").alias("group_id"), F.col("vec_id").alias("uuid"), "embedding"
     )
-    asked = search.group_centroids(facts).withColumn("question_id", F.col("group_id"))
-    return search.vector_topk(facts, asked)
+    asked = search.group_centroids(vectors).withColumn("question_id", F.col("group_id"))
+    return search.vector_topk(vectors, asked)
 
 
 @query
@@ -704,7 +715,7 @@ def reassemble_stream(spark, sf):
 
 def _analysis(spark, sf):
     return analyze(
-        view(spark, sf, "source_files"),
+        fixtures.view(spark, sf, "source_files", {"documents": "doc_id"}),
         service_answers=view(spark, sf, "model_responses"),
         feature_answers=view(spark, sf, "feature_responses"),
     )

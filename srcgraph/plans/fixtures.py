@@ -174,10 +174,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS over the parquet tables of `sf_dir`."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table read in fewer pieces than there are cores, dealt out by `key`.
+
+    For work that is heavy per row (regexes over texts). A table of many files is read
+    in more pieces than that and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, spread_by: dict[str, str] | None = None) -> DataFrame:
+    """One of VIEWS over the parquet tables of `sf_dir`; `spread_by` names tables to spread and their keys."""
     views = with_clause(name)
     for given in TABLES:
         if re.search(rf"\b{given}\b", views):
-            table(spark, sf_dir, given).createOrReplaceTempView(given)
+            df = table(spark, sf_dir, given)
+            if given in (spread_by or {}):
+                df = spread(df, spread_by[given])
+            df.createOrReplaceTempView(given)
     return spark.sql(f"WITH {views} SELECT * FROM {name}")
