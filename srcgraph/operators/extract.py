@@ -195,7 +195,7 @@ def sdk_hits(files: DataFrame, caps: dict | None = None) -> DataFrame:
         F.array(F.col("is_config"))
     )
     hits = _sdk_rows(marked.filter(F.col("is_config") | known), roles)
-    return hits.select("repo_id", "ord", "sdk", F.explode("role").alias("is_config"), "keys")
+    return hits.select("repo_id", "ord", "sdk", F.explode_outer("role").alias("is_config"), "keys")
 
 
 def _own_keys() -> Column:

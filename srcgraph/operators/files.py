@@ -245,11 +245,12 @@ def capped_targets(files: DataFrame, caps: dict | None = None) -> DataFrame:
     steps = F.filter(
         F.array(*[F.when(cond, F.lit(name)) for name, (cond, _) in roles.items()]), lambda s: s.isNotNull()
     )
-    targets = paths.select("repo_id", F.explode(steps).alias("agent"), "ord", "path")
+    targets = paths.select("repo_id", F.explode_outer(steps).alias("agent"), "ord", "path").filter(
+        F.col("agent").isNotNull()
+    )
     limits = {name: cap for name, (_, cap) in roles.items() if cap is not None}
     if not limits:
         return targets
-    unlimited = targets.filter(~F.col("agent").isin(*limits))
     exact = F.when(F.lit(False), F.lit(None).cast("int"))
     for name, cap in limits.items():
         exact = exact.when(F.col("agent") == name, cap)
@@ -259,7 +260,9 @@ def capped_targets(files: DataFrame, caps: dict | None = None) -> DataFrame:
         targets.filter(F.col("agent").isin(*limits)).withColumn("__rn", place)
         .filter((F.col("__rn") <= max(limits.values())) & (F.col("__rn") <= exact)).drop("__rn")
     )
-    return unlimited.unionByName(limited)
+    if len(limits) == len(roles):
+        return limited
+    return targets.filter(~F.col("agent").isin(*limits)).unionByName(limited)
 
 
 def feature_candidates(files: DataFrame, planned_routes: DataFrame | None = None, cap: int | None = None) -> DataFrame:

@@ -688,7 +688,7 @@ def event_windows(spark, sf):
 
 @query
 def session_windows(spark, sf):
-    got = ev.session_windows(event_log(spark, sf), "4 hours")
+    got = ev.session_windows(event_log(spark, sf), 4 * 3600)
     return got.select("session_id", _ts("burst_start"), _ts("burst_end"), "n")
 
 

@@ -7,10 +7,10 @@ events is pre-aggregated in every task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from srcgraph.schemas import EVENT_PAYLOADS, TERMINAL_KINDS
+from srcgraph.schemas import EVENT_LOG, EVENT_PAYLOADS, TERMINAL_KINDS
 
 # The agents of the status board in display order, with their titles.
 STATUS_BOARD = (
@@ -223,10 +223,26 @@ def event_windows(events: DataFrame, width: str, slide: str | None = None) -> Da
     )
 
 
-def session_windows(events: DataFrame, gap: str) -> DataFrame:
-    """Bursts of activity per session, cut where nothing happens for `gap`."""
-    return events.groupBy(F.session_window("ts", gap).alias("w"), "session_id").agg(F.count("*").alias("n")).select(
-        "session_id", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "n"
+def session_windows(events: DataFrame, gap_seconds: int) -> DataFrame:
+    """Bursts of activity per session, cut where nothing happens for `gap_seconds` or longer.
+
+    Two events in one bin of that width always belong to the same burst, so events are
+    first summed per bin; what is then put in order per session are bins, as many as
+    the time span has, not events. On a stream, use the built-in session_window.
+    """
+    gap = gap_seconds * 1_000_000
+    at = F.unix_micros("ts")
+    bins = events.groupBy("session_id", F.floor(at / F.lit(gap)).alias("bin")).agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")
+    )
+    in_order = Window.partitionBy("session_id").orderBy("bin")
+    is_new = F.coalesce(F.col("first_at") - F.lag("last_at").over(in_order) >= gap, F.lit(True))
+    numbered = bins.withColumn("new", is_new.cast("int")).withColumn("burst", F.sum("new").over(in_order))
+    return numbered.groupBy("session_id", "burst").agg(
+        F.min("first_at").alias("a"), F.max("last_at").alias("b"), F.sum("n").alias("n")
+    ).select(
+        "session_id", F.timestamp_micros("a").alias("burst_start"),
+        F.timestamp_micros(F.col("b") + gap).alias("burst_end"), "n",
     )
 
 
@@ -244,8 +260,9 @@ def frame_lines(raw: DataFrame) -> DataFrame:
     raw  (stream_id, chunk, text), each chunk holding whole lines but for its last
     """
     lines = F.split(F.col("text"), "\n")
-    return raw.select(
-        "stream_id", "chunk", F.posexplode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("pos", "line")
+    whole = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    return raw.select("stream_id", "chunk", F.posexplode_outer(whole).alias("pos", "line")).filter(
+        F.col("line").isNotNull()
     )
 
 
@@ -285,7 +302,5 @@ def reassemble_stream(chunks: DataFrame, per_part: int = TURNS_PER_PART) -> Data
 
 def read_log(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet") -> DataFrame:
     """The event log as a table or, with `streaming`, as a stream of new files."""
-    from srcgraph.schemas import EVENT_LOG
-
     reader = spark.readStream if streaming else spark.read
     return reader.schema(EVENT_LOG).format(fmt).load(path)

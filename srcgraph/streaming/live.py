@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from srcgraph.streaming.events import accepted_events, closings, parse_events
 from srcgraph.schemas import EVENT_LOG
+from srcgraph.streaming.events import accepted_events, closings, parse_events
 
 
 def _trigger(writer, available_now: bool, every: str):
@@ -22,23 +22,29 @@ def _trigger(writer, available_now: bool, every: str):
 
 
 def gate_sessions(log: DataFrame, out_dir: str, checkpoint: str, available_now: bool = False,
-                  every: str = "10 seconds") -> StreamingQuery:
+                  every: str = "10 seconds", merge_every: int = 100) -> StreamingQuery:
     """Write the accepted part of a log stream under `out_dir/accepted`, closings under `out_dir/closings`.
 
     Every batch overwrites its own `batch=` folder, so a batch that is run again leaves
-    the same files. Closings hold one row per closed session and batch, never events.
+    the same files. Closings hold one row per closed session and batch, never events,
+    and are merged every `merge_every` batches, so that no batch reads a long list of files.
     """
     spark = log.sparkSession
 
+    def closed(first: int, last: int) -> DataFrame:
+        """First terminal event per session over the merged closings before `first` and the batches since."""
+        paths = [f"{out_dir}/closings/batch={b}" for b in range(first, last + 1)]
+        if first > 0:
+            paths.append(f"{out_dir}/merged/before={first}")
+        rows = spark.read.schema("session_id bigint, close_seq bigint").parquet(*paths)
+        return rows.groupBy("session_id").agg(F.min("close_seq").alias("close_seq"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_events(batch)
-        closings(parsed).write.mode("overwrite").parquet(f"{out_dir}/closings/batch={batch_id}")
-        all_closed = (
-            spark.read.schema("session_id bigint, close_seq bigint, batch bigint").parquet(f"{out_dir}/closings")
-            .filter(F.col("batch") <= batch_id)
-            .groupBy("session_id").agg(F.min("close_seq").alias("close_seq"))
-        )
-        accepted_events(batch, all_closed).write.mode("overwrite").parquet(
+        closings(parse_events(batch)).write.mode("overwrite").parquet(f"{out_dir}/closings/batch={batch_id}")
+        first = batch_id - batch_id % merge_every
+        if batch_id == first and first > 0:
+            closed(first - merge_every, first - 1).write.mode("overwrite").parquet(f"{out_dir}/merged/before={first}")
+        accepted_events(batch, closed(first, batch_id)).write.mode("overwrite").parquet(
             f"{out_dir}/accepted/batch={batch_id}"
         )
 

@@ -125,7 +125,7 @@ def test_gated_stream_fold_equals_batch(spark, rows, tmp_path):
     stream = lambda: ev.read_log(spark, src, streaming=True)
     for part in (data[:150], data[150:290], data[290:]):
         rows(part, EVENT_LOG).write.mode("append").parquet(src)
-        live.gate_sessions(stream(), out, str(tmp_path / "cp1"), available_now=True).awaitTermination()
+        live.gate_sessions(stream(), out, str(tmp_path / "cp1"), available_now=True, merge_every=2).awaitTermination()
         live.run_fold(live.accepted_stream(spark, out), ev.fold_nodes, ["session_id", "id"], f"{out}/nodes",
                       str(tmp_path / "cp2"), available_now=True).awaitTermination()
     batch = ev.parse_events(rows(data, EVENT_LOG))
@@ -136,6 +136,22 @@ def test_gated_stream_fold_equals_batch(spark, rows, tmp_path):
     assert {r["seq"] for r in accepted.collect()} == {r["seq"] for r in ev.accepted_events(batch).collect()}
 
 
+def test_bursts_equal_a_plain_scan(rows):
+    rng = random.Random(9)
+    data = [(s, i, T0 + dt.timedelta(seconds=rng.choice([0, 59, 60, 61]) + 97 * rng.randrange(60)), "x", "{}") for s in range(3) for i in range(40)]
+    expected = set()
+    for s in range(3):
+        times = sorted(t for x, _, t, *_ in data if x == s)
+        start, last, n = times[0], times[0], 1
+        for t in times[1:]:
+            if (t - last).total_seconds() >= 60:
+                expected.add((last + dt.timedelta(seconds=60), start, n, s))
+                start, n = t, 0
+            last, n = t, n + 1
+        expected.add((last + dt.timedelta(seconds=60), start, n, s))
+    assert as_set(ev.session_windows(rows(data, EVENT_LOG), 60)) == expected
+
+
 def test_repeats_are_dropped_on_a_stream(spark, rows, tmp_path):
     data = random_log(60)
     rows(data + data[10:30], EVENT_LOG).write.parquet(str(tmp_path / "log"))
