@@ -28,10 +28,7 @@ def layout_columns(nodes: DataFrame, ord_col: str = "ord", then: tuple[str, ...]
     `ord_col` must be unique per session together with `then`.
     """
     ranked = nodes.withColumn("rank", column_rank(F.col("type"), DEFAULT_RANK))
-    slim = position(
-        ranked.select("session_id", "rank", "id", ord_col, *then), ["session_id", "rank"], ord_col, "place", then
-    ).select("session_id", "id", "place")
-    placed = ranked.join(slim, ["session_id", "id"])
+    placed = position(ranked, ["session_id", "rank"], ord_col, "place", then)
     return placed.select(
         *nodes.columns, "rank",
         (F.col("rank") * COLUMN_WIDTH).cast("double").alias("x"),

@@ -86,8 +86,8 @@ def analyze(
     features = None
     if feature_answers is not None:
         picked = build.dedupe_features(responses.parse_responses(feature_answers, "features"))
-        features = build.feature_nodes(picked)
-    nodes = work.saved("nodes", resolve.union_findings([earlier, features])) if features is not None else earlier
+        features = work.saved("features", build.feature_nodes(picked))
+    nodes = resolve.union_findings([earlier, features])
 
     def of(agent: str) -> DataFrame:
         return nodes.filter(F.col("agent_source") == agent)
