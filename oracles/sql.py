@@ -561,6 +561,8 @@ SELECT session_id, id, coalesce(CASE type WHEN 'service' THEN concat_ws(' · ',
     WHEN 'database' THEN concat(orm, ' · ', db_type) WHEN 'feature' THEN route WHEN 'api' THEN concat(method, ' ', coalesce(route, '/')) ELSE category END, '') AS subtitle,
   type IN ('api', 'feature') AND flag AS auth_mark FROM typed_nodes""")
 
+_add("write_snapshot", ("nodes",), "SELECT session_id, ord, id, type, label, confidence FROM deduped", DEDUPED)
+
 # --- retrieval -----------------------------------------------------------------------
 
 TOP = r"""fact_words AS (SELECT group_id, uuid, list_filter(regexp_split_to_array(lower(fact), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM facts),

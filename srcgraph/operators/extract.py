@@ -159,10 +159,9 @@ def _sdk_rows(files: DataFrame, role: Column) -> DataFrame:
 
 
 def _by_sdk(pick) -> Column:
-    expr = F.when(F.lit(False), F.lit(None).cast("string"))
-    for i, (name, category, pattern) in enumerate(SDK_RULES):
-        expr = expr.when(F.col("sdk") == i, F.lit(pick(name, category, pattern)))
-    return expr
+    """A text per rule, looked up by the rule's number in `sdk`."""
+    listed = ", ".join("'" + pick(*rule).replace("'", "''") + "'" for rule in SDK_RULES)
+    return F.expr(f"element_at(array({listed}), sdk + 1)")
 
 
 def sdk_hits(files: DataFrame, caps: dict | None = None) -> DataFrame:

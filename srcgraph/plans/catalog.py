@@ -13,6 +13,7 @@ from srcgraph.operators import (
 )
 from srcgraph.plans import fixtures
 from srcgraph.plans.analysis import Workspace, analyze
+from srcgraph.sources import sinks
 from srcgraph.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,6 +568,16 @@ def facts(spark, sf):
     return fixtures.view(spark, sf, "facts", {"documents": "doc_id"})
 
 
+@query
+def write_snapshot(spark, sf):
+    """Resolved graph written as a snapshot, then its nodes read back."""
+    nodes, edges = resolved(spark, sf)
+    path = f"{Workspace(spark).base}/snapshot"
+    sinks.write_snapshot(nodes, edges, path)
+    return spark.read.parquet(f"{path}/nodes").select(
+        F.col("session_id").cast("bigint").alias("session_id"), "ord", "id", "type", "label", "confidence")
+
+
 # --- retrieval ------------------------------------------------------------------------------
 
 @query
