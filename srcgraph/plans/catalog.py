@@ -575,7 +575,8 @@ def write_snapshot(spark, sf):
     path = f"{Workspace(spark).base}/snapshot"
     sinks.write_snapshot(nodes, edges, path)
     return spark.read.parquet(f"{path}/nodes").select(
-        F.col("session_id").cast("bigint").alias("session_id"), "ord", "id", "type", "label", "confidence")
+        F.col("session_id").cast(nodes.schema["session_id"].dataType).alias("session_id"),
+        "ord", "id", "type", "label", "confidence")
 
 
 # --- retrieval ------------------------------------------------------------------------------

@@ -62,8 +62,8 @@ def without_repeats(log: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_fold(events: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str], out_dir: str,
-             checkpoint: str, available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
+def run_fold(events: DataFrame, fold: Callable[[DataFrame], DataFrame], out_dir: str, checkpoint: str,
+             available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
     """Keep a fold up to date: each batch writes the keys it changed to its own `batch=` folder.
 
     `latest_fold` reads the current rows back.

@@ -126,8 +126,7 @@ def test_gated_stream_fold_equals_batch(spark, rows, tmp_path):
     for part in (data[:150], data[150:290], data[290:]):
         rows(part, EVENT_LOG).write.mode("append").parquet(src)
         live.gate_sessions(stream(), out, str(tmp_path / "cp1"), available_now=True, merge_every=2).awaitTermination()
-        live.run_fold(live.accepted_stream(spark, out), ev.fold_nodes, ["session_id", "id"], f"{out}/nodes",
-                      str(tmp_path / "cp2"), available_now=True).awaitTermination()
+        live.run_fold(live.accepted_stream(spark, out), ev.fold_nodes, f"{out}/nodes", str(tmp_path / "cp2"), available_now=True).awaitTermination()
     batch = ev.parse_events(rows(data, EVENT_LOG))
     expected = ev.fold_nodes(ev.accepted_events(batch))
     got = live.latest_fold(spark, f"{out}/nodes", ["session_id", "id"]).select(*expected.columns)
