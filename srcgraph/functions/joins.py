@@ -26,6 +26,21 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return got["n"] <= max_rows and got["b"] <= max_bytes
 
 
+def keyed_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join `rows`, whose keys may be very uneven, to a lookup that an aggregate by `on` has just made.
+
+    Such a lookup is already partitioned by its keys, so Spark would join it in place;
+    then adaptive execution, which splits only partitions that were shuffled for the
+    join itself, never splits a hot key. One more key, a hash of the others, makes both
+    sides shuffle for the join. Hashing text keeps int and bigint keys equal.
+    """
+    mixed = F.xxhash64(*[F.col(c).cast("string") for c in on])
+    return (
+        rows.withColumn("__mixed", mixed)
+        .join(lookup.withColumn("__mixed", mixed), [*on, "__mixed"], how).drop("__mixed")
+    )
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join wide `rows` to a lookup with one row per key.
 
@@ -34,4 +49,4 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
     """
     if fits_broadcast(lookup):
         return rows.join(F.broadcast(lookup), on, how)
-    return rows.join(lookup, on, how)
+    return keyed_join(rows, lookup, on, how)

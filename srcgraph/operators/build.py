@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.functions.joins import keyed_join
 from srcgraph.functions.ranking import first_n, position, running_total
 from srcgraph.functions.text import content_id, label_key
 from srcgraph.operators.rules import INFRA_CATEGORIES
@@ -100,7 +101,7 @@ def _from_main(nodes: DataFrame, main: DataFrame, agent: str, **edge) -> DataFra
     """Edges from each session's main node to `nodes`."""
     hub = main.select("session_id", F.col("id").alias("main_id"))
     slim = nodes.select("session_id", "ord", "sub", "id")
-    return _edge(slim.join(hub, "session_id"), agent, F.col("main_id"), F.col("id"), **edge)
+    return _edge(keyed_join(slim, hub, ["session_id"]), agent, F.col("main_id"), F.col("id"), **edge)
 
 
 # --- endpoints -----------------------------------------------------------------
@@ -195,7 +196,7 @@ def relates_to(entities: DataFrame) -> DataFrame:
         entities.select("session_id", "ord", "sub", "id"), ["session_id"], "ord", "place", then=("sub",)
     )
     totals = entities.groupBy("session_id").agg(F.count("*").alias("last_target"))
-    return placed.join(totals, "session_id").select(
+    return keyed_join(placed, totals, ["session_id"]).select(
         "session_id", F.col("id").alias("source"), F.col("place").alias("source_place"),
         (F.col("place") + 1).alias("first_target"), "last_target",
         (F.col("last_target") - F.col("place")).alias("n_targets"),
@@ -249,7 +250,7 @@ def relates_to_resolved(entities: DataFrame, id_map: DataFrame, removed: DataFra
     totals = survivors.groupBy("session_id").agg(F.count("*").alias("n_survivors"))
     before = counted.filter("is_last = 0").select("session_id", "survivor_id", "lasts")
     return (
-        survivors.join(before, ["session_id", "survivor_id"]).join(totals, "session_id")
+        keyed_join(survivors.join(before, ["session_id", "survivor_id"]), totals, ["session_id"])
         .select(
             "session_id", F.col("survivor_id").alias("source"), "first_place", "last_place",
             (F.col("n_survivors") - F.col("lasts") - 1).alias("n_targets"),
@@ -263,7 +264,8 @@ def service_nodes(services: DataFrame, profile: DataFrame | None = None) -> Data
     """services (session_id, ord, sub, name, filePath, dependsOn); profile gives language and framework."""
     df = services.withColumn("file_path", F.col("filePath"))
     if profile is not None:
-        df = df.join(profile.select("session_id", "framework", "primary_language"), "session_id", "left")
+        known = profile.select("session_id", "framework", "primary_language")
+        df = keyed_join(df, known, ["session_id"], "left")
     else:
         df = df.withColumn("framework", F.lit(None).cast("string")).withColumn(
             "primary_language", F.lit(None).cast("string")
@@ -292,9 +294,8 @@ def service_deps(services: DataFrame, nodes: DataFrame) -> DataFrame:
     ).filter(F.col("dep").isNotNull())
     sources = by_name.withColumnRenamed("id", "source_id")
     targets = by_name.select("session_id", F.col("name").alias("dep"), F.col("id").alias("target_id"))
-    linked = wanted.join(sources, ["session_id", "name"]).join(targets, ["session_id", "dep"]).filter(
-        F.col("source_id") != F.col("target_id")
-    )
+    named = keyed_join(wanted, sources, ["session_id", "name"])
+    linked = keyed_join(named, targets, ["session_id", "dep"]).filter(F.col("source_id") != F.col("target_id"))
     # Later than every main-to-service edge; the record's place and the list's order decide among themselves.
     numbered = linked.withColumn("ord", F.col("ord") + F.lit(LATER)).withColumn(
         "sub", _list_place(F.col("sub"), F.col("dep_pos"))
@@ -413,7 +414,7 @@ def feature_uses(features: DataFrame, nodes: DataFrame, existing: DataFrame) ->
         .filter(F.col("use").isNotNull())
         .withColumn("key", label_key(F.col("use")))
     )
-    linked = wanted.join(by_label, ["session_id", "key"]).join(own, ["session_id", "ord", "sub"])
+    linked = keyed_join(wanted, by_label, ["session_id", "key"]).join(own, ["session_id", "ord", "sub"])
     numbered = linked.withColumn("sub", _list_place(F.col("sub"), F.col("use_pos")))
     return _edge(numbered, "features", F.col("id"), F.col("target_id"),
                  type_="dependency", relationship="DEPENDS_ON", label="USES")

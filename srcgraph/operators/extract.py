@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.functions.joins import keyed_join
 from srcgraph.functions.text import detect_language, language_family
 from srcgraph.operators.files import CONFIG_PATH, contains_any, primary_language, with_language
 from srcgraph.operators.rules import (
@@ -83,7 +84,7 @@ def extract(files: DataFrame, rules: tuple[Rule, ...], language_mode: str = "rep
         else:
             primary = primary_language(files).select("repo_id", "family")
             how = "inner" if all(families.values()) else "left"
-            rows = rows.join(primary, "repo_id", how).filter(
+            rows = keyed_join(rows, primary, ["repo_id"], how).filter(
                 F.col("rule_family").isNull() | (F.col("rule_family") == F.col("family"))
             ).drop("family")
     return rows.drop("rule_family")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.functions.joins import keyed_join
 from srcgraph.functions.text import confidence_percent, short_path
 from srcgraph.operators.resolve import removed_ids
 
@@ -71,7 +72,7 @@ def fact_rows(nodes: DataFrame) -> DataFrame:
 
 def drop_groups(facts: DataFrame, groups: DataFrame) -> DataFrame:
     """Facts of all groups but the listed ones."""
-    return facts.join(groups.select("group_id").distinct(), "group_id", "left_anti")
+    return keyed_join(facts, groups.select("group_id").distinct(), ["group_id"], "left_anti")
 
 
 def node_detail(nodes: DataFrame) -> DataFrame:

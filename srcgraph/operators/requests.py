@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.functions.joins import keyed_join
 from srcgraph.functions.text import is_repo_url
 
 
@@ -23,7 +24,7 @@ def admit_requests(requests: DataFrame, sessions: DataFrame, kind: str, host: st
     present = F.coalesce(present, F.lit(False))
     missing = requests.filter(~present).withColumn("known", F.lit(None).cast("boolean"))
     known = sessions.select("session_id").distinct().withColumn("known", F.lit(True))
-    complete = requests.filter(present).join(known, "session_id", "left").withColumn(
+    complete = keyed_join(requests.filter(present), known, ["session_id"], "left").withColumn(
         "known", F.coalesce("known", F.lit(False))
     )
     checked = complete.unionByName(missing)

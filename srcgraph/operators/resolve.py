@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcgraph.functions.joins import keyed_join
 from srcgraph.functions.text import label_key
 
 ORDER = ("source_rank", "ord", "sub")
@@ -70,7 +71,7 @@ def node_id_map(nodes: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     survivors = keyed.groupBy("session_id", "__key").agg(
         F.min_by("id", F.struct(*order)).alias("survivor_id")
     )
-    return keyed.select("session_id", "id", "__key").join(survivors, ["session_id", "__key"]).drop("__key")
+    return keyed_join(keyed.select("session_id", "id", "__key"), survivors, ["session_id", "__key"]).drop("__key")
 
 
 def remap_edges(edges: DataFrame, id_map: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -110,8 +111,7 @@ def apply_verdicts(nodes: DataFrame, edges: DataFrame, verdicts: DataFrame) -> t
     """Graph without the removed nodes and without any edge that touches one."""
     removed = removed_ids(verdicts)
     kept_nodes = nodes.join(removed, ["session_id", "id"], "left_anti")
-    kept_edges = (
-        edges.join(removed.withColumnRenamed("id", "source"), ["session_id", "source"], "left_anti")
-        .join(removed.withColumnRenamed("id", "target"), ["session_id", "target"], "left_anti")
-    )
-    return kept_nodes, kept_edges
+    by_source = removed.withColumnRenamed("id", "source")
+    by_target = removed.withColumnRenamed("id", "target")
+    kept_edges = keyed_join(edges, by_source, ["session_id", "source"], "left_anti")
+    return kept_nodes, keyed_join(kept_edges, by_target, ["session_id", "target"], "left_anti")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from srcgraph.functions.joins import keyed_join
 from srcgraph.schemas import EVENT_LOG, EVENT_PAYLOADS, TERMINAL_KINDS
 
 # The agents of the status board in display order, with their titles.
@@ -180,20 +181,20 @@ def closings(events: DataFrame) -> DataFrame:
 def accepted_events(events: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """Events up to and including each session's first terminal one."""
     closed = closings(events) if closed is None else closed
-    return events.join(closed, "session_id", "left").filter(
+    return keyed_join(events, closed, ["session_id"], "left").filter(
         F.col("close_seq").isNull() | (F.col("seq") <= F.col("close_seq"))
     ).drop("close_seq")
 
 
 def ignored_events(events: DataFrame) -> DataFrame:
     """Events behind a session's first terminal one."""
-    return events.join(closings(events), "session_id").filter(F.col("seq") > F.col("close_seq"))
+    return keyed_join(events, closings(events), ["session_id"]).filter(F.col("seq") > F.col("close_seq"))
 
 
 def session_snapshot(events: DataFrame) -> DataFrame:
     """Nodes of every session as they stood when it closed (or stand now), with its outcome."""
     outcome = session_outcome(events).select("session_id", "outcome")
-    return fold_nodes(accepted_events(events)).join(outcome, "session_id")
+    return keyed_join(fold_nodes(accepted_events(events)), outcome, ["session_id"])
 
 
 def session_status(events: DataFrame) -> DataFrame:
@@ -276,11 +277,13 @@ def decode_frames(lines: DataFrame) -> DataFrame:
     )
     place = F.struct("chunk", "pos")
     ends = frames.filter(F.col("payload") == DONE).groupBy("stream_id").agg(F.min(place).alias("end"))
-    return (
+    texts = (
         frames.filter(F.col("payload") != DONE)
         .select("stream_id", "chunk", "pos", F.from_json("payload", "text string")["text"].alias("text"))
         .filter(F.col("text").isNotNull())
-        .join(ends, "stream_id", "left")
+    )
+    return (
+        keyed_join(texts, ends, ["stream_id"], "left")
         .filter(F.col("end").isNull() | (place < F.col("end")))
         .drop("end")
     )
