@@ -24,7 +24,7 @@ from srcgraph.llm.common import Batches, map_batches, record, texts, with_id
 
 #: Bounds of what a Python worker keeps. Results do not depend on them.
 MAX_STATES = 40_000
-MAX_WORDS = 200_000
+MAX_WORDS = 120_000
 MAX_PAIRS = 300_000
 #: Characters that are neither letters, numbers, white space nor an apostrophe.
 ENDS = frozenset(".,;:!?")
@@ -44,9 +44,11 @@ class Merges:
         self.ranks = {t: rank for t, rank in ranks.items() if t not in unmade}
         self.unmade = {t: ranks[t] for t in unmade}
         self.starts: set[bytes] = {t[:k] for t in self.ranks for k in range(1, len(t))}
+        #: longest token by its first four bytes
         self.reach: dict[bytes, int] = {}
         for t in self.ranks:
-            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+            if len(t) > 3:
+                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte or a token that no merge makes."""
@@ -115,7 +117,9 @@ class Encoder:
         self.merges = Merges(ranks)
         # \s of the pattern is Unicode white space; this module's also takes in U+001C to U+001F
         self.pattern = regex.compile(pattern)
+        #: words met lately, and those met before the last time this table was full
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -194,7 +198,7 @@ class Encoder:
         path: list[int] = []
         dead: set[int] = set()
         at, last, size = 0, -1, len(text)
-        length = min(size, reach.get(text[:2], 1))
+        length = min(size, reach.get(text[:4], 3))
         while at < size:
             while length:
                 token = ranks.get(text[at:at + length])
@@ -209,7 +213,7 @@ class Encoder:
                 path.append(token)
                 at += length
                 last = token
-                length = min(size - at, reach.get(text[at:at + 2], 1))
+                length = min(size - at, reach.get(text[at:at + 4], 3))
             else:
                 dead.add(at)
                 length = len(self.merges.bytes_of[path.pop()])
@@ -225,6 +229,10 @@ class Encoder:
 
     def _word(self, text: str) -> tuple[tuple[int, ...], str]:
         known = self.words.get(text)
+        if known is None:
+            known = self.older.get(text)
+            if known is not None:
+                self.words[text] = known
         if known is None:
             last = text[-1:]
             if last in ENDS and len(text) > 2 and text[-2].isalpha():  # ends as a piece of its own
@@ -234,7 +242,7 @@ class Encoder:
             known = ids, ",".join(map(str, ids))
             if len(text) <= 64:
                 if len(self.words) >= MAX_WORDS:
-                    self.words.clear()
+                    self.older, self.words = self.words, {}
                 self.words[text] = known
         return known
 
