@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcgraph.llm import bpe, decontaminate, exact_dedup, sharding, simhash
-from srcgraph.llm.common import table
+from srcgraph.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, toxicity
+from srcgraph.llm.common import id_hash_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def _judged(scored: DataFrame, divisor: int, held: int) -> DataFrame:
+    return scored.select(
+        F.col("id").alias("doc_id"), (id_hash_mod(F.col("id"), divisor) == held).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_hash_mod(F.col("doc_id"), 5) != 0)
+    return _judged(toxicity.score_documents(docs, net), 5, 0)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination(found).withColumnRenamed("id", "doc_id")
@@ -33,6 +46,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ensemble = quality.fit(docs, table(spark, sf_dir, "labels"), id_hash_mod(F.col("doc_id"), 3) != 1)
+    return _judged(quality.score_documents(docs, ensemble), 3, 1)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_documents(
         table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, with_ids=False,
@@ -45,5 +64,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op3_decontamination, op5_exact_dedup, op9_byte_bpe, op10_sharding,
+    op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op5_exact_dedup, op8_quality, op9_byte_bpe,
+    op10_sharding,
 )}
