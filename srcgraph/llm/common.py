@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +36,25 @@ def id_hash_mod(column: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="srcgraph-")) / "srcgraph-modules.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "srcgraph").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _sent.add(context.applicationId)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+    send_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcgraph.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, toxicity
+from srcgraph.llm import bpe, decontaminate, exact_dedup, lm, pii, quality, sharding, simhash, toxicity
 from srcgraph.llm.common import id_hash_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found).withColumnRenamed("id", "doc_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score_documents(docs, id_hash_mod(docs["doc_id"], 7) != 2)
+    return scored.select(
+        F.col("id").alias("doc_id"), (id_hash_mod(F.col("id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score",
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select(
@@ -46,6 +55,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit(docs))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ensemble = quality.fit(docs, table(spark, sf_dir, "labels"), id_hash_mod(F.col("doc_id"), 3) != 1)
@@ -64,6 +82,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op5_exact_dedup, op8_quality, op9_byte_bpe,
-    op10_sharding,
+    op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op4_lm_scoring, op5_exact_dedup, op7_pii,
+    op8_quality, op9_byte_bpe, op10_sharding,
 )}
