@@ -62,18 +62,23 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only where that is unset and the master is local, a temporary one is set."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="srcgraph-"))
+    return named or context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` below spark.checkpoint.dir and go on from the files, which outlive executors.
+    """Write `df` to the shared folder and go on from the files, which outlive executors.
 
-    Only where that setting is absent and the master is local, a temporary folder is used.
     Spark removes the files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="srcgraph-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -12,4 +12,38 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT}
+LINES = """
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth
+  FROM documents),
+tokens AS (
+  SELECT doc_id, nth, list_transform(list_filter(string_split_regex(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  FROM raw),
+lines AS (SELECT *, len(t) AS n, t[1:3] AS lead, greatest(len(t) - 3, 0) AS rest FROM tokens WHERE len(t) > 0),
+parts AS (
+  SELECT n, lead, p, least(any_value(rest), 16) AS parts,
+    min(part) = max(part) AS same
+  FROM (SELECT n, lead, rest, p, array_to_string(CASE WHEN rest <= 16 THEN t[4 + p:4 + p]
+      ELSE t[4 + CAST(floor(rest * p / 16) AS BIGINT):3 + CAST(floor(rest * (p + 1) / 16) AS BIGINT)] END, ' ') AS part
+    FROM lines, (SELECT unnest(range(16)) AS p))
+  GROUP BY n, lead, p),
+leaves AS (
+  SELECT n, lead, count(*) FILTER (same AND p < parts) >= any_value(parts) * 0.5 AS alike FROM parts GROUP BY n, lead),
+templates AS (
+  SELECT doc_id, nth, CASE WHEN alike THEN concat(n, ' ', array_to_string(lead, ' '))
+    ELSE concat('line ', array_to_string(t, ' ')) END AS template
+  FROM lines JOIN leaves USING (n, lead)),
+often AS (SELECT template FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 20),
+gone AS (SELECT doc_id, nth FROM templates JOIN often USING (template)),
+kept AS (
+  SELECT raw.doc_id, string_agg(body, chr(10) ORDER BY raw.nth) FILTER (gone.nth IS NULL) AS body,
+    count(*) AS n_lines, count(gone.nth) AS n_dropped
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.nth = gone.nth GROUP BY raw.doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(body, '') END AS text,
+  CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped
+FROM documents JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT, "op6_line_dedup": LINES}

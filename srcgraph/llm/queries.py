@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcgraph.llm import bpe, decontaminate, exact_dedup, lm, pii, quality, sharding, simhash, toxicity
+from srcgraph.llm import (
+    bpe, decontaminate, exact_dedup, line_dedup, lm, pii, quality, sharding, simhash, toxicity,
+)
 from srcgraph.llm.common import id_hash_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.fit(docs))
@@ -82,6 +89,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op4_lm_scoring, op5_exact_dedup, op7_pii,
-    op8_quality, op9_byte_bpe, op10_sharding,
+    op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op4_lm_scoring, op5_exact_dedup, op6_line_dedup,
+    op7_pii, op8_quality, op9_byte_bpe, op10_sharding,
 )}
