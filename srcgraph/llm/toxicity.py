@@ -29,7 +29,7 @@ NGRAMS = (4, 5)
 INPUTS = 3 + 2 * EMBED
 #: Bounds of the sample the model is fitted on: documents per class, and code points of one of them.
 PER_CLASS, SAMPLE_CHARS = 2000, 65_536
-ROUNDS, BATCH = 6, 256
+ROUNDS, LEAST_STEPS, BATCH = 6, 160, 256
 MAX_WORDS = 60_000
 CHUNK = 4096
 
@@ -243,7 +243,8 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 7) -> Net:
     rows = np.where(rows < 0, len(words) - 1, rows)
     masks = np.concatenate([v >= 0 for v in views])
     adam = _Adam(net, 0.01)
-    for round_ in range(ROUNDS):
+    rounds = max(ROUNDS, min(40, LEAST_STEPS * BATCH // (2 * len(docs))))  # few documents are few steps a round
+    for round_ in range(rounds):
         for side in (0, 1):
             net.word_odds, net.gram_odds = odds[side]
             own = np.flatnonzero(half[of] == side)
@@ -256,7 +257,7 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 7) -> Net:
             clean = own[target[of[own]] == 0]
             more = rng.choice(clean, min(len(clean), len(chosen))) if len(clean) else chosen[:0]
             picked = rng.permutation(np.concatenate([chosen, more]))
-            adam.rate = 0.01 if round_ < ROUNDS // 2 else 0.004
+            adam.rate = 0.01 if round_ < rounds // 2 else 0.004
             for at in range(0, len(picked), BATCH):
                 batch = picked[at:at + BATCH]
                 used, index = np.unique(rows[batch], return_inverse=True)
