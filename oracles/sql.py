@@ -56,16 +56,12 @@ def _framework(known: str) -> str:
 FRAMEWORK = _framework("(SELECT * FROM lang WHERE language <> 'unknown')")
 
 _add("scan_files", FILES, "SELECT repo_id, ord, path FROM kept", KEPT)
-_add("scan_files_capped", FILES,
-     "SELECT repo_id, ord, path FROM kept QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 2000", KEPT)
 _add("read_text", FILES, "SELECT repo_id, ord, content FROM kept WHERE content <> ''", KEPT)
 _add("detect_language", FILES, "SELECT repo_id, ord, language FROM lang", *BASE)
 _add("repo_languages", FILES, """
 SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY first_ord) - 1 AS INTEGER) AS rank, language, first_ord
 FROM (SELECT repo_id, language, min(ord) AS first_ord FROM lang WHERE language <> 'unknown' GROUP BY ALL)""", *BASE)
 _add("detect_framework", FILES, "SELECT * FROM framework", *BASE, FRAMEWORK)
-_add("detect_framework_capped", FILES, "SELECT * FROM framework", *BASE, _framework(
-    "(SELECT * FROM lang WHERE language <> 'unknown' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 20)"))
 _add("relative_path", FILES, """
 SELECT ord, path, CASE WHEN starts_with(path, root) THEN path[len(root) + 1:] ELSE path END AS rel_path
 FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN '/src' ELSE '/.cache' END AS root FROM source_files)""")
@@ -190,15 +186,11 @@ def _sdk_ctes(config_files: str, source_files: str) -> tuple[str, ...]:
 
 
 SDK = _sdk_ctes(f"(SELECT * FROM kept WHERE {CONFIG_WORDS})", "(SELECT * FROM lang WHERE language <> 'unknown')")
-SDK_CAPPED = _sdk_ctes(
-    f"(SELECT * FROM kept WHERE {CONFIG_WORDS} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 10)",
-    "(SELECT * FROM lang WHERE language <> 'unknown' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 20)")
 SDK_OUT = "SELECT repo_id, name, category, sdk_package, in_config, rule_rank, ord, n_env_keys FROM sdks"
 _add("detect_sdks", FILES, SDK_OUT, *BASE, ENV, *SDK)
-_add("detect_sdks_capped", FILES, SDK_OUT, *BASE, ENV, *SDK_CAPPED)
 _add("sdk_env_keys", FILES, "SELECT * FROM sdk_keys", *BASE, ENV, *SDK)
 
-# --- gates and caps ---------------------------------------------------------------
+# --- gates and targets ---------------------------------------------------------------
 
 ROUTE_GATE = f"""(CASE p.family
     WHEN 'script' THEN regexp_matches(content, '{EXPRESS}') OR regexp_matches(content, '{HANDLER}')
@@ -218,16 +210,11 @@ GATES = f"""gates AS (
 _add("content_gates", FILES, "SELECT * FROM gates", *BASE, GATES)
 
 
-def _cap(agent: str, where: str, n: int) -> str:
-    return (f"SELECT repo_id, '{agent}' AS agent, ord, path FROM lang WHERE {where} "
-            f"QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= {n}")
-
-
 _known = "language <> 'unknown'"
-_add("capped_targets", FILES, " UNION ALL ".join([
-    _cap("plan_paths", _known, 50), _cap("plan_contents", _known, 20), _cap("api", _known, 20), _cap("data", MODEL_WORDS, 15),
-    _cap("service_read", _known, 25), _cap("service_prompt", _known, 15), _cap("infra_config", CONFIG_WORDS, 10),
-    _cap("infra_source", _known, 20)]), *BASE)
+_add("step_targets", FILES, " UNION ALL ".join(
+    f"SELECT repo_id, '{agent}' AS agent, ord, path FROM lang WHERE {where}" for agent, where in (
+        ("plan", _known), ("api", _known), ("data", MODEL_WORDS), ("service", _known), ("infra_config", CONFIG_WORDS),
+        ("infra_source", _known))), *BASE)
 _candidates = f"""
 SELECT repo_id, path, pass, ord FROM (
   SELECT *, 0 AS pass FROM kept WHERE regexp_matches(path, '{FEATURE_RE}')
@@ -235,7 +222,6 @@ SELECT repo_id, path, pass, ord FROM (
   {{more}})
 QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY pass, ord) = 1"""
 _add("feature_candidates", FILES, _candidates.format(more="UNION ALL SELECT *, 2 FROM kept WHERE starts_with(path, '/src/routes/')"), KEPT)
-_add("feature_candidates_capped", FILES, f"SELECT * FROM ({_candidates.format(more='')}) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY pass, ord) <= 30", KEPT)
 
 # --- answers -----------------------------------------------------------------------
 
@@ -303,18 +289,14 @@ def _parts(source: str, size: int) -> str:
     return f"(SELECT f.*, CAST(p AS INTEGER) AS part, substring(content, p * {size} + 1, {size}) AS piece FROM {source} f, unnest(range(0, CAST(ceil(length(content) / {size}.0) AS BIGINT))) t(p))"
 
 
-def _file_prompts(targets: str, gate: str, ask: tuple[str, str], agent: str, first_part: bool = False) -> str:
+def _file_prompts(targets: str, gate: str, ask: tuple[str, str], agent: str) -> str:
     rows = f"(SELECT l.* FROM {targets} l LEFT JOIN prim p USING (repo_id) WHERE {gate})"
     return f"""SELECT repo_id, ord, path, part, concat('{ask[0]}', chr(10), 'File: ', path, chr(10), piece, chr(10), '{ask[1]}') AS prompt, '{agent}' AS agent
-FROM {_parts(rows, 3000)} {'WHERE part = 0' if first_part else ''}"""
+FROM {_parts(rows, 3000)}"""
 
 
 _add("build_prompts", FILES, _file_prompts(f"(SELECT * FROM lang WHERE {_known})", ROUTE_GATE, API_ASK, "api") + " UNION ALL "
      + _file_prompts(f"(SELECT * FROM lang WHERE {MODEL_WORDS})", MODEL_GATE, DATA_ASK, "data"), *BASE)
-_add("build_prompts_capped", FILES,
-     _file_prompts(f"(SELECT * FROM lang WHERE {_known} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 20)", ROUTE_GATE, API_ASK, "api", True)
-     + " UNION ALL "
-     + _file_prompts(f"(SELECT * FROM lang WHERE {MODEL_WORDS} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ord) <= 15)", MODEL_GATE, DATA_ASK, "data", True), *BASE)
 _add("planner_prompts", FILES, f"""
 SELECT repo_id, batch, concat('Sort these files into entry points, route files, model files and config files.', chr(10), 'Framework: ', framework, chr(10),
   string_agg(path, chr(10) ORDER BY ord), chr(10), 'Answer with JSON {{entryPoints, routeFiles, modelFiles, configFiles}} of paths as given.') AS prompt
@@ -331,15 +313,15 @@ SELECT repo_id, batch, concat('Which external services do these environment vari
   'Answer with a JSON array of {{name, category, envKeys, sdkPackage}}; [] if none is clear.') AS prompt
 FROM (SELECT *, (n - 1) // 200 AS batch FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ord, pos) AS n FROM (
   SELECT e.* FROM env e JOIN lang l USING (repo_id, ord) WHERE {_known}
-    AND NOT EXISTS (SELECT 1 FROM config_hits h WHERE h.repo_id = e.repo_id)
+    AND NOT EXISTS (SELECT 1 FROM sdks h WHERE h.repo_id = e.repo_id)
   QUALIFY row_number() OVER (PARTITION BY e.repo_id, e.env_key ORDER BY e.ord, e.pos) = 1)))
 GROUP BY repo_id, batch""", *BASE, ENV, *SDK)
 _add("feature_prompts", ("source_files", "nodes"), f"""
-SELECT repo_id, ord, path, part, concat('List the screens a user sees in this file.', chr(10), 'File: ', path, chr(10), piece, chr(10), 'Known nodes: ',
+SELECT repo_id, ord, path, part, coalesce(batch, 0) AS batch, concat('List the screens a user sees in this file.', chr(10), 'File: ', path, chr(10), piece, chr(10), 'Known nodes: ',
   coalesce(summary, '[]'), chr(10), '{FEATURE_TELL}') AS prompt
 FROM {_parts(f"(SELECT * FROM kept WHERE (regexp_matches(path, '{FEATURE_RE}') OR regexp_matches(path, '{ROUTE_RE}')) AND {SCREEN_GATE})", 3000)} f
-LEFT JOIN (SELECT session_id, concat('[', string_agg(concat('{{"id":"', id, '","type":"', type, '","label":"', label, '"}}'), ',' ORDER BY ord), ']') AS summary
-  FROM (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord) <= 30) GROUP BY session_id) s ON s.session_id = f.repo_id""", KEPT)
+LEFT JOIN (SELECT session_id, batch, concat('[', string_agg(concat('{{"id":"', id, '","type":"', type, '","label":"', label, '"}}'), ',' ORDER BY ord), ']') AS summary
+  FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1) // 30 AS batch FROM nodes) GROUP BY session_id, batch) s ON s.session_id = f.repo_id""", KEPT)
 _add("router_prompts", FILES, f"""
 SELECT repo_id, ord, path, part, concat('List every route this router file declares.', chr(10), 'File: ', path, chr(10), piece, chr(10), '{FEATURE_TELL}') AS prompt
 FROM {_parts(f"(SELECT * FROM kept WHERE regexp_matches(path, '{ROUTER_RE}') AND {ROUTER_GATE})", 4000)}""", KEPT)
@@ -354,7 +336,7 @@ GROUP BY session_id, batch""")
 
 
 def _sha(*parts: str) -> str:
-    return "sha256(concat_ws('|', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts) + "))"
+    return "sha256(concat(" + ", ".join(f"length(coalesce(CAST({p} AS VARCHAR), '')), ':', {p}" for p in parts) + "))"
 
 
 BIG = "288230376151711744"      # 2**58
@@ -398,8 +380,8 @@ SERVICES = (SERVICE_REC.replace("rec AS", "service_rec AS"), _nodes(
     "service", 3, "'service'", "name", "file_path", "0.8",
     ", file_path, coalesce(primary_language, 'unknown') AS language, coalesce(framework, 'unknown') AS framework"))
 EXTERNALS = (ENV, *SDK, """first_keys AS (
-  SELECT repo_id, name, string_agg(env_key, ',' ORDER BY ord, pos) AS env_keys FROM sdk_keys k
-  WHERE (SELECT count(DISTINCT o.ord) FROM sdk_keys o WHERE o.repo_id = k.repo_id AND o.name = k.name AND o.ord <= k.ord) <= 10 GROUP BY ALL)""", _nodes(
+  SELECT repo_id, name, string_agg(env_key, ',' ORDER BY ord, pos) AS env_keys FROM (
+    SELECT * FROM sdk_keys QUALIFY row_number() OVER (PARTITION BY repo_id, name, env_key ORDER BY ord, pos) = 1) GROUP BY ALL)""", _nodes(
     "externals", f"(SELECT s.repo_id AS session_id, s.name, s.category, s.sdk_package, CASE WHEN in_config THEN 0 ELSE {BIG} END + ord AS ord, rule_rank AS sub, coalesce(env_keys, '') AS env_keys FROM sdks s LEFT JOIN first_keys USING (repo_id, name))",
     "infra", 4, "CASE WHEN category IN ('queue', 'cloud') THEN 'infra' ELSE 'external' END", "name", "''", "0.85", ", sdk_package, env_keys"))
 FEATURES = (_array("feature_responses", ", pass, file_path").replace("rec AS", "feature_rec AS"), f"""picked AS (
@@ -461,12 +443,13 @@ def _uses(existing: str) -> str:
     ON t.session_id = w.session_id AND t.k = w.k)"""
 
 
-_add("feature_uses", ("source_files", "model_responses", "feature_responses"), "SELECT * FROM uses",
-     *BASE, FRAMEWORK, PROFILE, *SERVICES, *FEATURES, _uses("services"))
 _COMMON = "session_id, source_rank, ord, sub, id, type, label"
+EARLIER = ("main_nodes", "endpoints", "entities", "services", "externals")
+_EARLIER_CTES = (*BASE, *MAIN, *ENDPOINTS, *ENTITIES, *SERVICES, *EXTERNALS)
+_add("feature_uses", ("source_files", "model_responses", "feature_responses"), "SELECT * FROM uses", *_EARLIER_CTES,
+     "earlier AS (" + " UNION ALL ".join(f"SELECT {_COMMON} FROM {t}" for t in EARLIER) + ")", *FEATURES, _uses("earlier"))
 _add("union_findings", ("source_files", "model_responses", "feature_responses"),
-     " UNION ALL ".join(f"SELECT {_COMMON} FROM {t}" for t in ("endpoints", "entities", "services", "features")),
-     *BASE, FRAMEWORK, PROFILE, *ENDPOINTS, *ENTITIES, *SERVICES, *FEATURES)
+     " UNION ALL ".join(f"SELECT {_COMMON} FROM {t}" for t in (*EARLIER, "features")), *_EARLIER_CTES, *FEATURES)
 
 # --- resolution --------------------------------------------------------------------
 
@@ -561,7 +544,9 @@ SELECT session_id, id, coalesce(CASE type WHEN 'service' THEN concat_ws(' · ',
     WHEN 'database' THEN concat(orm, ' · ', db_type) WHEN 'feature' THEN route WHEN 'api' THEN concat(method, ' ', coalesce(route, '/')) ELSE category END, '') AS subtitle,
   type IN ('api', 'feature') AND flag AS auth_mark FROM typed_nodes""")
 
-_add("write_snapshot", ("nodes",), "SELECT session_id, ord, id, type, label, confidence FROM deduped", DEDUPED)
+_add("write_snapshot", ("edges",), """
+SELECT 'node' AS what, session_id, ord, id, type AS detail FROM deduped WHERE session_id <> 3
+UNION ALL SELECT 'edge', session_id, ord, source, target FROM remapped WHERE session_id NOT IN (3, 4)""", DEDUPED, ID_MAP, REMAPPED)
 
 # --- retrieval -----------------------------------------------------------------------
 
@@ -572,9 +557,9 @@ df AS (SELECT group_id, word, count(*) AS df FROM tf GROUP BY ALL),
 asked AS (SELECT DISTINCT group_id, question_id, word FROM (
   SELECT group_id, question_id, unnest(regexp_split_to_array(lower(question), '[^\p{L}\p{N}]+')) AS word FROM questions) WHERE word <> ''),
 scored AS (SELECT a.group_id, a.question_id, t.uuid,
-    round(sum(ln((n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_len)))), 6) AS score
+    round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_len)))), 6) AS score
   FROM asked a JOIN tf t USING (group_id, word) JOIN df USING (group_id, word) JOIN sizes s ON s.group_id = a.group_id
-  WHERE ln((n - df + 0.5) / (df + 0.5)) > 0 GROUP BY ALL),
+  GROUP BY ALL),
 top AS (SELECT group_id, question_id, CAST(row_number() OVER (PARTITION BY group_id, question_id ORDER BY score DESC, uuid) AS INTEGER) AS rank, uuid, score FROM scored
   QUALIFY rank <= 10)"""
 _add("search_facts", ("facts", "questions"), "SELECT * FROM top", TOP)
@@ -687,14 +672,25 @@ SELECT session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS burst_start, strfti
 GROUP BY session_id, burst""")
 _add("dedupe_events", ("event_log",), "SELECT session_id, min(seq) AS seq, event, data FROM event_log GROUP BY session_id, event, data")
 FRAMES = """frame_lines AS (
-  SELECT stream_id, chunk, CAST(i - 1 AS INTEGER) AS pos, lines[i] AS line FROM (SELECT *, string_split(text, chr(10)) AS lines FROM raw_frames), unnest(range(1, len(lines))) t(i)),
+  SELECT l.stream_id, c.chunk, CAST(l.i - 1 - c.feeds AS INTEGER) AS pos, l.line
+  FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY stream_id ORDER BY i) - length(line) - 1 AS start FROM (
+      SELECT stream_id, i, all_lines[i] AS line, len(all_lines) AS n FROM (
+        SELECT stream_id, string_split(string_agg(text, '' ORDER BY chunk), chr(10)) AS all_lines FROM raw_frames GROUP BY stream_id),
+      unnest(range(1, len(all_lines) + 1)) t(i))) l
+  JOIN (SELECT stream_id, chunk, length(text) AS size, sum(length(text)) OVER before AS done,
+      coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER before - (length(text) - length(replace(text, chr(10), ''))), 0) AS feeds
+    FROM raw_frames WINDOW before AS (PARTITION BY stream_id ORDER BY chunk)) c
+    ON c.stream_id = l.stream_id AND l.start >= c.done - c.size AND l.start < c.done
+  WHERE l.i < l.n AND l.line <> ''),
 ends AS (SELECT stream_id, min(chunk * 1000000 + pos) AS stop FROM frame_lines WHERE line = 'data: [DONE]' GROUP BY stream_id),
 frames AS (SELECT f.stream_id, chunk, pos, json_extract_string(CASE WHEN json_valid(line[7:]) THEN line[7:] END, '$.text') AS text
   FROM frame_lines f LEFT JOIN ends e ON e.stream_id = f.stream_id
   WHERE starts_with(line, 'data: ') AND (e.stop IS NULL OR chunk * 1000000 + pos < e.stop))"""
 _add("decode_frames", ("raw_frames",), "SELECT * FROM frames WHERE text IS NOT NULL", FRAMES)
 _add("reassemble_stream", ("raw_frames",), """
-SELECT stream_id, chunk // 1024 AS part, string_agg(text, '' ORDER BY chunk, pos) AS text FROM frames WHERE text IS NOT NULL GROUP BY ALL""", FRAMES)
+SELECT stream_id, part, string_agg(text, '' ORDER BY chunk, pos) AS text FROM (
+  SELECT *, CAST(sum(length(text) + 1024) OVER (PARTITION BY stream_id ORDER BY chunk, pos) - length(text) - 1024 AS BIGINT) // 1048576 AS part
+  FROM frames WHERE text IS NOT NULL) GROUP BY stream_id, part""", FRAMES)
 _add("drop_groups", ("typed_nodes", "event_log"), """
 SELECT * FROM node_facts WHERE group_id NOT IN (SELECT session_id FROM outcome WHERE outcome = 'error')""", FACTS, LOG, CLOSED, OUTCOME)
 

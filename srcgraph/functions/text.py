@@ -87,6 +87,9 @@ def is_repo_url(url: Column, host: str = "github.com") -> Column:
 
 
 def content_id(*parts: Column) -> Column:
-    """Stable id from its parts: the same row gets the same id in every retry of a task."""
+    """Stable id from its parts: the same row gets the same id in every retry of a task.
+
+    Each part is preceded by its length, so that no two lists of parts read the same.
+    """
     filled = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    return F.sha2(F.concat_ws("|", *filled), 256)
+    return F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in filled]), 256)

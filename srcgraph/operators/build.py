@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import keyed_join
-from srcgraph.functions.ranking import first_n, position, running_total
+from srcgraph.functions.ranking import position, running_total
 from srcgraph.functions.text import content_id, label_key
 from srcgraph.operators.rules import INFRA_CATEGORIES
 from srcgraph.schemas import METADATA, METADATA_VARIANTS
@@ -310,11 +310,11 @@ def external_type(category: Column) -> Column:
     return F.when(category.isin(*INFRA_CATEGORIES), "infra").otherwise("external")
 
 
-def externals_from_sdks(sdks: DataFrame, env_keys: DataFrame | None = None, config_files: int = 10) -> DataFrame:
+def externals_from_sdks(sdks: DataFrame, env_keys: DataFrame | None = None) -> DataFrame:
     """External findings from detected services, config evidence first.
 
-    The key list on the node comes from the first `config_files` files that show the
-    service, as many as the reference reads; `sdk_env_keys` holds every one.
+    A node lists each environment key of its service once, in order of first sight;
+    `sdk_env_keys` holds every occurrence.
     """
     df = sdks.select(
         F.col("repo_id").alias("session_id"), "name", "category", "sdk_package",
@@ -323,13 +323,11 @@ def externals_from_sdks(sdks: DataFrame, env_keys: DataFrame | None = None, conf
     )
     if env_keys is None:
         return df.withColumn("env_keys", F.array().cast("array<string>"))
-    per_file = env_keys.groupBy("repo_id", "name", "ord").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "env_key"))), lambda k: k["env_key"]).alias("keys")
-    )
-    first = first_n(per_file, ["repo_id", "name"], ["ord"], config_files)
+    first = env_keys.groupBy("repo_id", "name", "env_key").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    # One entry per distinct name: repeats, however many, are gone before this.
     lists = first.groupBy(F.col("repo_id").alias("session_id"), "name").agg(
-        F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "keys"))), lambda k: k["keys"])
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("at", "env_key"))), lambda k: k["env_key"]
         ).alias("env_keys")
     )
     return df.join(lists, ["session_id", "name"], "left").withColumn(

@@ -165,31 +165,13 @@ def _by_sdk(pick) -> Column:
     return F.expr(f"element_at(array({listed}), sdk + 1)")
 
 
-def sdk_hits(files: DataFrame, caps: dict | None = None) -> DataFrame:
+def sdk_hits(files: DataFrame) -> DataFrame:
     """Hits in config files and in known source files: `(repo_id, ord, sdk, is_config, keys)`.
 
     The one scan behind detect_sdks and sdk_env_keys; write it to a table to use both.
-    With limits, the files that take part are chosen from paths.
     """
-    caps = caps or {}
-    config_cap, source_cap = caps.get("infra_config"), caps.get("infra_source")
     marked = with_language(files).withColumn("is_config", F.col("path").rlike(CONFIG_PATH))
     known = F.col("language") != "unknown"
-    if config_cap is not None or source_cap is not None:
-        paths = marked.select("repo_id", "ord", "language", "is_config")
-        config = paths.filter("is_config")
-        source = paths.filter(known)
-        if config_cap is not None:
-            config = first_n(config, ["repo_id"], ["ord"], config_cap)
-        if source_cap is not None:
-            source = first_n(source, ["repo_id"], ["ord"], source_cap)
-        chosen = config.select("repo_id", "ord", F.lit(True).alias("as_config")).unionByName(
-            source.select("repo_id", "ord", F.lit(False).alias("as_config"))
-        )
-        hits = _sdk_rows(marked.filter(F.col("is_config") | known), F.lit(None))
-        return hits.join(chosen, ["repo_id", "ord"]).select(
-            "repo_id", "ord", "sdk", F.col("as_config").alias("is_config"), "keys"
-        )
     # A known file named like a config file takes part in both roles.
     roles = F.when(F.col("is_config") & known, F.array(F.lit(True), F.lit(False))).otherwise(
         F.array(F.col("is_config"))
@@ -204,14 +186,14 @@ def _own_keys() -> Column:
     return F.filter(F.col("keys"), lambda k: F.contains(F.upper(k), needle))
 
 
-def detect_sdks(files: DataFrame, caps: dict | None = None) -> DataFrame:
+def detect_sdks(files: DataFrame) -> DataFrame:
     """`(repo_id, name, category, sdk_package, in_config, rule_rank, ord, n_env_keys)`.
 
     A service seen in a config file takes its package from the rule and counts the
     environment keys of every config file that shows it; one seen only in source
     files is named after itself and has no keys. `ord` is the first file that counts.
     """
-    return sdks_from_hits(sdk_hits(files, caps))
+    return sdks_from_hits(sdk_hits(files))
 
 
 def sdks_from_hits(hits: DataFrame) -> DataFrame:
@@ -241,9 +223,9 @@ def sdks_from_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def sdk_env_keys(files: DataFrame, caps: dict | None = None) -> DataFrame:
+def sdk_env_keys(files: DataFrame) -> DataFrame:
     """`(repo_id, name, ord, pos, env_key)`: keys of each service, file by file, repeats kept."""
-    return env_keys_from_hits(sdk_hits(files, caps))
+    return env_keys_from_hits(sdk_hits(files))
 
 
 def env_keys_from_hits(hits: DataFrame) -> DataFrame:

@@ -6,30 +6,11 @@ Steps that only need paths never read `content`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.functions.ranking import first_n
 from srcgraph.functions.text import LANGUAGE_FAMILY, detect_language, language_family, strip_root
 
-# The sizes of the reference's samples, off unless a caller passes them.
-REFERENCE_CAPS = {
-    "scan": 2000,
-    "plan_paths": 50,
-    "plan_contents": 20,
-    "api": 20,
-    "api_fallback": 30,
-    "data": 15,
-    "service_read": 25,
-    "service_prompt": 15,
-    "infra_config": 10,
-    "infra_source": 20,
-    "features": 30,
-    "router": 5,
-    "feature_nodes": 30,
-    "critic_batch": 50,
-}
-
 # Path and content marks of file roles.
 MODEL_PATH = r"(?i)model|schema|entity|migration"
 CONFIG_PATH = r"(?i)package\.json|requirements\.txt|go\.mod|docker-compose|\.env\.example|Dockerfile"
@@ -93,12 +74,9 @@ def contains_any(col: Column, needles) -> Column:
     return any_of(F.contains(col, F.lit(n)) for n in needles)
 
 
-def scan_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Drop hidden names, `node_modules` and `__pycache__`; optionally keep the first files per repository."""
-    kept = files.filter(~F.col("path").rlike(_HIDDEN))
-    if max_files is not None:
-        kept = first_n(kept, ["repo_id"], ["ord"], max_files)
-    return kept
+def scan_files(files: DataFrame) -> DataFrame:
+    """Drop hidden names, `node_modules` and `__pycache__`."""
+    return files.filter(~F.col("path").rlike(_HIDDEN))
 
 
 def read_text(files: DataFrame) -> DataFrame:
@@ -155,20 +133,20 @@ def _decoded(df: DataFrame) -> DataFrame:
     )
 
 
-def detect_framework(files: DataFrame, content_files: int | None = None) -> DataFrame:
+def detect_framework(files: DataFrame) -> DataFrame:
     """Framework per repository: paths of all files, contents of known ones, first evidence wins.
 
     Each piece of evidence becomes a boolean in the scan, so only booleans are shuffled.
     """
-    return _profiled(files, content_files).select("repo_id", "framework")
+    return _profiled(files).select("repo_id", "framework")
 
 
-def repo_profile(files: DataFrame, content_files: int | None = None) -> DataFrame:
+def repo_profile(files: DataFrame) -> DataFrame:
     """One row per repository: framework and primary language (null when no file is known)."""
-    return _decoded(_profiled(files, content_files))
+    return _decoded(_profiled(files))
 
 
-def _profiled(files: DataFrame, content_files: int | None) -> DataFrame:
+def _profiled(files: DataFrame) -> DataFrame:
     known = F.col("language") != "unknown"
     marked = with_language(files)
     flags = []
@@ -179,16 +157,6 @@ def _profiled(files: DataFrame, content_files: int | None) -> DataFrame:
         marked = marked.withColumn(f"e{i}", F.coalesce(flag, F.lit(False)))
         flags.append(f"e{i}")
     marked = marked.select("repo_id", "ord", "language", *flags)
-    if content_files is not None:
-        # Only content evidence is limited to the first known files.
-        content_flags = [f for f, e in zip(flags, FRAMEWORK_EVIDENCE, strict=True) if e[1] == "content"]
-        limited = first_n(marked.filter(known), ["repo_id"], ["ord"], content_files)
-        path_only = marked.select(
-            "repo_id", "ord", "language", *[F.lit(False).alias(f) if f in content_flags else F.col(f) for f in flags]
-        )
-        marked = path_only.unionByName(
-            limited.select("repo_id", "ord", "language", *[F.col(f) if f in content_flags else F.lit(False).alias(f) for f in flags])
-        )
     found = marked.groupBy("repo_id").agg(_first_language(), *[F.bool_or(f).alias(f) for f in flags])
     framework = F.when(F.lit(False), F.lit(None).cast("string"))
     for flag, (name, _, _) in zip(flags, FRAMEWORK_EVIDENCE, strict=True):
@@ -223,49 +191,22 @@ def router_gate(content: Column) -> Column:
     return (F.length(content) >= MIN_SCREEN_CHARS) & contains_any(content, ROUTER_MARKS)
 
 
-def capped_targets(files: DataFrame, caps: dict | None = None) -> DataFrame:
-    """`(repo_id, agent, ord, path)`: the files each step looks at, limits before gates.
-
-    `caps` None means no limits; REFERENCE_CAPS gives the sample sizes above.
-    """
-    caps = caps or {}
-    paths = with_language(files.select("repo_id", "ord", "path"))
-    known = F.col("language") != "unknown"
+def step_targets(files: DataFrame) -> DataFrame:
+    """`(repo_id, agent, ord, path)`: the files each step looks at, from paths alone, in one scan."""
+    path, known = F.col("path"), F.col("language") != "unknown"
+    model, config = path.rlike(MODEL_PATH), path.rlike(CONFIG_PATH)
     roles = {
-        "plan_paths": (known, caps.get("plan_paths")),
-        "plan_contents": (known, caps.get("plan_contents")),
-        "api": (known, caps.get("api")),
-        "data": (F.col("path").rlike(MODEL_PATH), caps.get("data")),
-        "service_read": (known, caps.get("service_read")),
-        "service_prompt": (known, caps.get("service_prompt")),
-        "infra_config": (F.col("path").rlike(CONFIG_PATH), caps.get("infra_config")),
-        "infra_source": (known, caps.get("infra_source")),
+        "plan": known, "api": known, "data": model, "service": known, "infra_config": config, "infra_source": known,
     }
-    # One scan, one shuffle: a file takes part once per step it belongs to.
     steps = F.filter(
-        F.array(*[F.when(cond, F.lit(name)) for name, (cond, _) in roles.items()]), lambda s: s.isNotNull()
-    )
-    targets = paths.select("repo_id", F.explode_outer(steps).alias("agent"), "ord", "path").filter(
-        F.col("agent").isNotNull()
+        F.array(*[F.when(cond, F.lit(name)) for name, cond in roles.items()]), lambda s: s.isNotNull()
     )
-    limits = {name: cap for name, (_, cap) in roles.items() if cap is not None}
-    if not limits:
-        return targets
-    exact = F.when(F.lit(False), F.lit(None).cast("int"))
-    for name, cap in limits.items():
-        exact = exact.when(F.col("agent") == name, cap)
-    place = F.row_number().over(Window.partitionBy("repo_id", "agent").orderBy("ord"))
-    # The widest limit is a literal, so it also prunes before the shuffle.
-    limited = (
-        targets.filter(F.col("agent").isin(*limits)).withColumn("__rn", place)
-        .filter((F.col("__rn") <= max(limits.values())) & (F.col("__rn") <= exact)).drop("__rn")
+    return with_language(files.select("repo_id", "ord", "path")).select(
+        "repo_id", F.explode(steps).alias("agent"), "ord", "path"
     )
-    if len(limits) == len(roles):
-        return limited
-    return targets.filter(~F.col("agent").isin(*limits)).unionByName(limited)
 
 
-def feature_candidates(files: DataFrame, planned_routes: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+def feature_candidates(files: DataFrame, planned_routes: DataFrame | None = None) -> DataFrame:
     """Screen files, then route files, then the planner's route files; each path once, earliest place wins."""
     path = F.col("path")
     paths = files.select("repo_id", "ord", "path")
@@ -276,7 +217,6 @@ def feature_candidates(files: DataFrame, planned_routes: DataFrame | None = None
         candidates = candidates.unionByName(
             planned_routes.select("repo_id", "ord", "path").withColumn("pass", F.lit(2))
         )
-    first = candidates.groupBy("repo_id", "path").agg(F.min(F.struct("pass", "ord")).alias("at")).select(
+    return candidates.groupBy("repo_id", "path").agg(F.min(F.struct("pass", "ord")).alias("at")).select(
         "repo_id", "path", F.col("at.pass").alias("pass"), F.col("at.ord").alias("ord")
     )
-    return first if cap is None else first_n(first, ["repo_id"], ["pass", "ord"], cap)

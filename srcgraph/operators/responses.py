@@ -11,10 +11,10 @@ _ARRAY = r"(?s)\[.*\]"
 _OBJECT = r"(?s)\{.*\}"
 
 
-def json_array(text: Column, shape: str) -> Column:
-    """First `[` to last `]`, parsed; an empty array where that fails."""
-    ddl = f"array<{shape}>"
-    return F.coalesce(F.from_json(F.regexp_extract(text, _ARRAY, 0), ddl), F.array().cast(ddl))
+def json_array(text: Column) -> Column:
+    """First `[` to last `]`, its elements as JSON texts; an empty array where that fails."""
+    elements = F.from_json(F.regexp_extract(text, _ARRAY, 0), "array<string>")
+    return F.coalesce(elements, F.array().cast("array<string>"))
 
 
 def json_object(text: Column, shape: str) -> Column:
@@ -25,11 +25,14 @@ def json_object(text: Column, shape: str) -> Column:
 def parse_responses(responses: DataFrame, agent: str) -> DataFrame:
     """One row per record: the answer's columns without `text`, then `sub` and the record's fields.
 
-    Records that are JSON null or not objects come back as null and are left out.
+    Each element is parsed by itself: one that is null or no object is left out, the
+    others stay.
     """
     rest = [c for c in responses.columns if c != "text"]
     return (
-        responses.select(*rest, F.posexplode_outer(json_array(F.col("text"), ANSWER_SHAPES[agent])).alias("sub", "r"))
+        responses.select(*rest, F.posexplode(json_array(F.col("text"))).alias("sub", "element"))
+        .filter(F.startswith("element", F.lit("{")))
+        .withColumn("r", F.from_json("element", ANSWER_SHAPES[agent]))
         .filter(F.col("r").isNotNull())
         .select(*rest, "sub", "r.*")
     )

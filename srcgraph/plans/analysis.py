@@ -49,7 +49,6 @@ def analyze(
     feature_answers: DataFrame | None = None,
     verdict_answers: DataFrame | None = None,
     entry_points: DataFrame | None = None,
-    caps: dict | None = None,
     work_dir: str | None = None,
 ) -> Graph:
     """Run every stage. Answers are tables of recorded model responses `(session_id, ord, …, text)`.
@@ -58,15 +57,14 @@ def analyze(
     and features from answers. File contents are read in three scans: rules, services
     and frameworks; only their small results are written and used from there on.
     """
-    caps = caps or {}
     work = Workspace(source.sparkSession, work_dir)
-    kept = filing.read_text(filing.scan_files(source, caps.get("scan")))
+    kept = filing.read_text(filing.scan_files(source))
 
-    profile = work.saved("profile", filing.repo_profile(kept, caps.get("plan_contents")).select(
+    profile = work.saved("profile", filing.repo_profile(kept).select(
         F.col("repo_id").alias("session_id"), "framework", "primary_language", F.lit("/").alias("root")
     ))
     found = work.saved("found", extract.extract(kept, rules.ROUTE_RULES + rules.MODEL_RULES))
-    hits = work.saved("hits", extract.sdk_hits(kept, caps))
+    hits = work.saved("hits", extract.sdk_hits(kept))
     sdks, keys = extract.sdks_from_hits(hits), extract.env_keys_from_hits(hits)
 
     main = build.main_nodes(profile, entry_points)

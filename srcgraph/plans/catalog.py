@@ -102,12 +102,6 @@ def scan_files(spark, sf):
     return kept(spark, sf).select("repo_id", "ord", "path")
 
 
-@query
-def scan_files_capped(spark, sf):
-    cap = files.REFERENCE_CAPS["scan"]
-    return files.scan_files(view(spark, sf, "source_files"), cap).select("repo_id", "ord", "path")
-
-
 @query
 def read_text(spark, sf):
     raw = texts(spark, sf).withColumn("content", F.col("content").cast("binary"))
@@ -129,11 +123,6 @@ def detect_framework(spark, sf):
     return files.detect_framework(texts(spark, sf))
 
 
-@query
-def detect_framework_capped(spark, sf):
-    return files.detect_framework(texts(spark, sf), files.REFERENCE_CAPS["plan_contents"])
-
-
 @query
 def relative_path(spark, sf):
     root = F.when(F.col("ord") % 2 == 0, "/src").otherwise("/.cache")
@@ -158,8 +147,8 @@ def content_gates(spark, sf):
 
 
 @query
-def capped_targets(spark, sf):
-    return files.capped_targets(kept(spark, sf), files.REFERENCE_CAPS)
+def step_targets(spark, sf):
+    return files.step_targets(kept(spark, sf))
 
 
 @query
@@ -169,11 +158,6 @@ def feature_candidates(spark, sf):
     return files.feature_candidates(k, planned)
 
 
-@query
-def feature_candidates_capped(spark, sf):
-    return files.feature_candidates(kept(spark, sf), cap=files.REFERENCE_CAPS["features"])
-
-
 # --- extraction ----------------------------------------------------------------------
 
 @query
@@ -219,11 +203,6 @@ def detect_sdks(spark, sf):
     return extract.detect_sdks(texts(spark, sf))
 
 
-@query
-def detect_sdks_capped(spark, sf):
-    return extract.detect_sdks(texts(spark, sf), files.REFERENCE_CAPS)
-
-
 @query
 def sdk_env_keys(spark, sf):
     return extract.sdk_env_keys(texts(spark, sf))
@@ -288,16 +267,6 @@ def build_prompts(spark, sf):
     )
 
 
-@query
-def build_prompts_capped(spark, sf):
-    """The reference's own samples: first files, first part of each."""
-    k, caps = texts(spark, sf), files.REFERENCE_CAPS
-    return (
-        prompts.api_prompts(k, caps).withColumn("agent", F.lit("api"))
-        .unionByName(prompts.data_prompts(k, caps).withColumn("agent", F.lit("data")))
-    )
-
-
 @query
 def service_prompts(spark, sf):
     return prompts.service_prompts(texts(spark, sf))
@@ -306,7 +275,7 @@ def service_prompts(spark, sf):
 @query
 def infra_prompts(spark, sf):
     k = texts(spark, sf)
-    return prompts.infra_prompts(k, extract.detect_sdks(k.filter(F.col("path").rlike(files.CONFIG_PATH))))
+    return prompts.infra_prompts(k, extract.detect_sdks(k))
 
 
 @query
@@ -363,6 +332,16 @@ def features_of(spark, sf):
     return picked, build.feature_nodes(picked)
 
 
+def earlier_of(spark, sf):
+    """Nodes of all sources before the features."""
+    known = profile(spark, sf)
+    records = responses.parse_responses(view(spark, sf, "model_responses"), "service")
+    return resolve.union_findings([
+        build.main_nodes(known), endpoint_nodes_of(spark, sf), entity_nodes_of(spark, sf),
+        build.service_nodes(records, known), external_nodes_of(spark, sf),
+    ])
+
+
 EDGE_VIEW = ("session_id", "id", "source", "target", "type", "label", "animated", "relationship_type", "direction")
 
 
@@ -449,7 +428,7 @@ def feature_nodes(spark, sf):
 @query
 def feature_uses(spark, sf):
     picked, nodes = features_of(spark, sf)
-    return build.feature_uses(picked, nodes, services_of(spark, sf)[1]).select(
+    return build.feature_uses(picked, nodes, earlier_of(spark, sf)).select(
         "session_id", "ord", "sub", "source", "target", "label", "relationship_type")
 
 
@@ -462,8 +441,7 @@ def external_answers_of(spark, sf):
 
 @query
 def union_findings(spark, sf):
-    parts = [endpoint_nodes_of(spark, sf), entity_nodes_of(spark, sf), None, services_of(spark, sf)[1],
-             features_of(spark, sf)[1]]
+    parts = [earlier_of(spark, sf), features_of(spark, sf)[1]]
     return resolve.union_findings(parts).select("session_id", "source_rank", "ord", "sub", "id", "type", "label")
 
 
@@ -570,13 +548,16 @@ def facts(spark, sf):
 
 @query
 def write_snapshot(spark, sf):
-    """Resolved graph written as a snapshot, then its nodes read back."""
+    """Resolved graph written as a snapshot; session 3 written again empty, session 4 without edges; then read back."""
     nodes, edges = resolved(spark, sf)
     path = f"{Workspace(spark).base}/snapshot"
     sinks.write_snapshot(nodes, edges, path)
-    return spark.read.parquet(f"{path}/nodes").select(
-        F.col("session_id").cast(nodes.schema["session_id"].dataType).alias("session_id"),
-        "ord", "id", "type", "label", "confidence")
+    again = nodes.select("session_id").filter("session_id IN (3, 4)").distinct()
+    sinks.write_snapshot(nodes.filter("session_id = 4"), edges.filter("false"), path, again)
+    nodes, edges = sinks.read_snapshot(spark, path)
+    return nodes.select(F.lit("node").alias("what"), "session_id", "ord", "id", F.col("type").alias("detail")).unionByName(
+        edges.select(F.lit("edge").alias("what"), "session_id", "ord", F.col("source").alias("id"),
+                     F.col("target").alias("detail")))
 
 
 # --- retrieval ------------------------------------------------------------------------------

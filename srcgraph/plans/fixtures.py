@@ -23,7 +23,8 @@ VIEWS: dict[str, str] = {
                 WHEN doc_id % 16 = 5 THEN concat('f', CAST(doc_id AS VARCHAR(20)), 'App.tsx')
                 ELSE concat('f', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 5 = 0 THEN '.ts' WHEN doc_id % 5 = 1 THEN '.PY' WHEN doc_id % 5 = 2 THEN '.go' WHEN doc_id % 5 = 3 THEN '.mjs' ELSE '.md' END) END) AS path,
     concat(
-      CASE WHEN doc_id % 7 = 0 THEN concat('const app = make()', chr(10), 'app.get(', chr(39), '/v', CAST(doc_id % 9 AS VARCHAR(20)), chr(39), ', h)', chr(10), 'router.post( "/p")', chr(10), 'export async function GET(){}')
+      CASE WHEN doc_id % 20 = 13 THEN concat('process.env.FLAG_', CAST(doc_id % 9 AS VARCHAR(20)), chr(10), 'process.env.PLAIN_FLAG')
+           WHEN doc_id % 7 = 0 THEN concat('const app = make()', chr(10), 'app.get(', chr(39), '/v', CAST(doc_id % 9 AS VARCHAR(20)), chr(39), ', h)', chr(10), 'router.post( "/p")', chr(10), 'export async function GET(){}')
            WHEN doc_id % 7 = 1 THEN concat('from flask import Flask', chr(10), '@app.get("/d', CAST(doc_id % 9 AS VARCHAR(20)), '")', chr(10), 'class User(Base):', chr(10), 'os.environ.get("REDIS_URL")', chr(10), 'os.environ["MISSED"]')
            WHEN doc_id % 7 = 2 THEN concat('http.HandleFunc("/h")', chr(10), 'r.GET("/g")', chr(10), 'os.Getenv("STRIPE_KEY")')
            WHEN doc_id % 7 = 3 THEN concat('model M', CAST(doc_id % 17 AS VARCHAR(20)), ' {', chr(10), 'class S extends Model', chr(10), '@Entity("t") export class T', CAST(doc_id % 5 AS VARCHAR(20)), ' {}', chr(10), 'new Schema({', chr(10), 'new Schema(')
@@ -80,12 +81,12 @@ VIEWS: dict[str, str] = {
     "edges": """
   SELECT n.session_id, o.o_orderkey AS ord, n.id AS source, m.id AS target,
     CASE o.o_orderstatus WHEN 'O' THEN 'HANDLES' WHEN 'F' THEN 'DEPENDS_ON' ELSE 'CONNECTS_TO' END AS relationship_type
-  FROM orders o JOIN nodes n ON n.ord = o.o_custkey JOIN nodes m ON m.ord = (o.o_orderkey * 7) % 40
+  FROM orders o JOIN nodes n ON n.ord = o.o_custkey JOIN nodes m ON m.ord = o.o_orderkey * 7 % (SELECT count(*) FROM part)
   WHERE n.session_id = m.session_id""",
     "model_responses": """
   SELECT doc_id % 20 AS session_id, doc_id AS ord,
     CASE WHEN doc_id % 11 = 0 THEN 'no findings [oops' WHEN doc_id % 11 = 1 THEN '[]'
-      ELSE concat('Sure:', chr(10), '[{"name":"S', CAST(doc_id % 37 AS VARCHAR(20)), '","filePath":"/s', CAST(doc_id AS VARCHAR(20)), '","dependsOn":["S', CAST((doc_id * 3) % 41 AS VARCHAR(20)), '","S', CAST(doc_id % 37 AS VARCHAR(20)), '"]}]', chr(10), 'done') END AS text
+      ELSE concat(replace(replace(coalesce(text, ''), '[', '('), ']', ')'), chr(10), '[3,{"name":"S', CAST(doc_id % 37 AS VARCHAR(20)), '","filePath":"/s', CAST(doc_id AS VARCHAR(20)), '","dependsOn":["S', CAST((doc_id * 3) % 41 AS VARCHAR(20)), '","S', CAST(doc_id % 37 AS VARCHAR(20)), '"]},null,"plain",["list"]]', chr(10), 'done') END AS text
   FROM documents""",
     "endpoint_responses": """
   SELECT doc_id % 20 AS session_id, doc_id AS ord, concat('/api/f', CAST(doc_id AS VARCHAR(20)), '.ts') AS file_path,
@@ -96,7 +97,7 @@ VIEWS: dict[str, str] = {
     "entity_responses": """
   SELECT doc_id % 20 AS session_id, doc_id AS ord, concat('/db/f', CAST(doc_id AS VARCHAR(20)), '.ts') AS file_path,
     CASE WHEN doc_id % 9 = 0 THEN '[{"name":' WHEN doc_id % 9 = 1 THEN '[]'
-      ELSE concat('Found ', '[{"name":"T', CAST(doc_id % 29 AS VARCHAR(20)), '","dbType":"postgres","orm":"prisma","fields":[{"name":"id","type":"int","nullable":false},{"name":"c', CAST(doc_id % 4 AS VARCHAR(20)), '","type":"string","nullable":true}]}',
+      ELSE concat(replace(replace(coalesce(text, ''), '[', '('), ']', ')'), ' Found ', '[true,{"name":"T', CAST(doc_id % 29 AS VARCHAR(20)), '","dbType":"postgres","orm":"prisma","fields":[{"name":"id","type":"int","nullable":false},{"name":"c', CAST(doc_id % 4 AS VARCHAR(20)), '","type":"string","nullable":true}]}',
          CASE WHEN doc_id % 3 = 0 THEN concat(',{"name":"U', CAST(doc_id % 31 AS VARCHAR(20)), '","dbType":"mongodb","orm":"mongoose","fields":[]}') ELSE '' END, ']') END AS text
   FROM documents""",
     "external_responses": """
@@ -122,10 +123,11 @@ VIEWS: dict[str, str] = {
   FROM documents""",
     "raw_frames": """
   SELECT conv_id AS stream_id, turn AS chunk,
-    concat('event: message', chr(10), 'data: {"text":"', replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')), '"}', chr(10), chr(10),
+    CASE WHEN turn % 7 = 4 THEN ' chunks and' ELSE concat(CASE WHEN turn % 7 = 2 THEN concat('lit"}', chr(10)) WHEN turn % 7 = 5 THEN concat(' ends"}', chr(10)) ELSE '' END,
+      'event: message', chr(10), 'data: {"text":"', replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')), '"}', chr(10), chr(10),
       CASE WHEN turn % 4 = 1 THEN concat('data: {bad', chr(10), 'junk', chr(10), 'data: {"other":1}', chr(10)) ELSE '' END,
       CASE WHEN turn % 3 = 2 AND conv_id % 2 = 0 THEN concat('data: [DONE]', chr(10)) ELSE '' END,
-      'data: {"text":"cut off"}', CASE WHEN turn % 5 = 4 THEN '' ELSE chr(10) END) AS text
+      'data: {"text":"cut off"}', chr(10), CASE WHEN turn % 7 = 1 THEN 'data: {"text":"sp' WHEN turn % 7 = 3 THEN 'data: {"text":"three' WHEN turn % 5 = 4 THEN 'data: {"text":"un' ELSE '' END) END AS text
   FROM conversations""",
     "facts": """
   SELECT source AS group_id, concat('f', CAST(doc_id AS VARCHAR(20))) AS uuid, text AS fact FROM documents""",

@@ -36,13 +36,16 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and checkpoints.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests,
-    a single machine) one temporary folder per process is used.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and the master
+    is local (tests, a single machine) one temporary folder per process is used.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="srcgraph-")
     return _own_dir

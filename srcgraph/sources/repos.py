@@ -20,9 +20,8 @@ from srcgraph.schemas import SOURCE_FILES
 SKIPPED_NAMES = ("node_modules", "__pycache__")
 
 
-def walk(root: str, max_files: int | None = None) -> Iterator[str]:
-    """Paths below `root` in name order. `max_files` is checked on entering a directory only."""
-    count = 0
+def walk(root: str) -> Iterator[str]:
+    """Paths below `root` in name order."""
     stack = [iter([(root, True)])]
     while stack:
         entry = next(stack[-1], None)
@@ -31,9 +30,8 @@ def walk(root: str, max_files: int | None = None) -> Iterator[str]:
             continue
         path, is_dir = entry
         if not is_dir:
-            count += 1
             yield path
-        elif max_files is None or count < max_files:
+        else:
             with os.scandir(path) as found:
                 inside = sorted(
                     (e.path, e.is_dir(follow_symlinks=False)) for e in found
@@ -51,8 +49,6 @@ class RepoReader(DataSourceReader):
     def __init__(self, options: dict):
         self.base = options["path"]
         self.splits = int(options.get("splits", "1"))
-        cap = options.get("maxfiles")
-        self.max_files = int(cap) if cap else None
 
     def partitions(self) -> list[RepoShare]:
         names = sorted(e.name for e in os.scandir(self.base) if e.is_dir() and not e.name.startswith("."))
@@ -62,7 +58,7 @@ class RepoReader(DataSourceReader):
         ]
 
     def read(self, partition: RepoShare) -> Iterator[tuple]:
-        for place, path in enumerate(walk(partition.root, self.max_files)):
+        for place, path in enumerate(walk(partition.root)):
             relative = path[len(partition.root):]
             if zlib.crc32(relative.encode("utf-8", "surrogateescape")) % partition.shares != partition.share:
                 continue
@@ -88,9 +84,6 @@ class RepoSource(DataSource):
         return RepoReader(self.options)
 
 
-def read_repos(spark: SparkSession, base: str, splits: int = 1, max_files: int | None = None) -> DataFrame:
+def read_repos(spark: SparkSession, base: str, splits: int = 1) -> DataFrame:
     spark.dataSource.register(RepoSource)
-    reader = spark.read.format("repos").option("splits", str(splits))
-    if max_files is not None:
-        reader = reader.option("maxfiles", str(max_files))
-    return reader.load(base)
+    return spark.read.format("repos").option("splits", str(splits)).load(base)

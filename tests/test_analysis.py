@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from srcgraph.operators.files import REFERENCE_CAPS
 from srcgraph.plans.analysis import analyze
 
 SOURCE = "repo_id bigint, ord bigint, path string, content string"
@@ -46,12 +45,19 @@ def test_graph_of_two_repositories(rows):
     assert sorted(r["n_targets"] for r in graph.related.collect()) == [1, 1]
 
 
+def test_nodes_name_every_key_once(rows):
+    files = [(1, i, f"/d{i}/package.json", f"stripe process.env.STRIPE_{i} process.env.STRIPE_ALL") for i in range(12)]
+    node = analyze(rows(files, SOURCE)).nodes.filter("label = 'Stripe'").first()
+    keys = node["metadata"]["external"]["env_keys"]
+    assert keys == ["STRIPE_0", "STRIPE_ALL", *[f"STRIPE_{i}" for i in range(1, 12)]]
+
+
 def test_review_removes_nodes_edges_and_relations(rows):
     source, services, features = inputs(rows)
     first = analyze(source, services, features).nodes
     gone = [r["id"] for r in first.filter("label in ('Billing', 'Team')").collect()]
     verdicts = rows([(1, 0, 'remove: {"remove": ["%s", "%s"]}' % tuple(gone))], ANSWER)
-    graph = analyze(source, services, features, verdicts, caps=REFERENCE_CAPS)
+    graph = analyze(source, services, features, verdicts)
     left = {r["label"] for r in graph.nodes.collect()}
     assert not left & {"Billing", "Team"} and "Mailer" in left
     assert not {e["source"] for e in graph.edges.collect()} & set(gone)

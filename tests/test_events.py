@@ -87,11 +87,25 @@ def test_board_lists_every_agent(events, rows):
 
 def test_frames_stop_at_done(rows):
     text = 'data: {"text":"a"}\njunk\ndata: {bad\ndata: {"text":"b"}\ndata: [DONE]\ndata: {"text":"c"}\n'
-    raw = rows([(1, 0, text), (2, 0, 'data: {"text":"x"}\ndata: {"text":"unfinished"}'), (2, 1, 'data: {"text":"y"}\n')],
+    raw = rows([(1, 0, text), (2, 0, 'data: {"text":"x"}\ndata: {"text":"glued"}'), (2, 1, 'data: {"text":"y"}\n'),
+                (2, 2, 'data: {"text":"unfinished"}')],
                "stream_id bigint, chunk bigint, text string")
     frames = ev.decode_frames(ev.frame_lines(raw))
     chunks = frames.select("stream_id", F.col("chunk").alias("ord"), F.col("pos").alias("sub"), "text")
-    assert {r["stream_id"]: r["text"] for r in ev.reassemble_stream(chunks).collect()} == {1: "ab", 2: "xy"}
+    assert {r["stream_id"]: r["text"] for r in ev.reassemble_stream(chunks).collect()} == {1: "ab", 2: "x"}
+
+
+def test_frames_are_joined_over_chunks(rows):
+    whole = "".join(f'data: {{"text":"t{i}"}}\n\n' for i in range(30)) + 'data: {"text":"open'
+    rng = random.Random(4)
+    for cuts in ([], sorted(rng.sample(range(len(whole)), 12)), list(range(1, len(whole)))):
+        edges = [0, *cuts, len(whole)]
+        raw = rows([(7, n, whole[a:b]) for n, (a, b) in enumerate(zip(edges, edges[1:]))] + [(8, 0, ""), (8, 1, "\n")],
+                   "stream_id bigint, chunk bigint, text string")
+        got = ev.decode_frames(ev.frame_lines(raw)).orderBy("chunk", "pos").collect()
+        assert [r["text"] for r in got] == [f"t{i}" for i in range(30)]
+        starts = [whole.index(f'data: {{"text":"t{i}"') for i in range(30)]
+        assert [r["chunk"] for r in got] == [sum(e <= s for e in cuts) for s in starts]
 
 
 def test_long_streams_come_in_whole_parts(rows):
@@ -99,6 +113,10 @@ def test_long_streams_come_in_whole_parts(rows):
     parts = ev.reassemble_stream(chunks).orderBy("part").collect()
     assert len(parts) == 3
     assert "".join(p["text"] for p in parts) == "".join(f"{i}," for i in range(3000))
+    one = rows([(1, 5, i, "word " * 300) for i in range(2000)], "stream_id bigint, ord bigint, sub bigint, text string")
+    parts = ev.reassemble_stream(one).orderBy("part").collect()
+    assert len(parts) == 5 and max(len(p["text"]) for p in parts) <= ev.CHARS_PER_PART + 1500
+    assert "".join(p["text"] for p in parts) == "word " * 600_000
 
 
 def random_log(n=400):

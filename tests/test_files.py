@@ -23,7 +23,6 @@ def test_scan_keeps_underscore_names(files):
         "a/__init__.py", "a/.env.example", "a/m.ts", "a/node_modules/z/i.js", "a/.git/x.ts", "a/_p.py",
         "a/__pycache__/x.pyc", "node_modules/q.js", "a/node_modules2/k.js")])
     assert values(fl.scan_files(df).orderBy("ord"), "path") == ["a/__init__.py", "a/m.ts", "a/_p.py", "a/node_modules2/k.js"]
-    assert values(fl.scan_files(df, 2).orderBy("ord"), "path") == ["a/__init__.py", "a/m.ts"]
 
 
 def test_read_text_replaces_bad_bytes_and_skips_empty(rows):
@@ -82,12 +81,11 @@ def test_framework(files, pairs, expected):
     assert fl.detect_framework(files(*pairs)).first()["framework"] == expected
 
 
-def test_framework_content_limit_spares_paths(files):
+def test_framework_reads_all_files(files):
     many = [(f"f{i}.ts", "x") for i in range(20)]
     late = files(*many, ("z.ts", "express()"))
-    assert fl.detect_framework(late, 20).first()["framework"] == "unknown"
     assert fl.detect_framework(late).first()["framework"] == "express"
-    assert fl.detect_framework(files(*many, ("next.config.mjs", "")), 20).first()["framework"] == "nextjs"
+    assert fl.detect_framework(files(*many, ("next.config.mjs", ""))).first()["framework"] == "nextjs"
 
 
 def test_candidates_keep_the_earliest_place(files):
@@ -97,10 +95,7 @@ def test_candidates_keep_the_earliest_place(files):
     assert values(got, "path", "pass") == [("src/HomePage.tsx", 0), ("src/App.tsx", 1), ("src/lib.ts", 2)]
 
 
-def test_caps_come_before_gates(files):
-    df = files(*[(f"m{i}_model.ts", "") for i in range(30)])
-    got = {r["agent"]: r["n"] for r in fl.capped_targets(df, fl.REFERENCE_CAPS).groupBy("agent").agg(F.count("*").alias("n")).collect()}
-    assert got == {"plan_paths": 30, "plan_contents": 20, "api": 20, "data": 15, "service_read": 25,
-                   "service_prompt": 15, "infra_source": 20}
-    free = fl.capped_targets(df)
-    assert free.filter("agent = 'api'").count() == 30
+def test_steps_look_at_all_their_files(files):
+    df = files(*[(f"m{i}_model.ts", "") for i in range(30)], ("package.json", ""), ("x.md", ""))
+    got = {r["agent"]: r["n"] for r in fl.step_targets(df).groupBy("agent").agg(F.count("*").alias("n")).collect()}
+    assert got == {"plan": 30, "api": 30, "data": 30, "service": 30, "infra_source": 30, "infra_config": 1}

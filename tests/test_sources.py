@@ -37,21 +37,36 @@ def test_shares_of_a_repository_add_up(spark, tree):
     assert {tuple(r) for r in split.drop("content").collect()} == one
 
 
-def test_soft_limit_is_checked_on_entering_directories(tmp_path):
-    for i in range(4):
-        os.makedirs(tmp_path / f"d{i}")
-        for j in range(3):
-            (tmp_path / f"d{i}" / f"f{j}").write_text("x")
-    assert len(list(repos.walk(str(tmp_path), 4))) == 6
-    assert len(list(repos.walk(str(tmp_path)))) == 12
+def test_snapshot_replaces_whole_sessions(spark, rows, tmp_path):
+    path = str(tmp_path / "snap")
+    nodes = rows([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "session_id bigint, id string")
+    edges = rows([(1, "a", "b"), (2, "c", "c"), (3, "d", "d")], "session_id bigint, source string, target string")
+    sinks.write_snapshot(nodes, edges, path)
+    sinks.write_snapshot(rows([(1, "z")], "session_id bigint, id string"), edges.filter("false"), path)
+    sinks.write_snapshot(nodes.filter("false"), edges.filter("false"), path, rows([(3,)], "session_id bigint"))
+    left, links = sinks.read_snapshot(spark, path)
+    assert {(r["session_id"], r["id"]) for r in left.collect()} == {(1, "z"), (2, "c")}
+    assert [(r["session_id"], r["source"]) for r in links.collect()] == [(2, "c")]
 
 
-def test_snapshot_replaces_only_its_sessions(spark, rows, tmp_path):
+def test_a_write_that_breaks_off_changes_nothing(spark, rows, tmp_path):
     path = str(tmp_path / "snap")
-    nodes = rows([(1, "a"), (1, "b"), (2, "c")], "session_id bigint, id string")
-    edges = rows([(1, "a", "b"), (2, "c", "c")], "session_id bigint, source string, target string")
+    nodes, edges = rows([(1, "a")], "session_id bigint, id string"), rows([(1, "a")], "session_id bigint, source string")
     sinks.write_snapshot(nodes, edges, path)
-    sinks.write_snapshot(rows([(1, "z")], "session_id bigint, id string"), edges.filter("session_id = 1"), path)
-    got = {(r["session_id"], r["id"]) for r in spark.read.parquet(f"{path}/nodes").collect()}
-    assert got == {(1, "z"), (2, "c")}
-    assert spark.read.parquet(f"{path}/edges").filter(F.col("session_id") == 2).count() == 1
+    nodes.withColumn("id", F.lit("half")).write.parquet(f"{path}/nodes/batch=9999999999999999999"[:-1])
+    assert [r["id"] for r in sinks.read_snapshot(spark, path)[0].collect()] == ["a"]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from srcgraph import session
+
+    def fake(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError):
+        session.shared_dir(fake("spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(fake("local-cluster[2,1,1024]"))
+    assert session.shared_dir(fake("yarn", "hdfs://x")) == "hdfs://x"
