@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.functions.joins import keyed_join
+from srcgraph.functions.joins import fits_broadcast, keyed_join, lookup_join
 from srcgraph.llm.common import cut, text_key
 
 LEADING = 3
@@ -28,8 +28,10 @@ VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^0-9\\x20\\x09-\\x0D]*+[0-9][^\\x20\\x09-\\
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens, one space apart, those with a digit as <*>."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), WHITE_SPACE, " "))
+    """The line's tokens, one space apart, those with a digit as <*>. Most lines need neither rewriting."""
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+    spaced = F.when(line.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(fields, WHITE_SPACE, " ")).otherwise(fields)
+    return F.trim(spaced)
 
 
 def _part(tokens: Column, count: Column, part: int) -> Column:
@@ -44,40 +46,49 @@ def _part(tokens: Column, count: Column, part: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, nth, leaf, line, parts, p0, p1, ...): the lines that have tokens."""
+    """(id, key, nth, body, leaf): the lines that have tokens, masked, and the leaves they go to."""
     rows = docs.select(
         docs[id_col].alias("id"), text_key(docs, text_col).alias("key"),
-        F.posexplode(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1)).alias("nth", "body"),
+        F.posexplode(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1)).alias("nth", "line"),
     )
-    seen = rows.select("id", "key", "nth", masked(F.col("body")).alias("body")).filter("body != ''")
-    split = seen.withColumn("tokens", F.split("body", " ")).withColumn("n", F.size("tokens"))
+    seen = rows.select("id", "key", "nth", masked(F.col("line")).alias("body")).filter("body != ''")
+    count = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1
     leading = F.substring_index("body", " ", LEADING)
-    return split.select(
-        "id", "key", "nth", F.md5(F.concat_ws(" ", F.col("n").cast("string"), leading)).alias("leaf"),
-        F.md5("body").alias("line"), F.least(F.greatest(F.col("n") - LEADING, F.lit(0)), F.lit(PARTS)).alias("parts"),
+    return seen.withColumn("leaf", F.md5(F.concat_ws(" ", count.cast("string"), leading)))
+
+
+def templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(leaf, alike): whether all lines of a leaf are one template, for the leaves (one column) asked for."""
+    asked = lookup_join(lines.select("leaf", "body"), leaves, ["leaf"], "left_semi")
+    split = asked.select("leaf", F.split("body", " ").alias("tokens")).withColumn("n", F.size("tokens"))
+    parts = split.select(
+        "leaf", F.least(F.greatest(F.col("n") - LEADING, F.lit(0)), F.lit(PARTS)).alias("parts"),
         *[_part(F.col("tokens"), F.col("n"), p).alias(f"p{p}") for p in range(PARTS)],
     )
+    ends = [end(f"p{p}").alias(f"{name}{p}") for p in range(PARTS) for name, end in (("low", F.min), ("high", F.max))]
+    same = F.lit(0)
+    for p in range(PARTS):
+        same = same + ((F.col(f"low{p}") == F.col(f"high{p}")) & (F.col("parts") > p)).cast("int")
+    found = parts.groupBy("leaf").agg(F.first("parts").alias("parts"), *ends)
+    return found.select("leaf", (same >= F.col("parts") * ALIKE).alias("alike"))
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, key, nth) of the lines whose template occurs in at least `min_docs` documents.
 
-    Rows with equal id and text are one document.
+    Rows with equal id and text are one document. A template of that many documents has a
+    leaf of at least that many lines, so only the lines of such leaves are compared.
     """
-    low, high = [F.min(f"p{p}").alias(f"l{p}") for p in range(PARTS)], [F.max(f"p{p}").alias(f"h{p}") for p in range(PARTS)]
-    leaves = lines.groupBy("leaf").agg(F.first("parts").alias("parts"), *low, *high)
-    same = F.lit(0)
-    for p in range(PARTS):
-        same = same + ((F.col(f"l{p}") == F.col(f"h{p}")) & (F.col("parts") > p)).cast("int")
-    alike = leaves.select("leaf", (same >= F.col("parts") * ALIKE).alias("alike"))
-    places = lines.select("id", "key", "nth", "leaf", "line")
-    found = keyed_join(places, alike, ["leaf"]).select(
+    lines = lines_of(docs, id_col, text_col)
+    places = cut(lines.select("id", "key", "nth", "leaf", F.md5("body").alias("line")))
+    crowded = cut(places.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    alike = templates(lines, crowded)
+    found = cut(lookup_join(lookup_join(places, crowded, ["leaf"], "left_semi"), cut(alike), ["leaf"]).select(
         "id", "key", "nth", F.when(F.col("alike"), F.col("leaf")).otherwise(F.col("line")).alias("template"),
-    )
-    found = cut(found)
-    docs = found.select("template", "id", "key").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-    often = docs.filter(F.col("docs") >= min_docs).select("template")
-    return keyed_join(found, often, ["template"]).select("id", "key", "nth").distinct()
+    ))
+    pairs = found.select("template", "id", "key").distinct()
+    often = pairs.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    return keyed_join(found, often.select("template"), ["template"]).select("id", "key", "nth").distinct()
 
 
 def drop_recurring_lines(
@@ -89,8 +100,10 @@ def drop_recurring_lines(
     lines, an empty one has one. Rows keep their number; a row given several times is one
     document. A column of `docs` named n_lines or n_dropped is replaced.
     """
-    gone = recurring(cut(lines_of(docs, id_col, text_col)), min_docs)
-    lists = gone.groupBy("id", "key").agg(F.collect_set("nth").alias("__gone"))
+    gone = recurring(docs, id_col, text_col, min_docs)
+    lists = cut(gone.groupBy("id", "key").agg(F.collect_set("nth").alias("__gone")))
+    if fits_broadcast(lists):  # texts then stay where they are
+        lists = F.broadcast(lists)
     rows = docs.withColumn("__key", text_key(docs, text_col))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = rows.join(lists, rows[id_col].eqNullSafe(lists["id"]) & (rows["__key"] == lists["key"]), "left")

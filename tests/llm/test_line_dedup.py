@@ -57,8 +57,12 @@ DATA = [
 ]
 
 
-@pytest.mark.parametrize("min_docs", [2, 3, 6])
-def test_equals_plain_tree(rows, min_docs):
+@pytest.mark.parametrize(("min_docs", "small"), [(2, True), (3, False), (6, True)])
+def test_equals_plain_tree(rows, monkeypatch, min_docs, small):
+    from srcgraph.functions import joins
+
+    for module in (D, joins):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *_: small)
     docs = rows([(i, t, 5, "k", "l") for i, t in DATA], "doc_id bigint, text string, n_lines int, key string, leaf string")
     got = D.drop_recurring_lines(docs, min_docs=min_docs)
     assert got.columns == ["doc_id", "text", "key", "leaf", "n_lines", "n_dropped"]
@@ -70,8 +74,8 @@ def test_variable_fields_are_one_template_and_python_is_not_used(spark, rows):
     frame = D.drop_recurring_lines(docs, min_docs=6)
     dropped = {r.doc_id: r.n_dropped for r in frame.collect()}
     assert all(dropped[20 + i] == 3 for i in range(6)) and all(dropped[40 + i] == 0 for i in range(6))
-    lines = D.recurring(D.lines_of(docs, "doc_id", "text"), 6)
-    for plan in (frame, lines, D.lines_of(docs, "doc_id", "text")):
+    lines = D.lines_of(docs, "doc_id", "text")
+    for plan in (frame, D.recurring(docs, "doc_id", "text", 6), lines, D.templates(lines, lines.select("leaf").distinct())):
         assert not re.search("Python|Arrow|Pandas", plan._jdf.queryExecution().executedPlan().toString())
 
 
