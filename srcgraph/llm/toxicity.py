@@ -9,6 +9,7 @@ toxic window, and training learns from the most toxic windows of labelled docume
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -34,12 +35,46 @@ MAX_WORDS = 60_000
 CHUNK = 4096
 
 
-def word_marks(word: bytes) -> tuple[int, list[int]]:
-    """Bucket of the word and buckets of its n-grams, ends marked."""
-    mask = (1 << STAT_BITS) - 1
-    ended = b"<" + word + b">"
-    grams = [crc32(ended[i:i + n]) & mask for n in NGRAMS for i in range(len(ended) - n + 1)]
-    return crc32(word) & mask, grams or [crc32(ended) & mask]
+@dataclass
+class Words:
+    """Distinct words: their bytes one after the other, their buckets, and the buckets of their n-grams likewise."""
+
+    letters: np.ndarray
+    lengths: np.ndarray
+    own: np.ndarray
+    grams: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Words:
+        mask = (1 << STAT_BITS) - 1
+        grams = array("i")
+        sizes = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            ended = b"<" + word + b">"
+            before = len(grams)
+            for n in NGRAMS:
+                grams.extend([crc32(ended[k:k + n]) & mask for k in range(len(ended) - n + 1)])
+            if len(grams) == before:
+                grams.append(crc32(ended) & mask)
+            sizes[i] = len(grams) - before
+        return cls(
+            np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64),
+            np.array([crc32(w) & mask for w in words], np.int64), np.array(grams, np.int32), sizes,
+        )
+
+    def take(self, index: np.ndarray) -> Words:
+        return Words(
+            self.letters[_stretches(self.lengths, index)], self.lengths[index], self.own[index],
+            self.grams[_stretches(self.sizes, index)], self.sizes[index],
+        )
+
+
+def _stretches(sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Places of the stretches with these numbers among stretches of these sizes that lie one after the other."""
+    starts = (np.cumsum(sizes) - sizes)[index]
+    own = sizes[index]
+    return np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
 
 
 @dataclass
@@ -78,22 +113,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def word_inputs(net: Net, words: list[bytes]) -> np.ndarray:
+def word_inputs(net: Net, words: Words) -> np.ndarray:
     """Input vector of each distinct word."""
-    marks = [word_marks(w) for w in words]
-    own = np.array([m[0] for m in marks], np.int64)
-    sizes = np.array([len(m[1]) for m in marks], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    grams = net.gram_odds[np.array([g for m in marks for g in m[1]], np.int64)]
-    letters = np.frombuffer(b"".join(words), np.uint8)
-    lengths = np.array([len(w) for w in words], np.int64)
-    first = np.cumsum(lengths) - lengths
-    out = np.empty((len(words), INPUTS), np.float32)
-    out[:, 0] = net.word_odds[own]
+    starts = np.cumsum(words.sizes) - words.sizes
+    grams = net.gram_odds[words.grams]
+    first = np.cumsum(words.lengths) - words.lengths
+    out = np.empty((len(words.own), INPUTS), np.float32)
+    out[:, 0] = net.word_odds[words.own]
     out[:, 1] = np.maximum.reduceat(grams, starts)
-    out[:, 2] = np.add.reduceat(grams, starts) / sizes
-    out[:, 3:3 + EMBED] = net.words[own & ((1 << WORD_BITS) - 1)]
-    out[:, 3 + EMBED:] = np.add.reduceat(net.bytes_[letters], first, axis=0) / lengths[:, None]
+    out[:, 2] = np.add.reduceat(grams, starts) / words.sizes
+    out[:, 3:3 + EMBED] = net.words[words.own & ((1 << WORD_BITS) - 1)]
+    out[:, 3 + EMBED:] = np.add.reduceat(net.bytes_[words.letters], first, axis=0) / words.lengths[:, None]
     return out
 
 
@@ -140,30 +170,26 @@ def _timed(projected: np.ndarray, index: np.ndarray) -> np.ndarray:
 def windows_of(numbers: np.ndarray) -> np.ndarray:
     """All overlapping windows of a document, as rows of word numbers; -1 fills up. A document has one at least."""
     count = max(1, -(-(len(numbers) - WINDOW) // STRIDE) + 1) if len(numbers) > WINDOW else 1
-    padded = np.full((count - 1) * STRIDE + WINDOW, -1, np.int64)
+    padded = np.full((count - 1) * STRIDE + WINDOW, -1, np.int32)
     padded[:len(numbers)] = numbers
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
 # -- training -------------------------------------------------------------------------------------
 
-def _odds(docs: list[set[int]], labels: np.ndarray) -> np.ndarray:
-    """Shrunken log odds of toxic against other documents that have something of a bucket."""
-    counts = np.zeros((2, 1 << STAT_BITS))
-    for buckets, label in zip(docs, labels):
-        counts[label, list(buckets)] += 1
-    totals = np.bincount(labels, minlength=2)
+def _odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Shrunken log odds of toxic against other documents that have something of a bucket; counts by label."""
     odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
     seen = counts.sum(axis=0)
     return (np.clip(odds * seen / (seen + 10), -4, 4) / 2).astype(np.float32)
 
 
-def _gradient(net: Net, letters, first, lengths, own, inputs, index, mask, target, weight_of):
-    """Loss and gradients on windows; `index` numbers rows of `inputs`."""
+def _gradient(net: Net, words: Words, inputs, index, mask, target):
+    """Gradients of the mean loss on windows; `index` numbers the words, `inputs` has their vectors."""
     projected = _gates(net, inputs)
     logit, both, weight, pooled, kept = _run(net, _timed(projected, index), mask, keep=True)
     chance = _sigmoid(logit)
-    d_logit = ((chance - target) * weight_of / weight_of.sum()).astype(np.float32)
+    d_logit = ((chance - target) / len(target)).astype(np.float32)
     grads = {"out": pooled.T @ d_logit, "base": np.array([d_logit.sum()], np.float32)}
     d_pooled = d_logit[:, None] * net.out
     d_weight = np.einsum("nh,tnh->tn", d_pooled, both)
@@ -191,8 +217,9 @@ def _gradient(net: Net, letters, first, lengths, own, inputs, index, mask, targe
     grads["enter"], grads["bias"] = inputs.T @ d_projected, d_projected.sum(axis=0)
     d_inputs = d_projected @ net.enter.T
     grads["words"], grads["bytes_"] = np.zeros_like(net.words), np.zeros_like(net.bytes_)
-    np.add.at(grads["words"], own, d_inputs[:, 3:3 + EMBED])
-    np.add.at(grads["bytes_"], letters, np.repeat(d_inputs[:, 3 + EMBED:] / lengths[:, None], lengths, axis=0))
+    np.add.at(grads["words"], words.own & ((1 << WORD_BITS) - 1), d_inputs[:, 3:3 + EMBED])
+    of_letters = np.repeat(d_inputs[:, 3 + EMBED:] / words.lengths[:, None], words.lengths, axis=0)
+    np.add.at(grads["bytes_"], words.letters, of_letters)
     return grads
 
 
@@ -221,27 +248,29 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 7) -> Net:
     rng = np.random.default_rng(seed)
     target = np.array(labels, np.int64)
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(b)], np.int64) for b in bodies]
-    words = list(number)
-    marks = [word_marks(w) for w in words]
-    word_sets = [{marks[i][0] for i in set(d.tolist())} for d in docs]
-    gram_sets = [{g for i in set(d.tolist()) for g in marks[i][1]} for d in docs]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(b)], np.int32) for b in bodies]
+    words = Words.of([*number, b"?"])  # the last one stands for filled-up places
+    del number, bodies
     half = rng.permutation(len(docs)) % 2
-    net = Net.start(_odds(word_sets, target), _odds(gram_sets, target), seed)
+    word_counts, gram_counts = np.zeros((2, 2, 1 << STAT_BITS)), np.zeros((2, 2, 1 << STAT_BITS))
+    totals = np.zeros((2, 2))
+    for doc, side, label in zip(docs, half, target):
+        some = np.unique(doc)
+        word_counts[side, label, np.unique(words.own[some])] += 1
+        gram_counts[side, label, np.unique(words.grams[_stretches(words.sizes, some)])] += 1
+        totals[side, label] += 1
+    net = Net.start(_odds(word_counts.sum(axis=0), totals.sum(axis=0)), _odds(gram_counts.sum(axis=0), totals.sum(axis=0)), seed)
     if len(set(labels)) < 2:
         return net
-    odds = []
-    for side in (0, 1):
-        other = np.flatnonzero(half != side)
-        odds.append(tuple(_odds([s[i] for i in other], target[other]) for s in (word_sets, gram_sets)))
-    del word_sets, gram_sets
+    odds = [(_odds(word_counts[1 - side], totals[1 - side]), _odds(gram_counts[1 - side], totals[1 - side])) for side in (0, 1)]
+    del word_counts, gram_counts
     full = net.word_odds, net.gram_odds
     views = [windows_of(d) for d in docs]
     rows = np.concatenate(views)
     of = np.repeat(np.arange(len(docs)), [len(v) for v in views])
-    words.append(b"?")  # stands for filled-up places
-    rows = np.where(rows < 0, len(words) - 1, rows)
-    masks = np.concatenate([v >= 0 for v in views])
+    masks = rows >= 0
+    rows = np.where(masks, rows, len(words.own) - 1).astype(np.int32)
+    del views
     adam = _Adam(net, 0.01)
     rounds = max(ROUNDS, min(40, LEAST_STEPS * BATCH // (2 * len(docs))))  # few documents are few steps a round
     for round_ in range(rounds):
@@ -261,14 +290,10 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 7) -> Net:
             for at in range(0, len(picked), BATCH):
                 batch = picked[at:at + BATCH]
                 used, index = np.unique(rows[batch], return_inverse=True)
-                some = [words[i] for i in used]
-                lengths = np.array([len(w) for w in some], np.int64)
-                letters = np.frombuffer(b"".join(some), np.uint8)
-                own_bucket = np.array([crc32(w) for w in some], np.int64) & ((1 << WORD_BITS) - 1)
-                goal = target[of[batch]].astype(np.float32)
+                some = words.take(used)
                 adam.step(_gradient(
-                    net, letters, np.cumsum(lengths) - lengths, lengths, own_bucket, word_inputs(net, some),
-                    index.reshape(len(batch), WINDOW), masks[batch].T, goal, np.ones(len(batch), np.float32),
+                    net, some, word_inputs(net, some), index.reshape(len(batch), WINDOW), masks[batch].T,
+                    target[of[batch]].astype(np.float32),
                 ))
     net.word_odds, net.gram_odds = full
     return net
@@ -315,7 +340,7 @@ class Scorer:
         new = list({w for words in docs for w in words if w not in known})
         if new:
             known.update(zip(new, range(len(known) + 1, len(known) + 1 + len(new))))
-            self.projected = np.concatenate([self.projected, _gates(self.net, word_inputs(self.net, new))])
+            self.projected = np.concatenate([self.projected, _gates(self.net, word_inputs(self.net, Words.of(new)))])
         views = [windows_of(np.fromiter(map(known.__getitem__, words), np.int64, len(words))) for words in docs]
         counts = np.array([len(v) for v in views])
         rows = np.concatenate(views)
