@@ -36,10 +36,12 @@ from srcgraph.llm.common import Batches, cut, map_batches, texts, with_id
 SINGLE, HASHED, ANCHORS, DIMS = 4096, 64, 32, 16
 #: Tokens whose counts are sent to every task, and bytes of one of them; others are counted by a join.
 KNOWN, KNOWN_BYTES = 1 << 18, 64
-NOISE, BATCH, RATE = 64, 8192, 0.1
+NOISE, BATCH, RATE = 64, 1024, 0.2
 #: Each pass trains on one in so many training documents, from the averaged parameters of the pass before.
 PASSES = (8, 1)
-FLUSH = 200_000
+FLUSH = 400_000
+#: Tokens scored at once.
+CHUNK = 1 << 17
 #: The token after the last word; no word is empty.
 END = b""
 
@@ -81,14 +83,15 @@ class Vocabulary:
 
     tokens: int
     distinct: int
-    known: dict[bytes, int]
+    known: list[tuple[bytes, int]]
     hashed_tokens: np.ndarray
     hashed_distinct: np.ndarray
 
     def __post_init__(self):
         self.single = min(SINGLE, len(self.known))
         self.classes = self.single + HASHED
-        own = list(self.known.items())
+        #: kept once, as numbers by word and counts by number
+        own, self.known = self.known, []
         self.counts = np.array([n for _, n in own], np.int64)
         self.number = {w: i for i, (w, _) in enumerate(own)}
         self.class_of = np.array(
@@ -116,7 +119,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         tokens[r["bucket"]], kinds[r["bucket"]] = r["n"], r["v"]
     top = counts.filter(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("n"), "word").limit(KNOWN)
     table = top.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    known = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
+    known = list(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
     return Vocabulary(int(tokens.sum()), int(kinds.sum()), known, tokens, kinds)
 
 
@@ -304,6 +307,17 @@ def scorer(words, model) -> Scorer:
 
 # -- scores ---------------------------------------------------------------------------------------
 
+def _chunks(words: Vocabulary, batch: pa.RecordBatch):
+    """The batch's ids and encoded texts, so many at a time that they have about `CHUNK` tokens."""
+    first, size, encoded = 0, 0, []
+    for i, text in enumerate(batch.column("text")):
+        encoded.append(encode(words, text.as_py()))
+        size += len(encoded[-1][0])
+        if size >= CHUNK or i == batch.num_rows - 1:
+            yield batch.column("id").slice(first, len(encoded)), encoded
+            first, size, encoded = i + 1, 0, []
+
+
 def _score_task(words, model, shape: pa.Schema) -> Callable[[Batches], Batches]:
     """Per text one row with what is known here, and one row per distinct token whose count is not.
 
@@ -311,42 +325,42 @@ def _score_task(words, model, shape: pa.Schema) -> Callable[[Batches], Batches]:
     """
     def run(batches: Batches) -> Batches:
         own = scorer(words, model)
-        vocabulary_ = words.value
-        log_counts = np.log10(vocabulary_.counts + 1.0)
-        base_divisor = np.log10(vocabulary_.tokens + vocabulary_.distinct + 1.0)
-        log_divisor = np.log10(vocabulary_.divisor)
-        number_of_row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        known = words.value
+        log_counts = np.log10(known.counts + 1.0)
+        base_divisor = np.log10(known.tokens + known.distinct + 1.0)
+        log_divisor = np.log10(known.divisor)
+        done = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+
         for batch in batches:
-            ids = batch.column("id")
-            encoded = [encode(vocabulary_, t) for t in batch.column("text").to_pylist()]
-            if not encoded:
-                continue
-            sizes = np.array([len(n) for n, _, _ in encoded])
-            first = np.cumsum(sizes) - sizes
-            number = np.concatenate([n for n, _, _ in encoded])
-            classes = np.concatenate([c for _, c, _ in encoded])
-            seen = [contexts(c, own.anchors, vocabulary_.classes) for _, c, _ in encoded]
-            before, anchor = (np.concatenate(p) for p in zip(*seen))
-            score = own.classes(before, anchor, classes)
-            there = number >= 0
-            counted = np.where(there, log_counts[number], 0.0) if len(log_counts) else np.zeros(len(number))
-            hashed = classes >= vocabulary_.single
-            score += np.where(hashed, counted - log_divisor[np.where(hashed, classes - vocabulary_.single, 0)], 0.0)
-            rows = number_of_row + np.arange(len(encoded))
-            number_of_row += len(encoded)
-            sums = [np.add.reduceat(v, first) for v in (there.astype(np.int64), counted - base_divisor, score)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.nulls(len(rows), pa.binary()), ids, pa.array(sizes), *map(pa.array, sums)],
-                schema=shape,
-            )
-            rest = [(r, w, n) for r, (_, _, unknown) in zip(rows.tolist(), encoded) for w, n in Counter(unknown).items()]
-            if rest:
-                r, w, n = zip(*rest)
-                nothing = [pa.nulls(len(r), shape.field(f).type) for f in ("known", "base", "score")]
+            for ids, encoded in _chunks(known, batch):
+                sizes = np.array([len(n) for n, _, _ in encoded])
+                first = np.cumsum(sizes) - sizes
+                number = np.concatenate([n for n, _, _ in encoded])
+                classes = np.concatenate([c for _, c, _ in encoded])
+                seen = [contexts(c, own.anchors, known.classes) for _, c, _ in encoded]
+                before, anchor = (np.concatenate(p) for p in zip(*seen))
+                score = own.classes(before, anchor, classes)
+                there = number >= 0
+                counted = np.where(there, log_counts[number], 0.0) if len(log_counts) else np.zeros(len(number))
+                hashed = classes >= known.single
+                score += np.where(hashed, counted - log_divisor[np.where(hashed, classes - known.single, 0)], 0.0)
+                rows = done + np.arange(len(encoded))
+                done += len(encoded)
+                sums = [np.add.reduceat(v, first) for v in (there.astype(np.int64), counted - base_divisor, score)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r, pa.int64()), pa.array(w, pa.binary()), pa.nulls(len(r), shape.field("id").type),
-                     pa.array(n, pa.int64()), *nothing], schema=shape,
+                    [pa.array(rows), pa.nulls(len(rows), pa.binary()), ids, pa.array(sizes), *map(pa.array, sums)],
+                    schema=shape,
                 )
+                rest = [
+                    (r, w, n) for r, (_, _, unknown) in zip(rows.tolist(), encoded) for w, n in Counter(unknown).items()
+                ]
+                if rest:
+                    r, w, n = zip(*rest)
+                    nothing = [pa.nulls(len(r), shape.field(f).type) for f in ("known", "base", "score")]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r, pa.int64()), pa.array(w, pa.binary()), pa.nulls(len(r), shape.field("id").type),
+                         pa.array(n, pa.int64()), *nothing], schema=shape,
+                    )
     return run
 
 

@@ -41,19 +41,17 @@ def test_gradients_are_right():
     mask = np.ones((6, 3), bool)
     mask[4:, 1] = False
     target = np.array([1.0, 0.0, 1.0])
-    lengths = np.array([len(w) for w in words])
-    letters = np.frombuffer(b"".join(words), np.uint8)
-    own = np.array([zlib.crc32(w) for w in words]) & ((1 << T.WORD_BITS) - 1)
+    all_words = T.Words.of(words)
 
     def inputs():
-        return T.word_inputs(net, words).astype(np.float64)
+        return T.word_inputs(net, all_words).astype(np.float64)
 
     def loss():
         projected = T._gates(net, inputs())
         chance = 1 / (1 + np.exp(-T._run(net, T._timed(projected, index), mask)))
         return -(target * np.log(chance) + (1 - target) * np.log(1 - chance)).mean()
 
-    grads = T._gradient(net, letters, None, lengths, own, inputs(), index, mask, target, np.ones(3))
+    grads = T._gradient(net, all_words, inputs(), index, mask, target)
     for name in T.Net.TRAINED:
         weights = getattr(net, name)
         flat = np.abs(grads[name]).ravel().argsort()[-3:]
@@ -289,7 +287,7 @@ def test_probabilities_add_up_to_one(rows, monkeypatch):
     inside = [0.0] * L.HASHED
     for r in counted.collect():
         word = bytes(r["word"])
-        if word not in list(words.known)[:words.single]:
+        if words.number.get(word, words.single) >= words.single:
             c = words.hashed_class(word) - words.single
             inside[c] += (r["n"] + 1) / words.divisor[c]
     assert all(abs(x + 1 / words.divisor[c] - 1) < 1e-9 for c, x in enumerate(inside))
