@@ -68,6 +68,7 @@ FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN '/src' ELSE '/.cache' END AS root FRO
 _add("short_path", ("typed_nodes",), """
 SELECT session_id, id, array_to_string(string_split(file_path, '/')[-3:], '/') AS short FROM typed_nodes""")
 
+# Path patterns and marks of file roles.
 FEATURE_RE = r"Page\.(tsx|jsx|ts|js)$|Screen\.(tsx|jsx|ts|js)$|View\.(tsx|jsx|ts|js)$|Dashboard\.(tsx|jsx|ts|js)$|/pages/[^/]+\.(tsx|jsx|ts|js)$|/app/[^/]*page\.(tsx|jsx|ts|js)$"
 ROUTE_RE = r"router\.(tsx|jsx|ts|js)$|routes\.(tsx|jsx|ts|js)$|App\.(tsx|jsx|ts|js)$|index\.(tsx|jsx)$|layout\.(tsx|jsx)$"
 ROUTER_RE = r"App\.(tsx|jsx)$|router\.(tsx|jsx|ts|js)$|routes\.(tsx|jsx|ts|js)$"
@@ -83,6 +84,7 @@ FROM kept""", KEPT)
 
 # --- extraction --------------------------------------------------------------------
 
+# The patterns of the extraction rules, stated again.
 EXPRESS = _q(r"""(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"`]([^'"`]+)['"`]""")
 HANDLER = r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|DELETE|PATCH)"
 DECORATOR = _q(r"""@(?:app|router)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]""")
@@ -152,6 +154,7 @@ ENV = f"""env AS (
     GROUP BY ALL))"""
 _add("extract_env_vars", FILES, "SELECT * FROM env", KEPT, ENV)
 
+# The services, their categories, patterns and packages.
 SDKS = [
     ("AWS", "cloud", "aws-sdk|@aws-sdk", "aws-sdk"), ("Google Cloud", "cloud", "@google-cloud", "google-cloud"),
     ("Azure", "cloud", "azure-", "azure-"), ("Stripe", "payment", "stripe", "stripe"),
@@ -199,6 +202,7 @@ ROUTE_GATE = f"""(CASE p.family
 MODEL_GATE = rf"""(CASE p.family
     WHEN 'script' THEN regexp_matches(content, '{PRISMA}') OR regexp_matches(content, '{TYPEORM}') OR regexp_matches(content, '{SEQUELIZE}') OR regexp_matches(content, 'new\s+Schema\s*\(')
     WHEN 'python' THEN regexp_matches(content, '{SQLALCHEMY}') ELSE false END OR contains(content, 'Schema') OR contains(content, 'model'))"""
+# The marks of a screen.
 SCREEN_GATE = f"""(length(content) >= 50 AND (regexp_matches(path, '{FEATURE_RE}') OR """ + " OR ".join(
     f"contains(content, '{_q(m)}')" for m in (
         "<Route", "createBrowserRouter", "createHashRouter", "useRoutes(", "from 'react-router", 'from "react-router', "/pages/",

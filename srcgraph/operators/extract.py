@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import keyed_join
 from srcgraph.functions.text import detect_language, language_family
-from srcgraph.operators.files import CONFIG_PATH, contains_any, primary_language, with_language
+from srcgraph.operators.files import CONFIG_PATH, contains_any, evidence, primary_language, with_language
 from srcgraph.operators.rules import (
     ENV_RULES, IMPORT_RULES, MODEL_RULES, ROUTE_RULES, SDK_RULES, Rule, env_needle, sdk_package,
 )
@@ -51,14 +51,44 @@ def extract(files: DataFrame, rules: tuple[Rule, ...], language_mode: str = "rep
     language_mode "repo" applies the rules of the repository's primary language to
     all its files; "file" goes by each file's own extension.
     """
+    found = files.select("repo_id", "ord", "path", _found(rules))
+    primary = None
+    if language_mode == "repo" and any(rule.family for rule in rules):
+        primary = primary_language(files).select("repo_id", "family")
+    return matches_of(found, rules, primary)
+
+
+def _found(rules: tuple[Rule, ...]) -> Column:
+    """`found`: per rule with a match its number and the whole texts of its matches."""
+    every = F.array(*[F.struct(F.lit(i).alias("rule_no"), _matches(rule).alias("hits")) for i, rule in enumerate(rules)])
+    return F.filter(every, lambda f: F.size(f["hits"]) > 0).alias("found")
+
+
+def scan(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Everything that is read out of contents, one row per file, in one scan; write it to a table.
+
+    For `files.profile_from`, `matches_of` (with the same rules) and `hits_of`.
+    """
+    content, known = F.col("content"), F.col("language") != "unknown"
+    marked = with_language(files).withColumns({
+        "is_config": F.col("path").rlike(CONFIG_PATH), "__lower": F.lower(content),
+    })
+    return marked.select(
+        "repo_id", "ord", "path", "language", "is_config", *evidence(), _found(rules),
+        F.when(F.col("is_config") | known, _sdks()).alias("sdks"),
+        F.when(F.col("is_config"), env_keys_of(content)).alias("keys"),
+    )
+
+
+def matches_of(found: DataFrame, rules: tuple[Rule, ...], primary: DataFrame | None) -> DataFrame:
+    """What `extract` gives, from `(repo_id, ord, path, found)` and each repository's `(repo_id, family)`.
+
+    Without `primary`, rules go by each file's own extension.
+    """
     families = {i: rule.family for i, rule in enumerate(rules)}
-    found = F.array(*[
-        F.struct(F.lit(i).alias("rule_no"), _matches(rule).alias("hits")) for i, rule in enumerate(rules)
-    ])
     rows = (
-        files.select("repo_id", "ord", "path", F.explode(found).alias("f"))
-        .select("repo_id", "ord", "path", "f.rule_no", F.posexplode_outer("f.hits").alias("match_pos", "match"))
-        .filter(F.col("match").isNotNull())
+        found.select("repo_id", "ord", "path", F.explode("found").alias("f"))
+        .select("repo_id", "ord", "path", "f.rule_no", F.posexplode("f.hits").alias("match_pos", "match"))
     )
     ranks = [[r.kind for r in rules[:i]].count(rule.kind) for i, rule in enumerate(rules)]
 
@@ -78,11 +108,10 @@ def extract(files: DataFrame, rules: tuple[Rule, ...], language_mode: str = "rep
         by_rule(_value).alias("value"),
     )
     if any(families.values()):
-        if language_mode == "file":
+        if primary is None:
             own = language_family(detect_language(F.col("path")))
             rows = rows.filter(F.col("rule_family").isNull() | (F.col("rule_family") == own))
         else:
-            primary = primary_language(files).select("repo_id", "family")
             how = "inner" if all(families.values()) else "left"
             rows = keyed_join(rows, primary, ["repo_id"], how).filter(
                 F.col("rule_family").isNull() | (F.col("rule_family") == F.col("family"))
@@ -138,25 +167,20 @@ def _needles(pattern: str) -> list[str]:
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
-def _sdk_rows(files: DataFrame, role: Column) -> DataFrame:
-    """One row per file and service found in it, with the file's role and environment keys.
+def _sdks() -> Column:
+    """Numbers of the services found in `content`.
 
-    Plain searches in the lower-cased text go first; the case-blind regex, which alone
-    decides, then runs only where one of them succeeds.
+    Plain searches in the lower-cased text `__lower` go first; the case-blind regex, which
+    alone decides, then runs only where one of them succeeds.
     """
     content = F.col("content")
-    lowered = files.withColumn("__lower", F.lower(content))
-    hits = F.filter(
+    return F.filter(
         F.array(*[
             F.when(contains_any(F.col("__lower"), _needles(pattern)) & content.rlike(f"(?i){pattern}"), F.lit(i))
             for i, (_, _, pattern) in enumerate(SDK_RULES)
         ]),
         lambda x: x.isNotNull(),
     )
-    keys = F.when(F.col("is_config"), env_keys_of(content)).alias("keys")
-    return lowered.select("repo_id", "ord", role.alias("role"), keys, F.explode_outer(hits).alias("sdk")).filter(
-        F.col("sdk").isNotNull()
-    )
 
 
 def _by_sdk(pick) -> Column:
@@ -170,14 +194,24 @@ def sdk_hits(files: DataFrame) -> DataFrame:
 
     The one scan behind detect_sdks and sdk_env_keys; write it to a table to use both.
     """
-    marked = with_language(files).withColumn("is_config", F.col("path").rlike(CONFIG_PATH))
-    known = F.col("language") != "unknown"
+    content = F.col("content")
+    marked = with_language(files).withColumns({
+        "is_config": F.col("path").rlike(CONFIG_PATH), "__lower": F.lower(content),
+    })
+    read = marked.filter(F.col("is_config") | (F.col("language") != "unknown"))
+    return hits_of(read.select(
+        "repo_id", "ord", "language", "is_config", _sdks().alias("sdks"),
+        F.when(F.col("is_config"), env_keys_of(content)).alias("keys"),
+    ))
+
+
+def hits_of(read: DataFrame) -> DataFrame:
+    """What `sdk_hits` gives, from `(repo_id, ord, language, is_config, sdks, keys)` per file."""
     # A known file named like a config file takes part in both roles.
-    roles = F.when(F.col("is_config") & known, F.array(F.lit(True), F.lit(False))).otherwise(
-        F.array(F.col("is_config"))
-    )
-    hits = _sdk_rows(marked.filter(F.col("is_config") | known), roles)
-    return hits.select("repo_id", "ord", "sdk", F.explode_outer("role").alias("is_config"), "keys")
+    both = F.col("is_config") & (F.col("language") != "unknown")
+    roles = F.when(both, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("is_config")))
+    hits = read.select("repo_id", "ord", roles.alias("role"), "keys", F.explode("sdks").alias("sdk"))
+    return hits.select("repo_id", "ord", "sdk", F.explode("role").alias("is_config"), "keys")
 
 
 def _own_keys() -> Column:

@@ -146,17 +146,23 @@ def repo_profile(files: DataFrame) -> DataFrame:
     return _decoded(_profiled(files))
 
 
-def _profiled(files: DataFrame) -> DataFrame:
-    known = F.col("language") != "unknown"
-    marked = with_language(files)
+def evidence() -> list[Column]:
+    """One flag per piece of framework evidence, over `language`, `path` and `content`."""
     flags = []
     for i, (_, where, needles) in enumerate(FRAMEWORK_EVIDENCE):
         flag = contains_any(F.col("path" if where == "path" else "content"), needles)
         if where == "content":
-            flag = known & flag
-        marked = marked.withColumn(f"e{i}", F.coalesce(flag, F.lit(False)))
-        flags.append(f"e{i}")
-    marked = marked.select("repo_id", "ord", "language", *flags)
+            flag = (F.col("language") != "unknown") & flag
+        flags.append(F.coalesce(flag, F.lit(False)).alias(f"e{i}"))
+    return flags
+
+
+def _profiled(files: DataFrame) -> DataFrame:
+    return _from_evidence(with_language(files).select("repo_id", "ord", "language", *evidence()))
+
+
+def _from_evidence(marked: DataFrame) -> DataFrame:
+    flags = [f"e{i}" for i in range(len(FRAMEWORK_EVIDENCE))]
     found = marked.groupBy("repo_id").agg(_first_language(), *[F.bool_or(f).alias(f) for f in flags])
     framework = F.when(F.lit(False), F.lit(None).cast("string"))
     for flag, (name, _, _) in zip(flags, FRAMEWORK_EVIDENCE, strict=True):
@@ -164,6 +170,11 @@ def _profiled(files: DataFrame) -> DataFrame:
     return found.select("repo_id", "code", framework.otherwise("unknown").alias("framework"))
 
 
+def profile_from(marked: DataFrame) -> DataFrame:
+    """What repo_profile gives, from files `(repo_id, ord, language, e0, e1, ...)` whose contents were already read."""
+    return _decoded(_from_evidence(marked))
+
+
 def relative_path(files: DataFrame, root: Column) -> DataFrame:
     return files.withColumn("rel_path", strip_root(F.col("path"), root))
 

@@ -32,6 +32,7 @@ def entity_rows(nodes: DataFrame) -> DataFrame:
 
 def fact_text() -> Column:
     """One sentence per node, by metadata kind."""
+    # The wording of the five sentences.
     m = "metadata."
     field_names = F.array_join(F.transform(F.col(m + "database.fields"), lambda f: f["name"]), ", ")
     route = F.col(m + "feature.route")
@@ -97,6 +98,7 @@ def node_detail(nodes: DataFrame) -> DataFrame:
         shown, F.when(more > 0, F.concat(F.lit(", +"), more.cast("string"), F.lit(" more"))).otherwise("")
     )
     middlewares, env_keys = F.col(m + "api.middlewares"), F.col(m + "external.env_keys")
+    # The titles and the order of the rows.
     rows = F.array(
         row("Type", None, F.col("type")),
         row("Source", None, F.col("agent_source")),
@@ -177,6 +179,7 @@ def critic_summary(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
     verified = F.coalesce("n_verified", F.lit(0).cast("bigint"))
     removed_n = F.coalesce("n_removed", F.lit(0).cast("bigint"))
+    # The wording of the message.
     message = F.concat(
         F.lit("Verified "), verified.cast("string"), F.lit(" nodes"),
         F.when(F.col("n_removed").isNotNull(), F.concat(

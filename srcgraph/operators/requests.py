@@ -28,6 +28,7 @@ def admit_requests(requests: DataFrame, sessions: DataFrame, kind: str, host: st
         "known", F.coalesce("known", F.lit(False))
     )
     checked = complete.unionByName(missing)
+    # The statuses and the texts of the refusals.
     status = F.when(F.col("known").isNull(), 400).when(~F.col("known"), 404)
     reason = F.when(F.col("known").isNull(), f"sessionId and {'repoUrl' if kind == 'analyze' else body} are required") \
         .when(~F.col("known"), "Session not found")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from srcgraph.operators import build, extract, files as filing, layout, resolve, responses, rules
 from srcgraph.session import shared_dir
 
+READ_RULES = rules.ROUTE_RULES + rules.MODEL_RULES
+
 # Room for any `ord` (below 2**59) under the source rank.
 RANK_STEP = 1 << 59
 
@@ -54,17 +56,21 @@ def analyze(
     """Run every stage. Answers are tables of recorded model responses `(session_id, ord, …, text)`.
 
     Endpoints, entities and external services come from the extraction rules, services
-    and features from answers. File contents are read in three scans: rules, services
-    and frameworks; only their small results are written and used from there on.
+    and features from answers; records of endpoint, entity and external answers
+    join what the rules found. File contents are read once: what rules, services and
+    frameworks need of them is written and used from there on.
     """
     work = Workspace(source.sparkSession, work_dir)
     kept = filing.read_text(filing.scan_files(source))
 
-    profile = work.saved("profile", filing.repo_profile(kept).select(
-        F.col("repo_id").alias("session_id"), "framework", "primary_language", F.lit("/").alias("root")
+    # the one step that reads contents
+    read = work.saved("read", extract.scan(kept, READ_RULES))
+    profile = work.saved("profile", filing.profile_from(read).select(
+        F.col("repo_id").alias("session_id"), "framework", "primary_language", "family", F.lit("/").alias("root")
     ))
-    found = work.saved("found", extract.extract(kept, rules.ROUTE_RULES + rules.MODEL_RULES))
-    hits = work.saved("hits", extract.sdk_hits(kept))
+    families = profile.filter("family IS NOT NULL").select(F.col("session_id").alias("repo_id"), "family")
+    found = work.saved("found", extract.matches_of(read, READ_RULES, families))
+    hits = work.saved("hits", extract.hits_of(read))
     sdks, keys = extract.sdks_from_hits(hits), extract.env_keys_from_hits(hits)
 
     main = build.main_nodes(profile, entry_points)

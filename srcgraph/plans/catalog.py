@@ -434,11 +434,6 @@ def feature_uses(spark, sf):
 
 # --- resolution -------------------------------------------------------------------------
 
-def external_answers_of(spark, sf):
-    records = responses.parse_responses(view(spark, sf, "external_responses"), "infra")
-    return build.external_nodes(build.externals_from_answers(records))
-
-
 @query
 def union_findings(spark, sf):
     parts = [earlier_of(spark, sf), features_of(spark, sf)[1]]

@@ -4,19 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The closed vocabularies of the data model.
-NODE_TYPES = ("service", "api", "database", "infra", "external", "feature")
-RELATIONSHIP_TYPES = (
-    "HANDLES", "READS", "WRITES", "RELATES_TO", "DEPENDS_ON", "CONNECTS_TO", "PROTECTED_BY",
-)
-EDGE_TYPES = ("dataFlow", "auth", "dependency")
-DIRECTIONS = ("unidirectional", "bidirectional")
-AGENT_STATUSES = ("running", "complete", "error")
-EVENT_KINDS = (
-    "agent:update", "node:added", "edge:added", "node:updated", "analysis:complete", "error",
-)
+# The events that end a session.
 TERMINAL_KINDS = ("analysis:complete", "error")
-SESSION_STATUSES = ("pending", "running", "complete", "error")
 
 FIELD = "struct<name:string,type:string,nullable:boolean>"
 

@@ -65,6 +65,24 @@ def test_review_removes_nodes_edges_and_relations(rows):
     assert [r["n_targets"] for r in graph.related.collect()] == [0]
 
 
+def test_contents_are_read_once(spark, rows, tmp_path, monkeypatch):
+    from srcgraph.plans import analysis
+
+    source, services, features = inputs(rows)
+    source.write.parquet(str(tmp_path / "source"))
+    plans = []
+    saved = analysis.Workspace.saved
+
+    def watched(self, name, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(self, name, df)
+
+    monkeypatch.setattr(analysis.Workspace, "saved", watched)
+    graph = analyze(spark.read.parquet(str(tmp_path / "source")), services, features)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (graph.nodes, graph.edges, graph.related)]
+    assert sum(plan.count("content:string") for plan in plans) == 1
+
+
 def test_repeated_runs_give_the_same_ids(rows):
     source, services, features = inputs(rows)
     ids = [sorted(r["id"] for r in analyze(source.repartition(n), services, features).nodes.select(F.col("id")).collect()) for n in (1, 5)]
