@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from srcgraph.llm.common import Batches, cut, map_batches
+from srcgraph.llm.common import Batches, cut, map_batches, release
 
 WINDOW = 10
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -174,12 +174,18 @@ class Phrases:
                 out.append((at, numbers[at:min(end, at + PIECE_WORDS)]))
         return out
 
-    def find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        """Per document the merged spans of words inside an occurrence, and the items found."""
+    def find(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """Per text its words, the merged spans of words inside an occurrence, and the items found.
+
+        Of a text's words only the pieces to index are kept while the others are read.
+        """
+        sizes: list[int] = []
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
         shard, size = [], 0
-        for number, words in enumerate(texts):
+        for number, text in enumerate(texts):
+            words = words_of(text)
+            sizes.append(len(words))
             for at, piece in self.candidates(words) if self.shortest else ():
                 shard.append((number, at, piece))
                 size += len(piece) + 1
@@ -188,7 +194,7 @@ class Phrases:
                     shard, size = [], 0
         if shard:
             self._search(shard, spans, items)
-        return [(merged(s), i) for s, i in zip(spans, items)]
+        return [(n, merged(s), i) for n, s, i in zip(sizes, spans, items)]
 
     def _search(self, shard: list, spans: list, items: list) -> None:
         index = FmIndex([piece for _, _, piece in shard], len(self.number))
@@ -270,15 +276,15 @@ def find_spans(
 
         def run(batches: Batches) -> Batches:
             for batch in batches:
-                words = [words_of(b) for b in _bodies(batch, "body")]
+                found_ = sent.value.find(_bodies(batch, "body"))
                 before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
                 spans, items = [], []
-                for (new, found), (old, old_items) in zip(sent.value.find(words), before):
+                for (_, new, found), (old, old_items) in zip(found_, before):
                     spans.append([
                         {"first": a, "end": b} for a, b in merged([*new, *((s["first"], s["end"]) for s in old or ())])
                     ])
                     items.append(sorted(found.union(old_items or ())))
-                counts = pa.array(list(map(len, words)), pa.int64())
+                counts = pa.array([n for n, _, _ in found_], pa.int64())
                 columns = [batch.column("id"), batch.column("body"), counts]
                 for name, values in (("spans", spans), ("items", items)):
                     columns.append(pa.array(values, batch.schema.field(name).type))
@@ -320,13 +326,14 @@ def remove_passages(
         sent = context.broadcast(phrases)
 
         def run(batches: Batches) -> Batches:
+            release()
             for batch in batches:
                 bodies = _bodies(batch, text_col)
                 changed: set[int] = set()
                 open_ = list(range(len(bodies)))
                 while open_:
-                    found = sent.value.find([words_of(bodies[i]) for i in open_])
-                    hit = [(i, spans) for i, (spans, _) in zip(open_, found) if spans]
+                    found = sent.value.find([bodies[i] for i in open_])
+                    hit = [(i, spans) for i, (_, spans, _) in zip(open_, found) if spans]
                     for i, spans in hit:
                         bodies[i] = without(bodies[i], spans)
                     open_ = [i for i, _ in hit]

@@ -69,9 +69,10 @@ def test_find_equals_plain_search(monkeypatch, pieces, shard):
     monkeypatch.setattr(D, "SHARD_WORDS", shard)
     docs, items = fixture(3)
     phrases = D.Phrases([(str(i), w) for i, t in items if (w := D.words_of((t or "").encode()))], 10)
-    found = phrases.find([D.words_of((t or "").encode()) for _, t in docs])
+    found = phrases.find([(t or "").encode() for _, t in docs])
     want = {str(r) for r in slow([(n, t) for n, (_, t) in enumerate(docs)], items)}
-    for n, ((_, text), (spans, own)) in enumerate(zip(docs, found)):
+    for n, ((_, text), (size, spans, own)) in enumerate(zip(docs, found)):
+        assert size == len(slow_words(text))
         own = {"" if i == "None" else i for i in own}
         sha = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
         hit = sum(b - a for a, b in spans)
