@@ -20,7 +20,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from srcgraph.llm.common import Batches, map_batches, record, texts, with_id
+from srcgraph.llm.common import Batches, kept, map_batches, record, texts, with_id
 
 #: Bounds of what a Python worker keeps. Results do not depend on them.
 MAX_STATES = 40_000
@@ -366,16 +366,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-_tools: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
-
-
 def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """Encoder and decoder of this Python process for a rank file."""
-    if (path, pattern) not in _tools:
-        ranks = read_ranks(path)
-        encoder = Encoder(ranks, pattern)
-        _tools[path, pattern] = encoder, Decoder(encoder.merges.bytes_of)
-    return _tools[path, pattern]
+    def make() -> tuple[Encoder, Decoder]:
+        encoder = Encoder(read_ranks(path), pattern)
+        return encoder, Decoder(encoder.merges.bytes_of)
+
+    return kept(("bpe", path, pattern), make)
 
 
 def _local(path: str) -> str:

@@ -58,6 +58,25 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: StructT
     return df.mapInArrow(fn, schema)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, made once per Python worker and kept until another key is asked for.
+
+    Workers serve one stage after the other; so only one operator's tables stay in memory.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what another operator has kept in this Python worker."""
+    _kept.clear()
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from srcgraph.functions.joins import keyed_join
-from srcgraph.llm.common import Batches, cut, map_batches, texts, with_id
+from srcgraph.llm.common import Batches, cut, kept, map_batches, texts, with_id
 
 #: Sizes of the model: classes of one token, hashed classes, anchors, dimensions.
 SINGLE, HASHED, ANCHORS, DIMS = 4096, 64, 32, 16
@@ -293,16 +293,9 @@ class Scorer:
         return (own + self.model.bias[target] - self.normal[context]) / np.log(10)
 
 
-_scorers: dict[tuple[int, int], Scorer] = {}
-
-
 def scorer(words, model) -> Scorer:
-    """The scorer of this Python process for a broadcast model; only the latest is kept."""
-    key = words.value.tokens, hash(model.value.out.tobytes())
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(words.value, model.value)
-    return _scorers[key]
+    """The scorer of this Python process for a broadcast model."""
+    return kept(("lm", words.value.tokens, model.value.out.tobytes()), lambda: Scorer(words.value, model.value))
 
 
 # -- scores ---------------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import keyed_join
-from srcgraph.llm.common import Batches, cut, keep_rows, map_batches, record, text_key, texts, with_id
+from srcgraph.llm.common import Batches, cut, keep_rows, map_batches, record, release, text_key, texts, with_id
 
 SHINGLE = 4
 SEED = 42
@@ -62,6 +62,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Batches) -> Batches:
+    release()
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(

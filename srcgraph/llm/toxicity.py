@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import Batches, map_batches, texts, with_id
+from srcgraph.llm.common import Batches, kept, map_batches, texts, with_id
 from srcgraph.llm.decontaminate import words_of
 from srcgraph.llm.labelled import sample_ids, sampled
 
@@ -354,16 +354,10 @@ class Scorer:
         return 1 / (1 + np.exp(-top.astype(np.float64)))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer(sent: Broadcast) -> Scorer:
-    """The scorer of this Python process for a broadcast network; only the latest is kept."""
-    key = sent.value.base.tobytes() + sent.value.out.tobytes() + sent.value.enter.tobytes()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(sent.value)
-    return _scorers[key]
+    """The scorer of this Python process for a broadcast network."""
+    net = sent.value
+    return kept(("toxicity", net.base.tobytes(), net.out.tobytes(), net.enter.tobytes()), lambda: Scorer(net))
 
 
 def fit(
