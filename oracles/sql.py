@@ -732,6 +732,8 @@ WHERE source <> target QUALIFY row_number() OVER (PARTITION BY session_id, sourc
          "SELECT session_id, 5, ord, sub, source, target, 'dependency', 'USES', 'DEPENDS_ON' FROM uses"]) + ")",
      "sys_map AS (SELECT session_id, id, first_value(id) OVER (PARTITION BY session_id, type, k ORDER BY source_rank, ord, sub) AS sid FROM every_node)")
 
+ORACLES["system_related"] = ORACLES["relates_to_resolved"]
+
 # A trailing WITH list in the body (it starts with a comma) continues the head.
 for _name, _text in list(ORACLES.items()):
     ORACLES[_name] = _text.replace("\n\n,", ",\n").replace("\n,", ",\n") if "\n," in _text else _text

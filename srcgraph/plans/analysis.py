@@ -51,6 +51,10 @@ def analyze(
     feature_answers: DataFrame | None = None,
     verdict_answers: DataFrame | None = None,
     entry_points: DataFrame | None = None,
+    endpoint_answers: DataFrame | None = None,
+    entity_answers: DataFrame | None = None,
+    external_answers: DataFrame | None = None,
+    plan_answers: DataFrame | None = None,
     work_dir: str | None = None,
 ) -> Graph:
     """Run every stage. Answers are tables of recorded model responses `(session_id, ord, …, text)`.
@@ -73,14 +77,31 @@ def analyze(
     hits = work.saved("hits", extract.hits_of(read))
     sdks, keys = extract.sdks_from_hits(hits), extract.env_keys_from_hits(hits)
 
+    def answered(answers: DataFrame, agent: str) -> DataFrame:
+        """Records of answers, in order after everything that rules have found."""
+        return responses.parse_responses(answers, agent).withColumns({
+            "ord": F.col("ord") + F.lit(build.LATER), "sub": F.col("sub").cast("bigint") + F.lit(1 << 40),
+        })
+
+    if plan_answers is not None and entry_points is None:
+        planned = responses.parse_plans(plan_answers).filter("role = 'entry'")
+        entry_points = planned.select("session_id", F.struct("ord", "pos").alias("pos"), "path")
     main = build.main_nodes(profile, entry_points)
-    endpoints = build.endpoint_nodes(
-        build.endpoints_from_routes(found.filter("kind = 'route'").withColumnRenamed("value", "route"))
-    )
-    entities = build.entity_nodes(
-        build.entities_from_models(found.filter("kind = 'model'").withColumnRenamed("value", "model"))
-    )
-    externals = build.external_nodes(build.externals_from_sdks(sdks, keys))
+    endpoints = build.endpoints_from_routes(found.filter("kind = 'route'").withColumnRenamed("value", "route"))
+    if endpoint_answers is not None:
+        endpoints = endpoints.unionByName(build.endpoints_from_answers(answered(endpoint_answers, "api")))
+    endpoints = build.endpoint_nodes(endpoints)
+    entities = build.entities_from_models(found.filter("kind = 'model'").withColumnRenamed("value", "model"))
+    if entity_answers is not None:
+        entities = entities.unionByName(
+            build.entities_from_answers(answered(entity_answers, "data").filter(F.col("name").isNotNull()))
+        )
+    entities = build.entity_nodes(entities)
+    externals = build.externals_from_sdks(sdks, keys)
+    if external_answers is not None:
+        records_ = answered(external_answers, "infra").filter(F.col("name").isNotNull())
+        externals = externals.unionByName(build.externals_from_answers(records_, externals))
+    externals = build.external_nodes(externals)
     services = None
     if service_answers is not None:
         records = responses.parse_responses(service_answers, "service").filter(F.col("name").isNotNull())

@@ -717,3 +717,9 @@ def system_nodes(spark, sf):
 @query
 def system_edges(spark, sf):
     return _analysis(spark, sf).edges.select("session_id", "source", "target", "type", "label", "relationship_type")
+
+
+@query
+def system_related(spark, sf):
+    """Entities linked with each other, as ranges of places, after resolution."""
+    return _analysis(spark, sf).related

@@ -65,6 +65,28 @@ def test_review_removes_nodes_edges_and_relations(rows):
     assert [r["n_targets"] for r in graph.related.collect()] == [0]
 
 
+def test_recorded_answers_join_what_rules_found(rows):
+    source, services, features = inputs(rows)
+    per_file = "session_id bigint, ord bigint, file_path string, text string"
+    graph = analyze(
+        source, services, features,
+        endpoint_answers=rows([(1, 0, "/x.ts", 'Found [{"method":"POST","path":"/pay","authRequired":true},7,{"method":"GET","path":"/users"}]')], per_file),
+        entity_answers=rows([(1, 0, "/y.ts", '[{"name":"Invoice","dbType":"postgres","orm":"prisma","fields":[]},{"orm":"x"}]')], per_file),
+        external_answers=rows([(1, 0, '[{"name":"Redis","category":"queue"},{"name":"Slack","category":"other","envKeys":["SLACK"]}]')], ANSWER),
+        plan_answers=rows([(1, 0, '{"entryPoints": ["/src/app.ts", "/b.ts"]}')], ANSWER),
+    )
+    one = graph.nodes.filter("session_id = 1")
+    found = {(r["type"], r["label"]) for r in one.collect()}
+    assert {("api", "POST /pay"), ("api", "GET /users"), ("database", "Invoice"), ("external", "Slack"), ("infra", "Redis")} <= found
+    assert one.filter("label = 'GET /users'").count() == 1
+    main = one.filter("agent_source = 'planner'").first()
+    assert main["metadata"]["service"]["file_path"] == "/src/app.ts"
+    names = labels(one, graph.edges.filter("session_id = 1"))
+    assert ("express", "HANDLES", "POST /pay") in names and ("express", "CONNECTS_TO", "Slack") in names
+    # User (1, 3), Team (2) and Invoice (4): three survivors linked with each other
+    assert graph.related.filter("session_id = 1").count() == 3
+
+
 def test_contents_are_read_once(spark, rows, tmp_path, monkeypatch):
     from srcgraph.plans import analysis
 
