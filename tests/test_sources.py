@@ -37,6 +37,13 @@ def test_shares_of_a_repository_add_up(spark, tree):
     assert {tuple(r) for r in split.drop("content").collect()} == one
 
 
+def test_small_repositories_share_a_task(spark, tree, monkeypatch):
+    one = {tuple(r) for r in repos.read_repos(spark, tree).collect()}
+    both = repos.read_repos(spark, tree, per_task=5)
+    assert both.rdd.getNumPartitions() == 1
+    assert {tuple(r) for r in both.collect()} == one
+
+
 def test_snapshot_replaces_whole_sessions(spark, rows, tmp_path):
     path = str(tmp_path / "snap")
     nodes = rows([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "session_id bigint, id string")
