@@ -217,5 +217,8 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    groups = cut(live_digests(cut(digest_rows(docs, id_col, text_col))))
-    return keep_rows(docs, groups.select("id", "key", F.col("n").alias("copies")), id_col, text_col)
+    rows = cut(digest_rows(docs, id_col, text_col))
+    copies = rows.groupBy("id", "key").agg(F.count("*").alias("copies"))
+    stay = live_digests(rows).select(F.col("id").alias("__id"), F.col("key").alias("__stay"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__stay"))
+    return keep_rows(docs, cut(copies.join(stay, same, "left_semi")), id_col, text_col)
