@@ -21,13 +21,28 @@ def _trigger(writer, available_now: bool, every: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
 
 
+def _merges(spark, folder: str) -> list[int]:
+    """Batches before which closings have been merged; a merge that broke off does not count."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = [s.getPath() for s in files.listStatus(path) if files.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
+    return [int(p.getName().split("=")[1]) for p in done]
+
+
 def gate_sessions(log: DataFrame, out_dir: str, checkpoint: str, available_now: bool = False,
                   every: str = "10 seconds", merge_every: int = 100) -> StreamingQuery:
     """Write the accepted part of a log stream under `out_dir/accepted`, closings under `out_dir/closings`.
 
     Every batch overwrites its own `batch=` folder, so a batch that is run again leaves
-    the same files. Closings hold one row per closed session and batch, never events,
-    and are merged every `merge_every` batches, so that no batch reads a long list of files.
+    the same rows. Closings hold one row per closed session and batch, never events,
+    and are merged once `merge_every` batches have come since the last merge, so that no
+    batch reads a long list of files; the number may change between runs.
+
+    An event that comes in an earlier batch than the terminal event before it (by `seq`)
+    has already been written; `accepted_events` over the whole log leaves it out.
     """
     spark = log.sparkSession
 
@@ -41,9 +56,10 @@ def gate_sessions(log: DataFrame, out_dir: str, checkpoint: str, available_now:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         closings(parse_events(batch)).write.mode("overwrite").parquet(f"{out_dir}/closings/batch={batch_id}")
-        first = batch_id - batch_id % merge_every
-        if batch_id == first and first > 0:
-            closed(first - merge_every, first - 1).write.mode("overwrite").parquet(f"{out_dir}/merged/before={first}")
+        first = max([b for b in _merges(spark, f"{out_dir}/merged") if b <= batch_id], default=0)
+        if batch_id - first >= merge_every:
+            closed(first, batch_id - 1).write.mode("overwrite").parquet(f"{out_dir}/merged/before={batch_id}")
+            first = batch_id
         accepted_events(batch, closed(first, batch_id)).write.mode("overwrite").parquet(
             f"{out_dir}/accepted/batch={batch_id}"
         )
