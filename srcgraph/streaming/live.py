@@ -22,7 +22,7 @@ def _trigger(writer, available_now: bool, every: str):
 
 
 def _merges(spark, folder: str) -> list[int]:
-    """Batches before which closings have been merged; a merge that broke off does not count."""
+    """Numbers of the `name=number` folders in `folder` that have been written to the end."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     path = hadoop.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -79,14 +79,19 @@ def without_repeats(log: DataFrame, keys: list[str], delay: str) -> DataFrame:
 
 
 def run_fold(events: DataFrame, fold: Callable[[DataFrame], DataFrame], out_dir: str, checkpoint: str,
-             available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
+             available_now: bool = False, every: str = "10 seconds", keys: list[str] | None = None,
+             merge_every: int = 100) -> StreamingQuery:
     """Keep a fold up to date: each batch writes the keys it changed to its own `batch=` folder.
 
-    `latest_fold` reads the current rows back.
+    With the fold's `keys`, the current rows are merged once `merge_every` batches have
+    come since the last merge; `latest_fold` then reads the merge and the batches since.
     """
+    spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batches/batch={batch_id}")
+        if keys and batch_id - max(_merges(spark, f"{out_dir}/merged"), default=0) >= merge_every:
+            _latest(spark, out_dir, keys, batch_id).write.mode("overwrite").parquet(f"{out_dir}/merged/before={batch_id}")
 
     writer = (
         fold(events).writeStream.outputMode("update").foreachBatch(write)
@@ -95,11 +100,24 @@ def run_fold(events: DataFrame, fold: Callable[[DataFrame], DataFrame], out_dir:
     return _trigger(writer, available_now, every).start()
 
 
+def _latest(spark, out_dir: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """Rows of the last batch that wrote each key, with `batch`, over all batches (or those under `before`)."""
+    first = max([m for m in _merges(spark, f"{out_dir}/merged") if before is None or m < before], default=0)
+    batches = [b for b in _merges(spark, f"{out_dir}/batches") if b >= first and (before is None or b < before)]
+    base = f"{out_dir}/batches"
+    rows = spark.read.option("basePath", base).parquet(*[f"{base}/batch={b}" for b in batches]) if batches else None
+    if first:
+        merged = spark.read.parquet(f"{out_dir}/merged/before={first}")
+        rows = merged if rows is None else rows.unionByName(merged)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "batch").alias("r"), F.max("batch").alias("batch")
+    ).select(*keys, "r.*", "batch")
+
+
 def latest_fold(spark, out_dir: str, keys: list[str]) -> DataFrame:
     """Current rows of a fold: the last batch that wrote a key wins."""
-    rows = spark.read.parquet(out_dir)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return _latest(spark, out_dir, keys).drop("batch")
 
 
 def rate_stream(log: DataFrame, width: str, delay: str) -> DataFrame:

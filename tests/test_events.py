@@ -144,7 +144,8 @@ def test_gated_stream_fold_equals_batch(spark, rows, tmp_path):
     for part, merge_every in ((data[:150], 100), (data[150:290], 1), (data[290:], 2)):  # may change between runs
         rows(part, EVENT_LOG).write.mode("append").parquet(src)
         live.gate_sessions(stream(), out, str(tmp_path / "cp1"), available_now=True, merge_every=merge_every).awaitTermination()
-        live.run_fold(live.accepted_stream(spark, out), ev.fold_nodes, f"{out}/nodes", str(tmp_path / "cp2"), available_now=True).awaitTermination()
+        live.run_fold(live.accepted_stream(spark, out), ev.fold_nodes, f"{out}/nodes", str(tmp_path / "cp2"), available_now=True,
+                      keys=["session_id", "id"], merge_every=merge_every).awaitTermination()
     batch = ev.parse_events(rows(data, EVENT_LOG))
     expected = ev.fold_nodes(ev.accepted_events(batch))
     got = live.latest_fold(spark, f"{out}/nodes", ["session_id", "id"]).select(*expected.columns)
