@@ -34,7 +34,7 @@ from srcgraph.llm.common import Batches, cut, kept, map_batches, texts, with_id
 
 #: Sizes of the model: classes of one token, hashed classes, anchors, dimensions.
 SINGLE, HASHED, ANCHORS, DIMS = 4096, 64, 32, 16
-#: Tokens whose counts are sent to every task, and bytes of one of them; others are counted by a join.
+#: Most tokens whose counts are sent to every task, and bytes of one of them; others are counted by a join.
 KNOWN, KNOWN_BYTES = 1 << 18, 64
 NOISE, BATCH, RATE = 64, 1024, 0.2
 #: Each pass trains on one in so many training documents, from the averaged parameters of the pass before.
@@ -117,7 +117,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, kinds = np.zeros(HASHED, np.int64), np.zeros(HASHED, np.int64)
     for r in totals:
         tokens[r["bucket"]], kinds[r["bucket"]] = r["n"], r["v"]
-    top = counts.filter(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("n"), "word").limit(KNOWN)
+    # a sort for the first KNOWN would end in one task; instead counts are put on rungs of a few per cent
+    rung = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    short = counts.filter(F.octet_length("word") <= KNOWN_BYTES).withColumn("rung", rung)
+    sizes = {r["rung"]: r["v"] for r in short.groupBy("rung").agg(F.count("*").alias("v")).collect()}
+    lowest, taken = max(sizes, default=0) + 1, 0
+    for step in sorted(sizes, reverse=True):
+        taken += sizes[step]
+        if taken > KNOWN:
+            break
+        lowest = step
+    top = short.filter(F.col("rung") >= lowest).select("word", "n")
     table = top.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     known = list(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
     return Vocabulary(int(tokens.sum()), int(kinds.sum()), known, tokens, kinds)
