@@ -7,6 +7,11 @@ variable fields too; otherwise each line is a template. Parts are single tokens,
 stretches of them in long lines, and are compared by the smallest and largest hash of a
 leaf, which partial aggregates give. Lines of templates that recur in many documents are
 dropped.
+
+`drop_recurring_passages` decides line by line instead, so that strangers in a leaf do not
+end its template: each token after the first ones has its most frequent value in the leaf,
+and lines that agree with at least half of those are the leaf's dominant template. Every
+other line is a template of its own.
 """
 
 from __future__ import annotations
@@ -45,6 +50,11 @@ def _part(tokens: Column, count: Column, part: int) -> Column:
     return F.xxhash64(F.when(rest <= PARTS, short).otherwise(long))
 
 
+def _count(body: str) -> Column:
+    """Number of tokens of a masked line."""
+    return F.length(body) - F.length(F.replace(F.col(body), F.lit(" "), F.lit(""))) + 1
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, nth, body, leaf): the lines that have tokens, masked, and the leaves they go to."""
     rows = docs.select(
@@ -52,9 +62,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.posexplode(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1)).alias("nth", "line"),
     )
     seen = rows.select("id", "key", "nth", masked(F.col("line")).alias("body")).filter("body != ''")
-    count = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1
     leading = F.substring_index("body", " ", LEADING)
-    return seen.withColumn("leaf", F.md5(F.concat_ws(" ", count.cast("string"), leading)))
+    return seen.withColumn("leaf", F.md5(F.concat_ws(" ", _count("body").cast("string"), leading)))
 
 
 def templates(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -101,12 +110,19 @@ def drop_recurring_lines(
     document. A column of `docs` named n_lines or n_dropped is replaced.
     """
     gone = recurring(docs, id_col, text_col, min_docs)
-    lists = cut(gone.groupBy("id", "key").agg(F.collect_set("nth").alias("__gone")))
+    return _without(docs, cut(gone.groupBy("id", "key").agg(F.collect_set("nth").alias("__gone"))), text_col, id_col)
+
+
+def _without(docs: DataFrame, lists: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    """Take the lines of `lists` ((id,) key, __gone) out of the texts; without `id_col` by text alone."""
     if fits_broadcast(lists):  # texts then stay where they are
         lists = F.broadcast(lists)
     rows = docs.withColumn("__key", text_key(docs, text_col))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = rows.join(lists, rows[id_col].eqNullSafe(lists["id"]) & (rows["__key"] == lists["key"]), "left")
+    on = rows["__key"] == lists["key"]
+    if id_col is not None:
+        on = rows[id_col].eqNullSafe(lists["id"]) & on
+    joined = rows.join(lists, on, "left")
     lines = F.split(rows[text_col], "\n", -1)
     kept = F.filter(lines, lambda line, nth: ~F.array_contains("__gone", nth))
     text = F.when(F.col("__gone").isNull(), rows[text_col]).otherwise(F.array_join(kept, "\n"))
@@ -115,3 +131,52 @@ def drop_recurring_lines(
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+def dominant(bodies: DataFrame) -> DataFrame:
+    """(leaf, line) of the lines that belong to their leaf's dominant template.
+
+    bodies  (leaf, line, body, docs), a row per distinct line of more than LEADING tokens
+
+    A token's value counts once per document of its lines; of equally frequent ones the last in byte order is taken.
+    """
+    split = bodies.select("leaf", "line", "docs", F.split("body", " ").alias("tokens"))
+    rest = F.slice("tokens", F.lit(LEADING + 1), F.greatest(F.size("tokens") - LEADING, F.lit(0)))
+    lines = cut(split.select("leaf", "line", "docs", rest.alias("tokens")))
+    values = lines.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token"))
+    counts = values.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs"))
+    most = counts.groupBy("leaf", "pos").agg(F.max(F.struct("docs", "token")).alias("most"))
+    shape = most.groupBy("leaf").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("most.token").alias("token")))).alias("shape")
+    )
+    met = keyed_join(lines, shape, ["leaf"])
+    agree = F.size(F.filter(F.zip_with("tokens", "shape", lambda a, b: a == b["token"]), lambda same: same))
+    return met.filter(agree >= F.size("tokens") * ALIKE).select("leaf", "line")
+
+
+def recurring_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, nth) of the lines whose template occurs in at least `MIN_DOCS` documents; equal texts are one document."""
+    least = F.lit(MIN_DOCS)
+    lines = lines_of(docs, id_col, text_col).withColumn("n", _count("body"))
+    places = cut(lines.select("key", "nth", "leaf", "n", F.md5("body").alias("line")))
+    crowded = cut(places.groupBy("leaf", "n").agg(F.count("*").alias("lines")).filter(F.col("lines") >= least).select("leaf"))
+    held = cut(lookup_join(places, crowded, ["leaf"], "left_semi").distinct())
+    kinds = cut(held.select("leaf", "n", "line", "key").distinct().groupBy("leaf", "n", "line").agg(F.count("*").alias("docs")))
+    mixed = cut(
+        kinds.filter(F.col("n") > LEADING).groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf")
+    )
+    asked = lookup_join(lines.select("leaf", F.md5("body").alias("line"), "body"), mixed, ["leaf"], "left_semi")
+    bodies = keyed_join(asked.distinct(), kinds.select("leaf", "line", "docs"), ["leaf", "line"])
+    alike = cut(dominant(bodies).withColumn("alike", F.lit(True)))
+    found = cut(lookup_join(held, alike, ["leaf", "line"], "left").select(
+        "key", "nth", "n", F.when(F.col("alike"), F.col("leaf")).otherwise(F.concat(F.lit("line "), F.col("line"))).alias("template"),
+    ))
+    pairs = found.select("template", "n", "key").distinct()
+    often = pairs.groupBy("template", "n").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
+    return keyed_join(found, often.select("template"), ["template"]).select("key", "nth")
+
+
+def drop_recurring_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `drop_recurring_lines`, by dominant templates."""
+    gone = recurring_passages(docs, id_col, text_col)
+    return _without(docs, cut(gone.groupBy("key").agg(F.collect_set("nth").alias("__gone"))), text_col)

@@ -46,4 +46,38 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(body, '') END AS t
 FROM documents JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT, "op6_line_dedup": LINES}
+PASSAGES = """
+WITH raw AS (
+  SELECT doc_id, coalesce(text, '') AS own, unnest(string_split(coalesce(text, ''), chr(10))) AS body,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth
+  FROM documents),
+tokens AS (
+  SELECT doc_id, own, nth, list_transform(list_filter(string_split_regex(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+  FROM raw),
+lines AS (SELECT *, len(t) AS n, t[1:3] AS lead FROM tokens WHERE len(t) > 0),
+kinds AS (SELECT n, lead, t, count(DISTINCT own) AS docs FROM lines GROUP BY n, lead, t),
+counts AS (
+  SELECT n, lead, p, token, sum(docs) AS docs FROM (
+    SELECT n, lead, docs, unnest(t[4:]) AS token, generate_subscripts(t[4:], 1) AS p FROM kinds)
+  GROUP BY n, lead, p, token),
+most AS (SELECT n, lead, p, token FROM counts QUALIFY row_number() OVER (PARTITION BY n, lead, p ORDER BY docs DESC, token DESC) = 1),
+alike AS (
+  SELECT k.n, k.lead, k.t, count(*) FILTER (k.t[m.p + 3] = m.token) >= (k.n - 3) * 0.5 AS same
+  FROM kinds k JOIN most m ON m.n = k.n AND m.lead = k.lead GROUP BY k.n, k.lead, k.t),
+templates AS (
+  SELECT doc_id, own, nth, n, CASE WHEN coalesce(same, false) THEN concat(n, ' ', array_to_string(lead, ' '))
+    ELSE concat('line ', array_to_string(t, ' ')) END AS template
+  FROM lines LEFT JOIN alike USING (n, lead, t)),
+often AS (SELECT template FROM templates GROUP BY template, n HAVING count(DISTINCT own) >= 20),
+gone AS (SELECT doc_id, nth FROM templates JOIN often USING (template)),
+kept AS (
+  SELECT raw.doc_id, string_agg(body, chr(10) ORDER BY raw.nth) FILTER (gone.nth IS NULL) AS body,
+    count(*) AS n_lines, count(gone.nth) AS n_dropped
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.nth = gone.nth GROUP BY raw.doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(body, '') END AS text,
+  CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped
+FROM documents JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_exact_dedup": EXACT, "op6_line_dedup": LINES, "op6_passage_dedup": PASSAGES}

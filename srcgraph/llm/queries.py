@@ -62,6 +62,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring_lines(docs)
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_passages(docs)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.fit(docs))
@@ -90,5 +95,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op4_lm_scoring, op5_exact_dedup, op6_line_dedup,
-    op7_pii, op8_quality, op9_byte_bpe, op10_sharding,
+    op6_passage_dedup, op7_pii, op8_quality, op9_byte_bpe, op10_sharding,
 )}
