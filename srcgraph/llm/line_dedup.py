@@ -26,6 +26,8 @@ LEADING = 3
 PARTS = 16
 ALIKE = 0.5
 MIN_DOCS = 20
+#: For passages: documents that a template needs, and from LONG tokens on, where chance repeats are ruled out.
+FEW_DOCS, LONG, LONG_DOCS = 5, 50, 3
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 #: A token with a digit: from its start, in one go, so that long tokens take one look.
@@ -155,8 +157,8 @@ def dominant(bodies: DataFrame) -> DataFrame:
 
 
 def recurring_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, nth) of the lines whose template occurs in at least `MIN_DOCS` documents; equal texts are one document."""
-    least = F.lit(MIN_DOCS)
+    """(key, nth) of the lines whose template occurs in enough documents for its length; equal texts are one document."""
+    least = F.when(F.col("n") >= LONG, LONG_DOCS).otherwise(FEW_DOCS)
     lines = lines_of(docs, id_col, text_col).withColumn("n", _count("body"))
     places = cut(lines.select("key", "nth", "leaf", "n", F.md5("body").alias("line")))
     crowded = cut(places.groupBy("leaf", "n").agg(F.count("*").alias("lines")).filter(F.col("lines") >= least).select("leaf"))
@@ -177,6 +179,6 @@ def recurring_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
 
 
 def drop_recurring_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As `drop_recurring_lines`, by dominant templates."""
+    """As `drop_recurring_lines`, by dominant templates in `FEW_DOCS` documents, long ones in `LONG_DOCS`."""
     gone = recurring_passages(docs, id_col, text_col)
     return _without(docs, cut(gone.groupBy("key").agg(F.collect_set("nth").alias("__gone"))), text_col)

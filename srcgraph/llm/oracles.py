@@ -69,7 +69,7 @@ templates AS (
   SELECT doc_id, own, nth, n, CASE WHEN coalesce(same, false) THEN concat(n, ' ', array_to_string(lead, ' '))
     ELSE concat('line ', array_to_string(t, ' ')) END AS template
   FROM lines LEFT JOIN alike USING (n, lead, t)),
-often AS (SELECT template FROM templates GROUP BY template, n HAVING count(DISTINCT own) >= 20),
+often AS (SELECT template FROM templates GROUP BY template, n HAVING count(DISTINCT own) >= CASE WHEN n >= 50 THEN 3 ELSE 5 END),
 gone AS (SELECT doc_id, nth FROM templates JOIN often USING (template)),
 kept AS (
   SELECT raw.doc_id, string_agg(body, chr(10) ORDER BY raw.nth) FILTER (gone.nth IS NULL) AS body,
