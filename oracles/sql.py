@@ -734,6 +734,54 @@ WHERE source <> target QUALIFY row_number() OVER (PARTITION BY session_id, sourc
 
 ORACLES["system_related"] = ORACLES["relates_to_resolved"]
 
+# The same with endpoint, entity, external and plan answers, and with a review that removes ids that start with 0.
+ANSWERED = "1099511627776"      # 2**40
+RECORDS = tuple(_array(f"{kind}_responses", more).replace("rec AS", f"{kind}_rec AS") for kind, more in (
+    ("endpoint", ", file_path"), ("entity", ", file_path"), ("external", "")))
+_later = f"{BIG} + ord AS ord, {ANSWERED} + sub AS sub"
+ALL_ENDPOINTS = (ROUTES, _nodes("endpoints", f"""(
+    SELECT repo_id AS session_id, ord, CAST(rule_rank AS BIGINT) * {LIST} + match_pos AS sub, path AS file_path, value FROM routes
+    UNION ALL SELECT session_id, {_later}, file_path, concat_ws(' ', {_s('method')}, {_s('path')}) FROM endpoint_rec)""",
+    "api", 1, "'api'", "value", "file_path", "0.85", ", file_path"))
+ALL_ENTITIES = (MODELS, _nodes("entities", f"""(
+    SELECT repo_id AS session_id, ord, CAST(rule_rank AS BIGINT) * {LIST} + match_pos AS sub, path AS file_path, value FROM models
+    UNION ALL SELECT session_id, {_later}, file_path, {_s('name')} FROM entity_rec WHERE {_s('name')} IS NOT NULL)""",
+    "data", 2, "'database'", "value", "file_path", "0.9", ", file_path"))
+ALL_EXTERNALS = (ENV, *SDK, _nodes("externals", f"""(
+    SELECT repo_id AS session_id, CASE WHEN in_config THEN 0 ELSE {BIG} END + ord AS ord, CAST(rule_rank AS BIGINT) AS sub, name, category FROM sdks
+    UNION ALL SELECT session_id, {_later}, name, category FROM (
+      SELECT session_id, ord, sub, {_s('name')} AS name, {_s('category')} AS category FROM external_rec WHERE {_s('name')} IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY session_id, name ORDER BY ord, sub) = 1) e
+    WHERE NOT EXISTS (SELECT 1 FROM sdks s WHERE s.repo_id = e.session_id AND s.name = e.name))""",
+    "infra", 4, "CASE WHEN category IN ('queue', 'cloud') THEN 'infra' ELSE 'external' END", "name", "''", "0.85"))
+ENTRIES = """entries AS (SELECT session_id, path AS entry FROM plans WHERE role = 'entry'
+  QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord, pos) = 1)"""
+REVIEWED = (*BASE, FRAMEWORK, PROFILE, *PLANS, ENTRIES, _main("entry"), *RECORDS, *ALL_ENDPOINTS, *ALL_ENTITIES, *SERVICES,
+            *ALL_EXTERNALS, *FEATURES, *SYSTEM[-2:], SYSTEM_DEDUPED)
+REVIEWED_VIEWS = (*ALL_VIEWS, "endpoint_responses", "entity_responses", "external_responses", "plan_responses")
+_add("reviewed_nodes", REVIEWED_VIEWS, f"""
+SELECT session_id, id, type, label, confidence, agent_source, CAST(rank * 320 AS DOUBLE) AS x,
+  CAST((row_number() OVER (PARTITION BY session_id, rank ORDER BY source_rank, ord, sub) - 1) * 130 + 40 AS DOUBLE) AS y
+FROM (SELECT *, {RANK} AS rank FROM survivors WHERE NOT starts_with(id, '0'))""", *REVIEWED)
+_add("reviewed_edges", REVIEWED_VIEWS, """
+SELECT session_id, source, target, type, label, rel AS relationship_type FROM (
+  SELECT e.* REPLACE (coalesce(s.sid, e.source) AS source, coalesce(t.sid, e.target) AS target) FROM every_edge e
+  LEFT JOIN sys_map s ON s.session_id = e.session_id AND s.id = e.source LEFT JOIN sys_map t ON t.session_id = e.session_id AND t.id = e.target)
+WHERE source <> target AND NOT starts_with(source, '0') AND NOT starts_with(target, '0')
+QUALIFY row_number() OVER (PARTITION BY session_id, source, target, rel ORDER BY source_rank, ord, sub) = 1""",
+     *REVIEWED, LAST_NAMED, SERVICE_DEPS, _uses("earlier"), "every_edge AS (" + " UNION ALL ".join([
+         _raw_star("endpoints", 1, "dependency", "HANDLES"), _raw_star("services", 3, "dependency", "DEPENDS_ON"),
+         "SELECT session_id, 3, ord, sub, source, target, 'dependency', 'DEPENDS_ON', 'DEPENDS_ON' FROM service_deps",
+         _raw_star("externals", 4, "dataFlow", "CONNECTS_TO"),
+         "SELECT session_id, 5, ord, sub, source, target, 'dependency', 'USES', 'DEPENDS_ON' FROM uses"]) + ")",
+     "sys_map AS (SELECT session_id, id, first_value(id) OVER (PARTITION BY session_id, type, k ORDER BY source_rank, ord, sub) AS sid FROM every_node)")
+_add("reviewed_related", REVIEWED_VIEWS, """
+SELECT session_id, source, first_place, last_place,
+  (SELECT count(*) FROM surv b WHERE b.session_id = a.session_id AND b.source <> a.source AND b.last_place > a.first_place) AS n_targets FROM surv a""",
+     *REVIEWED, "placed AS (SELECT session_id, lower(trim(label)) AS k, id, row_number() OVER (PARTITION BY session_id ORDER BY ord, sub) AS place FROM entities)",
+     """surv AS (SELECT * FROM (SELECT session_id, k, arg_min(id, place) AS source, min(place) AS first_place, max(place) AS last_place
+  FROM placed GROUP BY session_id, k) WHERE NOT starts_with(source, '0'))""")
+
 # A trailing WITH list in the body (it starts with a comma) continues the head.
 for _name, _text in list(ORACLES.items()):
     ORACLES[_name] = _text.replace("\n\n,", ",\n").replace("\n,", ",\n") if "\n," in _text else _text

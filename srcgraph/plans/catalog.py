@@ -723,3 +723,37 @@ def system_edges(spark, sf):
 def system_related(spark, sf):
     """Entities linked with each other, as ranges of places, after resolution."""
     return _analysis(spark, sf).related
+
+
+def _reviewed(spark, sf):
+    """The analysis with every kind of recorded answer; the review removes the resolved nodes whose ids start with 0."""
+    given = dict(
+        service_answers=view(spark, sf, "model_responses"), feature_answers=view(spark, sf, "feature_responses"),
+        endpoint_answers=view(spark, sf, "endpoint_responses"), entity_answers=view(spark, sf, "entity_responses"),
+        external_answers=view(spark, sf, "external_responses"), plan_answers=view(spark, sf, "plan_responses"),
+    )
+    source = fixtures.view(spark, sf, "source_files", {"documents": "doc_id"})
+    first = analyze(source, **given).nodes
+    removes = F.startswith("id", F.lit("0"))
+    listed = F.concat(F.lit('["'), F.col("id"), F.lit('"]'))
+    verdicts = first.select("session_id", "ord", F.concat(
+        F.lit('{"keep": '), F.when(removes, "[]").otherwise(listed),
+        F.lit(', "remove": '), F.when(removes, listed).otherwise("[]"), F.lit("}"),
+    ).alias("text"))
+    return analyze(source, **given, verdict_answers=verdicts)
+
+
+@query
+def reviewed_nodes(spark, sf):
+    return _reviewed(spark, sf).nodes.select("session_id", "id", "type", "label", "confidence", "agent_source", "x", "y")
+
+
+@query
+def reviewed_edges(spark, sf):
+    return _reviewed(spark, sf).edges.select("session_id", "source", "target", "type", "label", "relationship_type")
+
+
+@query
+def reviewed_related(spark, sf):
+    """As system_related, with answered entities and without those that the review removes."""
+    return _reviewed(spark, sf).related
