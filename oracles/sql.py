@@ -579,6 +579,11 @@ SELECT label AS group_id, label AS question_id, CAST(row_number() OVER (PARTITIO
     SELECT label, list(m ORDER BY i) AS vector FROM (
       SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i) GROUP BY ALL) GROUP BY label) c USING (label))
 QUALIFY rank <= 10""")
+_add("vector_neighbours", (), """
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, uuid) AS INTEGER) AS rank, uuid, score FROM (
+  SELECT q.vec_id AS question_id, e.vec_id AS uuid, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+QUALIFY rank <= 10""")
 _add("canned_questions", ("edges",), """
 SELECT s.session_id, 'Which services touch user data?' AS question, s.id, s.label, count(*) AS weight
 FROM nodes s JOIN edges e ON e.session_id = s.session_id AND e.source = s.id JOIN nodes t ON t.session_id = e.session_id AND t.id = e.target

@@ -577,6 +577,18 @@ def vector_topk(spark, sf):
     return search.vector_topk(vectors, asked)
 
 
+@query
+def vector_neighbours(spark, sf):
+    """The ten nearest of all vectors to every vector whose id is divisible by 100, itself among them."""
+    vectors = fixtures.spread(fixtures.table(spark, sf, "embeddings"), "vec_id").select(
+        F.col("vec_id").alias("uuid"), "embedding"
+    )
+    asked = vectors.filter(F.col("uuid") % 100 == 0).select(
+        F.col("uuid").alias("question_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    return search.vector_neighbours(vectors, asked)
+
+
 @query
 def canned_questions(spark, sf):
     return search.canned_questions(view(spark, sf, "nodes"), view(spark, sf, "edges"), about="ring")
