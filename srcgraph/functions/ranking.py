@@ -1,8 +1,9 @@
 """Order-dependent steps that stay parallel inside one huge group.
 
 A plain `row_number() OVER (PARTITION BY session ...)` sends a whole session to one
-task. Here positions are counted level by level: each window covers at most one
-block of the order, and block offsets come from pre-aggregated sums.
+task. Here rows are dealt by ranges of their order, so that a group lies over as many
+tasks as its rows fill, and are counted in blocks bounded in rows: sums per block, sums
+of the blocks before, and the rows of one block.
 """
 
 from __future__ import annotations
@@ -10,8 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 12
-SUPER_BITS = 32
+from srcgraph.functions.joins import fits_broadcast
+from srcgraph.session import cut
+
+#: A block holds at most 2**BLOCK_BITS rows.
+BLOCK_BITS = 16
+
+
+def in_order(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """`df` dealt and sorted by `keys`, then `by`, and written, with `__block` and `__at` added.
+
+    `__at` grows along the order; a block is a stretch of at most 2**16 rows of one task.
+    Written, because ranges are drawn from a sample: dealt a second time, rows could fall
+    into other ranges.
+    """
+    order = [*keys, *by]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # A task's rows are numbered from (task << 33), so the high bits tell tasks and then blocks apart.
+    numbered = dealt.withColumn("__at", F.monotonically_increasing_id())
+    return cut(numbered.withColumn("__block", F.shiftright("__at", BLOCK_BITS)))
+
+
+def _before(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_total(
@@ -19,45 +41,39 @@ def running_total(
 ) -> DataFrame:
     """Add `out`: the sum of `value` over all rows of `keys` up to and including this one.
 
-    Rows are ordered by `ord_col`, a sequence number (bigint), then by the columns in
-    `then`; no two rows of a key may agree in all of them. Keys must not be null.
-
-    A block is 2**12 sequence numbers, a super-block 2**32. Windows see one block of
-    rows, one super-block of block sums (2**20 at most), or a key's super-block sums.
-    `df` occurs three times in the plan: pass a written table if it is costly.
+    Rows are ordered by `ord_col`, then by the columns in `then`, nulls first; rows of a key that
+    agree in all of them stand in any order. Keys must not be null. However many rows share an
+    `ord_col`, a window sees one block of rows or a key's block sums, one row per 2**16 rows.
+    `df` is read once to be sampled and once to be written.
     """
-    block, super_ = "__block", "__super"
-    rows = df.withColumn("__value", value.cast("bigint")).withColumns({
-        super_: F.shiftright(F.col(ord_col), SUPER_BITS), block: F.shiftright(F.col(ord_col), BLOCK_BITS),
-    })
-    block_sums = rows.groupBy(*keys, super_, block).agg(F.sum("__value").alias("__sum"))
-    super_sums = block_sums.groupBy(*keys, super_).agg(F.sum("__sum").alias("__sum"))
-
-    def before(partition: list[str], by: str) -> Column:
-        earlier = Window.partitionBy(*partition).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("__sum").over(earlier), F.lit(0))
-
-    super_offsets = super_sums.select(*keys, super_, before(keys, super_).alias("__super_offset"))
-    offsets = (
-        block_sums.withColumn("__in_super", before([*keys, super_], block))
-        .join(super_offsets, [*keys, super_])
-        .select(*keys, super_, block, (F.col("__in_super") + F.col("__super_offset")).alias("__offset"))
-    )
+    rows = in_order(df.withColumn("__value", value.cast("bigint")), keys, [ord_col, *then])
+    sums = rows.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum"))
+    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(_before(keys)), F.lit(0))).drop("__sum")
     inside = (
-        Window.partitionBy(*keys, super_, block).orderBy(ord_col, *then)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("__inside", F.sum("__value").over(inside))
-        .join(offsets, [*keys, super_, block])
+        rows.withColumn("__inside", F.sum("__value").over(inside)).join(offsets, [*keys, "__block"])
         .withColumn(out, F.col("__inside") + F.col("__offset"))
         .select(*df.columns, out)
     )
 
 
 def position(df: DataFrame, keys: list[str], ord_col: str, out: str, then: tuple[str, ...] = ()) -> DataFrame:
-    """Add `out`: 1-based position of the row within its `keys`."""
-    return running_total(df, keys, ord_col, F.lit(1), out, then)
+    """Add `out`: 1-based position of the row within its `keys`, ordered as in `running_total`.
+
+    Rows of a key follow each other within a block, so no window sees rows at all.
+    """
+    rows = in_order(df, keys, [ord_col, *then])
+    sums = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0))).drop("__n")
+    if fits_broadcast(offsets):
+        offsets = F.broadcast(offsets)
+    return (
+        rows.join(offsets, [*keys, "__block"])
+        .withColumn(out, F.col("__at") - F.col("__first") + F.col("__offset") + 1)
+        .select(*df.columns, out)
+    )
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "srcgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="srcgraph-")
     return _own_dir
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` below the shared folder and go on from the files, which outlive executors.
+
+    Rows keep their partitions. Spark removes the files with the frame if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
