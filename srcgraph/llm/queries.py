@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.llm import (
-    bpe, decontaminate, exact_dedup, line_dedup, lm, pii, quality, sharding, simhash, toxicity,
+    bpe, decontaminate, exact_dedup, host_rules, line_dedup, lm, merkle, pii, quality, sharding, simhash,
+    term_pipeline, toxicity,
 )
 from srcgraph.llm.common import id_hash_mod, table
 
@@ -93,7 +94,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    changed = merkle.row_digest([*[docs[c] for c in fields], F.regexp_replace(docs["text"], "\n", "")])
+    observed = F.when(id_hash_mod(docs["doc_id"], 2) == 0, changed)
+    found = merkle.manifest(docs, [*fields, "text"], observed=observed)
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_rules.judge(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("host", "source")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_toxicity, op3_decontamination, op4_lm_scoring, op5_exact_dedup, op6_line_dedup,
     op6_passage_dedup, op7_pii, op8_quality, op9_byte_bpe, op10_sharding,
+    op11_term_pipeline, op12_merkle_manifest, op13_host_rules,
 )}
