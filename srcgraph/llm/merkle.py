@@ -19,17 +19,22 @@ subroot; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import lookup_join
 from srcgraph.functions.ranking import position
-from srcgraph.llm.common import cut
+from srcgraph.llm.common import cut, shared_folder
 
 ARITY = 3
 HEX = 64
+#: So many levels' proofs are put together in one plan.
+LEVELS_A_PLAN = 4
 
 
 def digest(text: Column) -> Column:
@@ -54,6 +59,22 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("bigint"))
 
 
+def _tables(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes small frames as tables of the shared folder.
+
+    A checkpoint hands on what the optimizer knows about constant columns; over the levels above the groups,
+    which have many, that knowledge grew until planning took minutes. A table starts afresh.
+    """
+    folder, numbers = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(numbers)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def _depth(n: int, arity: int) -> int:
     """Levels between `n` nodes and one."""
     depth = 0
@@ -65,7 +86,7 @@ def _depth(n: int, arity: int) -> int:
 def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     """Add `sibs`: the digests of the run's other nodes, left to right, as one binary.
 
-    nodes  (tree, n, place, digest, ...), places from 0 to n - 1
+    nodes  (tree, place, digest, ...), places of a tree from 0 without gaps
     """
     slot = F.col("place") % arity
     names = [f"sib{j}" for j in range(arity - 1)]
@@ -74,30 +95,34 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
         # The run's other slots: those before the node's own keep their number, the rest move up by one.
         at = F.col("place") - slot + F.when(slot > j, j).otherwise(j + 1)
         lookup = nodes.select("tree", F.col("place").alias("at"), F.col("digest").alias(name))
-        out = out.withColumn("at", at).join(lookup, ["tree", "at"], "left").drop("at")
+        # Merged, not broadcast: a job has dozens of these joins, and their tables would add up on the driver.
+        out = out.withColumn("at", at).join(lookup.hint("merge"), ["tree", "at"], "left").drop("at")
     sibs = F.concat(*[F.coalesce(name, F.lit("").cast("binary")) for name in names])
     return out.withColumn("sibs", sibs).drop(*names)
 
 
-def climb(nodes: DataFrame, largest: int, arity: int) -> tuple[list[DataFrame], DataFrame]:
+def climb(nodes: DataFrame, highest: int, arity: int,
+          keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[list[DataFrame], DataFrame]:
     """All levels of the trees and their tops.
 
-    nodes  (tree, n, place, digest); `largest` is the greatest n. Levels hold (tree, n, place, digest,
-    sibs) of trees that still have several nodes; tops hold (tree, height, top).
+    nodes  (tree, height, place, digest), height being the levels above a tree's lowest, at most
+           `highest`
+    keep   writes a frame and reads it back
+
+    Level k holds (tree, height, place, digest, sibs) of trees that are higher than k, tops (tree, height, top).
     """
     levels, tops, now = [], [], nodes
-    for height in range(_depth(largest, arity)):
-        tops.append(now.filter("n = 1").select("tree", F.lit(height).alias("height"), F.col("digest").alias("top")))
-        level = cut(with_siblings(now.filter("n > 1"), arity))
+    for k in range(highest):
+        tops.append(now.filter(F.col("height") == k).select("tree", "height", F.col("digest").alias("top")))
+        level = keep(with_siblings(now.filter(F.col("height") > k), arity))
         levels.append(level)
         # Slot zero has its whole run: itself, then its siblings.
         whole = digest(_hex(F.concat("digest", "sibs")))
         now = level.filter(F.col("place") % arity == 0).select(
-            "tree", _div(F.col("n") + (arity - 1), arity).alias("n"), _div(F.col("place"), arity).alias("place"),
-            F.unhex(whole).alias("digest"),
+            "tree", "height", _div(F.col("place"), arity).alias("place"), F.unhex(whole).alias("digest"),
         )
-    tops.append(now.select("tree", F.lit(len(levels)).alias("height"), F.col("digest").alias("top")))
-    return levels, cut(reduce(DataFrame.unionByName, tops))
+    tops.append(now.select("tree", "height", F.col("digest").alias("top")))
+    return levels, keep(reduce(DataFrame.unionByName, tops))
 
 
 def descend(levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
@@ -108,9 +133,11 @@ def descend(levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
     paths = above.filter(F.col("height") == len(levels)).select("tree", F.lit(0).cast("bigint").alias("place"), "path")
     for height in reversed(range(len(levels))):
         parents = paths.select("tree", F.col("place").alias("up"), F.col("path").alias("rest"))
-        joined = levels[height].withColumn("up", _div(F.col("place"), arity)).join(parents, ["tree", "up"])
+        joined = levels[height].withColumn("up", _div(F.col("place"), arity)).join(parents.hint("merge"), ["tree", "up"])
         alone = above.filter(F.col("height") == height).select("tree", F.lit(0).cast("bigint").alias("place"), "path")
         paths = joined.select("tree", "place", F.concat("sibs", "rest").alias("path")).unionByName(alone)
+        if height and height % LEVELS_A_PLAN == 0:
+            paths = cut(paths)
     return paths
 
 
@@ -164,30 +191,33 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
     sizes = counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count("*").alias("groups")).first()
     largest, groups = sizes["largest"], sizes["groups"]
 
+    highest, above_all = _depth(largest, arity), _depth(groups, arity)
+    height = reduce(lambda a, b: a + b, [(F.col("n") > arity**k).cast("int") for k in range(highest)], F.lit(0))
     leaves = lookup_join(placed, trees, ["named", "group"]).select(
-        "id", "tree", "n", (F.col("nth") - 1).alias("place"), "digest", "seen",
+        "id", "tree", "n", height.alias("height"), (F.col("nth") - 1).alias("place"), "digest", "seen",
     )
-    levels, tops = climb(leaves.select("tree", "n", "place", "digest"), largest, arity)
+    keep = _tables(docs.sparkSession)
+    levels, tops = climb(leaves.select("tree", "height", "place", "digest"), highest, arity)
     over = tops.select(
-        F.lit(0).cast("bigint").alias("tree"), F.lit(groups).cast("bigint").alias("n"), F.col("tree").alias("place"),
+        F.lit(0).cast("bigint").alias("tree"), F.lit(above_all).alias("height"), F.col("tree").alias("place"),
         F.col("top").alias("digest"),
     )
-    upper, root = climb(over, groups, arity)
+    upper, root = climb(over, above_all, arity, keep)
     none = root.select("tree", "height", F.lit("").cast("binary").alias("path"))
     tails = descend(upper, none, arity).select(F.col("place").alias("tree"), "path")
     # The root is one row, so that its digest is a constant.
     top = root.first()
     value = F.lit(None).cast("binary") if top is None else F.lit(top["top"])
-    above = cut(tops.join(tails, "tree").withColumn("root", value))
+    above = keep(tops.join(tails, "tree").withColumn("root", value))
     paths = descend(levels, above.select("tree", "height", "path"), arity)
 
     known = lookup_join(
-        leaves.join(paths, ["tree", "place"]), above.select("tree", F.col("top").alias("subroot"), "root"), ["tree"],
+        leaves.join(paths.hint("merge"), ["tree", "place"]), above.select("tree", F.col("top").alias("subroot"), "root"), ["tree"],
     ).withColumn("proof", _hex(F.col("path")))
-    inner = folded(_hex(F.col("seen")), F.col("proof"), F.col("place"), F.col("n"), _depth(largest, arity), arity)
+    inner = folded(_hex(F.col("seen")), F.col("proof"), F.col("place"), F.col("n"), highest, arity)
     climbed = known.withColumn("inner", inner)
     whole = folded(
-        F.col("inner")["digest"], F.col("proof"), F.col("tree"), F.lit(groups), _depth(groups, arity), arity,
+        F.col("inner")["digest"], F.col("proof"), F.col("tree"), F.lit(groups), above_all, arity,
         F.col("inner")["used"],
     )
     return climbed.select(
