@@ -15,6 +15,7 @@ from srcgraph.plans import fixtures
 from srcgraph.plans.analysis import Workspace, analyze
 from srcgraph.sources import sinks
 from srcgraph.streaming import events as ev
+from srcgraph.streaming import frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,14 +702,14 @@ def dedupe_events(spark, sf):
 
 @query
 def decode_frames(spark, sf):
-    return ev.decode_frames(ev.frame_lines(view(spark, sf, "raw_frames")))
+    return frames.decode_frames(frames.frame_lines(view(spark, sf, "raw_frames"))).drop("sub")
 
 
 @query
 def reassemble_stream(spark, sf):
-    frames = ev.decode_frames(ev.frame_lines(view(spark, sf, "raw_frames")))
-    chunks = frames.select("stream_id", F.col("chunk").alias("ord"), F.col("pos").alias("sub"), "text")
-    return ev.reassemble_stream(chunks)
+    texts = frames.decode_frames(frames.frame_lines(view(spark, sf, "raw_frames")))
+    chunks = texts.select("stream_id", F.col("chunk").alias("ord"), F.col("pos").alias("sub"), F.col("sub").alias("piece"), "text")
+    return frames.reassemble_stream(chunks, then=("piece",))
 
 
 # --- everything together -----------------------------------------------------------------------

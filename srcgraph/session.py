@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,20 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="srcgraph-")) / "srcgraph-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "srcgraph").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _sent.add(context.applicationId)

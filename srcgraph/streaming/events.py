@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import keyed_join
-from srcgraph.functions.ranking import running_total
 from srcgraph.schemas import EVENT_LOG, EVENT_PAYLOADS, TERMINAL_KINDS
 
 # The agents of the status board in display order, with their titles.
@@ -27,9 +26,6 @@ STATUS_BOARD = (
     ("diagram", "Layout"),
 )
 NOT_ON_REFERENCE_BOARD = ("features",)
-DONE = "[DONE]"
-TURNS_PER_PART = 1024
-CHARS_PER_PART = 1 << 20
 
 # The payload field without which an event of that kind has no effect.
 _NEEDED = {
@@ -255,103 +251,6 @@ def dedupe_events(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.min_by(F.struct(*rest), "seq").alias("e")).select(*keys, "e.*")
 
 
-# --- answer frames -----------------------------------------------------------------
-
-def frame_lines(raw: DataFrame) -> DataFrame:
-    """`(stream_id, chunk, pos, line)`: lines of raw log text, wherever its chunks were cut.
-
-    raw  (stream_id, chunk, text), chunks in order; one frame may span several of them
-
-    A line stands where its first character does: in that chunk, after `pos` line feeds.
-    The last line of a stream, which no line feed ends, is dropped. Lines that lie inside
-    one chunk stay in the scan; only the pieces at the ends of chunks are put together,
-    by the number of line feeds before them.
-    """
-    split = raw.withColumn("lines", F.split("text", "\n", -1)).withColumn("n", F.size("lines") - 1)
-    inside = F.when(F.col("n") > 1, F.slice("lines", 2, F.greatest(F.col("n") - 1, F.lit(0))))
-    whole = split.select("stream_id", "chunk", F.posexplode(inside).alias("at", "line")).select(
-        "stream_id", "chunk", (F.col("at") + 1).alias("pos"), "line"
-    )
-    # The number of line feeds up to and with a chunk numbers its last piece; its first piece has those before.
-    ends = split.select(
-        "stream_id", "chunk", "n", F.element_at("lines", 1).alias("head"),
-        F.when(F.col("n") > 0, F.element_at("lines", -1)).alias("tail"),
-    )
-    feeds = running_total(split.select("stream_id", "chunk", "n"), ["stream_id"], "chunk", F.col("n"), "feeds")
-    placed = keyed_join(ends, feeds.drop("n"), ["stream_id", "chunk"])
-    pieces = placed.select(
-        "stream_id", "chunk", "feeds", "n",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("pos"), (F.col("feeds") - F.col("n")).alias("number"), F.col("head").alias("piece")),
-            F.struct(F.col("n").alias("pos"), F.col("feeds").alias("number"), F.col("tail").alias("piece")),
-        )).alias("p"),
-    ).select("stream_id", "chunk", "feeds", "p.*").filter(F.col("piece") != "")
-    total = feeds.groupBy("stream_id").agg(F.max("feeds").alias("total"))
-    in_order = F.array_sort(F.collect_list(F.struct("chunk", "pos", "piece")))
-    joined = pieces.groupBy("stream_id", "number").agg(in_order.alias("p"))
-    ended = keyed_join(joined, total, ["stream_id"]).filter(F.col("number") < F.col("total"))
-    across = ended.select(
-        "stream_id", F.col("p")[0]["chunk"].alias("chunk"), F.col("p")[0]["pos"].alias("pos"),
-        F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("line"),
-    )
-    return whole.filter(F.col("line") != "").unionByName(across)
-
-
-def _delta(payload: Column) -> Column:
-    """The text of one frame; null if the payload is not exactly one JSON value. Inside a list, what follows it counts."""
-    only = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<string>")
-    return F.when(F.size(only) == 1, F.from_json(only[0], "text string")["text"])
-
-
-def decode_frames(lines: DataFrame) -> DataFrame:
-    """`(stream_id, chunk, pos, text)`: text deltas of `data: ` lines before the first `[DONE]`.
-
-    Malformed frames, and frames without text, are skipped.
-    """
-    frames = lines.filter(F.startswith("line", F.lit("data: "))).select(
-        "stream_id", "chunk", "pos", F.substring("line", 7, 2147483647).alias("payload")
-    )
-    place = F.struct("chunk", "pos")
-    ends = frames.filter(F.col("payload") == DONE).groupBy("stream_id").agg(F.min(place).alias("end"))
-    texts = (
-        frames.filter(F.col("payload") != DONE)
-        .select("stream_id", "chunk", "pos", _delta(F.col("payload")).alias("text"))
-        .filter(F.col("text").isNotNull())
-    )
-    return (
-        keyed_join(texts, ends, ["stream_id"], "left")
-        .filter(F.col("end").isNull() | (place < F.col("end")))
-        .drop("end")
-    )
-
-
-def reassemble_stream(chunks: DataFrame, per_part: int = TURNS_PER_PART, part_chars: int = CHARS_PER_PART) -> DataFrame:
-    """`(stream_id, part, text)`: texts joined in order, parts from 0; the parts in order are the whole text.
-
-    chunks  (stream_id, ord, sub, text), each (ord, sub) once per stream
-
-    A frame weighs its characters and part_chars / per_part more; a part holds the frames
-    that start within `part_chars` of that weight. So no part has more than `per_part`
-    frames or, but for its last frame, `part_chars` characters, and neither a stream nor
-    one `ord` with many frames has to fit one task. Numbers of empty parts are left out.
-    """
-    share = part_chars // per_part
-    slim = chunks.select(
-        "stream_id", "ord", F.col("sub").cast("bigint").alias("sub"), (F.length("text") + share).alias("weight"),
-    )
-    per_ord = slim.groupBy("stream_id", "ord").agg(F.sum("weight").alias("own"))
-    up_to = running_total(per_ord, ["stream_id"], "ord", F.col("own"), "up_to").select(
-        "stream_id", "ord", (F.col("up_to") - F.col("own")).alias("before")
-    )
-    inside = running_total(slim, ["stream_id", "ord"], "sub", F.col("weight"), "inside")
-    part = F.expr(f"(before + inside - weight) div {part_chars}").alias("part")
-    numbered = keyed_join(inside, up_to, ["stream_id", "ord"]).select("stream_id", "ord", "sub", part)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "sub", "text")))
-    return keyed_join(chunks, numbered, ["stream_id", "ord", "sub"]).groupBy("stream_id", "part").agg(
-        F.array_join(F.transform(ordered, lambda c: c["text"]), "").alias("text")
-    )
-
-
 def read_log(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet") -> DataFrame:
     """The event log as a table or, with `streaming`, as a stream of new files."""
     reader = spark.readStream if streaming else spark.read

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.schemas import EVENT_LOG
 from srcgraph.streaming import events as ev
+from srcgraph.streaming import frames as fr
 from srcgraph.streaming import live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -90,9 +91,9 @@ def test_frames_stop_at_done(rows):
     raw = rows([(1, 0, text), (2, 0, 'data: {"text":"x"}\ndata: {"text":"glued"}'), (2, 1, 'data: {"text":"y"}\n'),
                 (2, 2, 'data: {"text":"unfinished"}')],
                "stream_id bigint, chunk bigint, text string")
-    frames = ev.decode_frames(ev.frame_lines(raw))
+    frames = fr.decode_frames(fr.frame_lines(raw))
     chunks = frames.select("stream_id", F.col("chunk").alias("ord"), F.col("pos").alias("sub"), "text")
-    assert {r["stream_id"]: r["text"] for r in ev.reassemble_stream(chunks).collect()} == {1: "ab", 2: "x"}
+    assert {r["stream_id"]: r["text"] for r in fr.reassemble_stream(chunks).collect()} == {1: "ab", 2: "x"}
 
 
 def test_frames_are_joined_over_chunks(rows):
@@ -102,7 +103,7 @@ def test_frames_are_joined_over_chunks(rows):
         edges = [0, *cuts, len(whole)]
         raw = rows([(7, n, whole[a:b]) for n, (a, b) in enumerate(zip(edges, edges[1:]))] + [(8, 0, ""), (8, 1, "\n")],
                    "stream_id bigint, chunk bigint, text string")
-        got = ev.decode_frames(ev.frame_lines(raw)).orderBy("chunk", "pos").collect()
+        got = fr.decode_frames(fr.frame_lines(raw)).orderBy("chunk", "pos").collect()
         assert [r["text"] for r in got] == [f"t{i}" for i in range(30)]
         starts = [whole.index(f'data: {{"text":"t{i}"') for i in range(30)]
         assert [r["chunk"] for r in got] == [sum(e <= s for e in cuts) for s in starts]
@@ -110,12 +111,12 @@ def test_frames_are_joined_over_chunks(rows):
 
 def test_long_streams_come_in_whole_parts(rows):
     chunks = rows([(1, i, 0, f"{i},") for i in range(3000)], "stream_id bigint, ord bigint, sub bigint, text string").repartition(7)
-    parts = ev.reassemble_stream(chunks).orderBy("part").collect()
+    parts = fr.reassemble_stream(chunks).orderBy("part").collect()
     assert len(parts) == 3
     assert "".join(p["text"] for p in parts) == "".join(f"{i}," for i in range(3000))
     one = rows([(1, 5, i, "word " * 300) for i in range(2000)], "stream_id bigint, ord bigint, sub bigint, text string")
-    parts = ev.reassemble_stream(one).orderBy("part").collect()
-    assert len(parts) == 5 and max(len(p["text"]) for p in parts) <= ev.CHARS_PER_PART + 1500
+    parts = fr.reassemble_stream(one).orderBy("part").collect()
+    assert len(parts) == 5 and max(len(p["text"]) for p in parts) <= fr.CHARS_PER_PART + 1500
     assert "".join(p["text"] for p in parts) == "word " * 600_000
 
 
@@ -191,3 +192,57 @@ def test_closed_windows_on_a_stream_equal_batch(spark, rows, tmp_path):
     batch = ev.event_windows(rows(data, EVENT_LOG), "1 minute")
     last = T0 + dt.timedelta(seconds=299 - 10)
     assert got == as_set(batch.filter(F.col("window_end") <= F.lit(last)))
+
+
+def frames_of(rows, raw, line_chars):
+    lines = fr.frame_lines(rows(raw, "stream_id bigint, chunk bigint, text string").repartition(3), line_chars)
+    got = fr.decode_frames(lines).orderBy("stream_id", "chunk", "pos", "sub").collect()
+    texts = {}
+    for r in got:
+        key = (r["stream_id"], r["chunk"], r["pos"])
+        texts[key] = texts.get(key, "") + r["text"]
+    return texts
+
+
+PAYLOADS = [
+    '{"text":"plain words of some length"}', '{"a":[1,{"text":"inner"}],"text":"outer \\u00e9\\n\\"q\\" end"}', '{"text":"first","text":"second"}',
+    '{"text":"smile \\ud83d\\ude00 \\ud83d x"}', '{"text":12345678901234}', '{"text":{"deep":[1,2,"x y"]},"b":true}', '{"text":null,"c":"long enough"}',
+    "{'text':'single quotes'}", '{"text":"broken', '{"text":"a"} {"text":"b"}', '[1,2,{"text":"list"}]', '"just a string of text"', '{"text":"tail",}',
+    '{"text":"bad \\x escape"}', '{"text" : "spaces"  , "n": -1.5e3}', '{"te\\u0078t":"escaped name"}', '{"t":"no text here at all"}', '{"text":"tab\tinside"}',
+    '{"text":""}', '{}', '{"text":01,"x":"leading zero"}', '{"other":{"text":"x"},"z":[[],{}]}',
+]
+
+
+def test_long_lines_are_decoded_in_parts_as_short_ones_are(rows):
+    log = "".join(f"data: {p}\n" for p in PAYLOADS) + "dato: {\"text\":\"no frame but long\"}\ndata: [DONE]\ndata: {\"text\":\"late late late\"}\nopen" * 2
+    rng = random.Random(8)
+    edges = [0, *sorted(rng.sample(range(1, len(log)), 150)), len(log)]
+    raw = [(s, n, log[a:b]) for s in (1, 2) for n, (a, b) in enumerate(zip(edges, edges[1:]))] + [(3, 0, None), (3, 1, "x")]
+    want = frames_of(rows, raw, 1 << 20)
+    assert len(want) > 16
+    assert frames_of(rows, raw, 12) == want
+
+
+def test_a_line_over_many_chunks_is_in_no_row(rows, spark):
+    n = 20_000
+    raw = spark.range(n + 2).select(
+        F.lit(1).cast("bigint").alias("stream_id"), F.col("id").alias("chunk"),
+        F.when(F.col("id") == 0, 'data: {"text":"').when(F.col("id") <= n, F.concat(F.col("id").cast("string"), F.lit(","))).otherwise('"}\n').alias("text"),
+    )
+    endless = spark.range(n).select(F.lit(2).cast("bigint").alias("stream_id"), F.col("id").alias("chunk"), F.lit("no end ").alias("text"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    whole = raw.unionByName(endless)
+    lines = fr.frame_lines(whole.withColumn("text", counted.asNondeterministic()("text")), line_chars=10_000)
+    texts = fr.decode_frames(lines)
+    assert lines.agg(F.max(F.length("line"))).first()[0] < 10_100
+    got = texts.withColumnsRenamed({"chunk": "ord", "sub": "piece", "pos": "sub"})
+    parts = fr.reassemble_stream(got, per_part=64, part_chars=20_000, then=("piece",)).orderBy("part").collect()
+    assert "".join(p["text"] for p in parts) == "".join(f"{i}," for i in range(1, n + 1))
+    assert {p["stream_id"] for p in parts} == {1} and max(len(p["text"]) for p in parts) < 31_000
+    assert read.value <= 2 * (2 * n + 2), "chunks are read to be sampled and to be summed up, no more"

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from srcgraph.functions.ranking import in_order, position, running_total
 from srcgraph.operators import resolve
 from srcgraph.streaming import events as ev
 
@@ -58,3 +59,26 @@ def test_hot_session_is_split_when_events_are_cut_off(tight):
     assert "skew=true" in plan
     hot = [r["seq"] for r in rows if r["session_id"] == 0]
     assert max(hot) == 30_000 and len(rows) == sum(1 for i in range(60_000) if not (i > 30_000 and (i % 3 == 0 or i % 1000 == 0)))
+
+
+def test_findings_of_one_ord_lie_over_many_tasks(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        n = 1_000_000
+        one = spark.range(0, n, 1, 8).select(
+            F.lit(1).alias("session_id"), F.lit(7).cast("bigint").alias("ord"), (n - 1 - F.col("id")).alias("sub"))
+        dealt = in_order(one, ["session_id"], ["ord", "sub"])
+        per_task = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) == 8 and max(per_task) < n / 4
+        assert dealt.groupBy("__block").count().agg(F.max("count")).first()[0] <= 1 << 16
+        placed = position(one, ["session_id"], "ord", "place", ("sub",))
+        assert placed.filter("place != sub + 1").isEmpty() and placed.count() == n
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan.split("BroadcastExchange")[0], "rows themselves go through no window"
+        total = running_total(one, ["session_id"], "ord", F.lit(2), "t", ("sub",))
+        assert total.filter("t != 2 * (sub + 1)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
