@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import lookup_join
 from srcgraph.functions.ranking import position
-from srcgraph.llm.common import cut, shared_folder
+from srcgraph.llm.common import shared_folder
 
 ARITY = 3
 HEX = 64
@@ -60,10 +60,10 @@ def _div(a: Column, b: int) -> Column:
 
 
 def _tables(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes small frames as tables of the shared folder.
+    """Writes frames as tables of the shared folder.
 
-    A checkpoint hands on what the optimizer knows about constant columns; over the levels above the groups,
-    which have many, that knowledge grew until planning took minutes. A table starts afresh.
+    A checkpoint hands on what the optimizer knows about the columns; from level to level that knowledge
+    grew until planning took minutes and the driver's memory. A table starts afresh.
     """
     folder, numbers = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", count()
 
@@ -102,7 +102,7 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
 
 
 def climb(nodes: DataFrame, highest: int, arity: int,
-          keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[list[DataFrame], DataFrame]:
+          keep: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], DataFrame]:
     """All levels of the trees and their tops.
 
     nodes  (tree, height, place, digest), height being the levels above a tree's lowest, at most
@@ -125,7 +125,7 @@ def climb(nodes: DataFrame, highest: int, arity: int,
     return levels, keep(reduce(DataFrame.unionByName, tops))
 
 
-def descend(levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
+def descend(levels: list[DataFrame], above: DataFrame, arity: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`(tree, place, path)` of the lowest nodes: siblings level by level, then what stands above the tree.
 
     above  (tree, height, path): the proof of each tree's top
@@ -137,7 +137,7 @@ def descend(levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
         alone = above.filter(F.col("height") == height).select("tree", F.lit(0).cast("bigint").alias("place"), "path")
         paths = joined.select("tree", "place", F.concat("sibs", "rest").alias("path")).unionByName(alone)
         if height and height % LEVELS_A_PLAN == 0:
-            paths = cut(paths)
+            paths = keep(paths)
     return paths
 
 
@@ -183,8 +183,9 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
         docs[id_col].alias("id"), group.isNotNull().alias("named"), F.coalesce(group, F.lit("")).alias("group"),
         F.unhex(leaf).alias("digest"), F.unhex(seen).alias("seen"),
     )
+    keep = _tables(docs.sparkSession)
     placed = position(rows, ["named", "group"], "id", "nth", then=("digest",))
-    counts = cut(placed.groupBy("named", "group").agg(F.count("*").alias("n")))
+    counts = keep(placed.groupBy("named", "group").agg(F.count("*").alias("n")))
     trees = position(counts.withColumn("one", F.lit(0)), ["one"], "named", "nth", then=("group",)).select(
         "named", "group", "n", (F.col("nth") - 1).alias("tree"),
     )
@@ -196,20 +197,19 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
     leaves = lookup_join(placed, trees, ["named", "group"]).select(
         "id", "tree", "n", height.alias("height"), (F.col("nth") - 1).alias("place"), "digest", "seen",
     )
-    keep = _tables(docs.sparkSession)
-    levels, tops = climb(leaves.select("tree", "height", "place", "digest"), highest, arity)
+    levels, tops = climb(leaves.select("tree", "height", "place", "digest"), highest, arity, keep)
     over = tops.select(
         F.lit(0).cast("bigint").alias("tree"), F.lit(above_all).alias("height"), F.col("tree").alias("place"),
         F.col("top").alias("digest"),
     )
     upper, root = climb(over, above_all, arity, keep)
     none = root.select("tree", "height", F.lit("").cast("binary").alias("path"))
-    tails = descend(upper, none, arity).select(F.col("place").alias("tree"), "path")
+    tails = descend(upper, none, arity, keep).select(F.col("place").alias("tree"), "path")
     # The root is one row, so that its digest is a constant.
     top = root.first()
     value = F.lit(None).cast("binary") if top is None else F.lit(top["top"])
     above = keep(tops.join(tails, "tree").withColumn("root", value))
-    paths = descend(levels, above.select("tree", "height", "path"), arity)
+    paths = descend(levels, above.select("tree", "height", "path"), arity, keep)
 
     known = lookup_join(
         leaves.join(paths.hint("merge"), ["tree", "place"]), above.select("tree", F.col("top").alias("subroot"), "root"), ["tree"],
