@@ -660,6 +660,11 @@ _add("ignored_events", ("event_log",), "SELECT session_id, seq, event, close_seq
 _add("session_snapshot", ("event_log",), "SELECT f.*, o.outcome FROM (" + _last(
     "node:added", "id", _NODE_FIELDS, "(SELECT l.* FROM log l JOIN outcome o USING (session_id) WHERE l.seq <= coalesce(o.close_seq, l.seq))").format(key="id", seq="ord")
     + ") f JOIN outcome o USING (session_id)", LOG, CLOSED, OUTCOME)
+_add("gated_events", ("event_log",), """
+SELECT l.session_id, l.seq, l.event FROM log l LEFT JOIN closed c USING (session_id) WHERE l.seq <= coalesce(c.close_seq, l.seq)""", LOG, CLOSED)
+_add("streamed_nodes", ("event_log",), _last(
+    "node:added", "id", _NODE_FIELDS, "(SELECT l.* FROM log l JOIN outcome o USING (session_id) WHERE l.seq <= coalesce(o.close_seq, l.seq))").format(key="id", seq="ord"),
+    LOG, CLOSED, OUTCOME)
 _add("patch_nodes", ("event_log",), f"""
 SELECT session_id, id, max_by(type, seq) FILTER (type IS NOT NULL) AS type, max_by(label, seq) FILTER (label IS NOT NULL) AS label,
   max_by(confidence, seq) FILTER (confidence IS NOT NULL) AS confidence, count(*) FILTER (event = 'node:updated') AS n_patches

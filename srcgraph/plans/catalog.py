@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,11 @@ from srcgraph.operators import (
 )
 from srcgraph.plans import fixtures
 from srcgraph.plans.analysis import Workspace, analyze
+from srcgraph.schemas import EVENT_LOG, EVENT_PAYLOADS
+from srcgraph.session import shared_dir
 from srcgraph.sources import sinks
 from srcgraph.streaming import events as ev
-from srcgraph.streaming import frames
+from srcgraph.streaming import frames, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -665,6 +668,48 @@ def ignored_events(spark, sf):
     return ev.ignored_events(event_log(spark, sf)).select("session_id", "seq", "event", "close_seq")
 
 
+def _as_stream(spark, log, files: int):
+    """The log, written in `files` files by time, as a stream of one file a batch; a later row lets time run on."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    log = log.select("session_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "event", "data")
+    log.repartitionByRange(files, "ts").write.parquet(f"{folder}/log")
+    end = log.agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast("bigint").alias("session_id"), F.lit(0).cast("bigint").alias("seq"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end of log").alias("event"), F.lit("{}").alias("data"))
+    end.write.mode("append").parquet(f"{folder}/log")
+    return spark.readStream.schema(EVENT_LOG).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"), folder
+
+
+def _run(stream, out: str, state: str) -> None:
+    query = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+
+
+def _gated(spark, sf):
+    """The event log through the stateful gate, in two batches and the one that lets time run on."""
+    stream, folder = _as_stream(spark, view(spark, sf, "event_log"), 2)
+    _run(stateful.gated(stream, "1 hour", keep="60 days"), f"{folder}/accepted", f"{folder}/gate")
+    return spark.read.schema(EVENT_LOG).parquet(f"{folder}/accepted").filter("session_id IS NOT NULL"), folder
+
+
+@query
+def gated_events(spark, sf):
+    accepted, _ = _gated(spark, sf)
+    return accepted.select("session_id", "seq", "event")
+
+
+@query
+def streamed_nodes(spark, sf):
+    accepted, folder = _gated(spark, sf)
+    stream, _ = _as_stream(spark, accepted, 2)
+    _run(stateful.folded(stream, "node:added", F.col("node_added.id"), "1 hour"), f"{folder}/nodes", f"{folder}/fold")
+    changes = spark.read.schema("session_id bigint, id string, ord bigint, data string").parquet(f"{folder}/nodes")
+    last = changes.groupBy("session_id", "id").agg(F.max_by("data", "ord").alias("data"), F.max("ord").alias("ord"))
+    node = F.from_json("data", EVENT_PAYLOADS["node:added"])
+    return last.select("session_id", "id", "ord", node["type"].alias("type"), node["data"]["label"].alias("label"),
+                       node["data"]["confidence"].alias("confidence"))
+
+
 @query
 def patch_nodes(spark, sf):
     return ev.patch_nodes(event_log(spark, sf))
