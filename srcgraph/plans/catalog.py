@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions import text
 from srcgraph.operators import (
-    build, extract, files, layout, prompts, report, requests, resolve, responses, search,
+    build, extract, factindex, files, layout, prompts, report, requests, resolve, responses, search,
 )
 from srcgraph.plans import fixtures
 from srcgraph.plans.analysis import Workspace, analyze
@@ -571,6 +571,25 @@ def query_context(spark, sf):
     return search.query_context(facts(spark, sf), view(spark, sf, "questions"))
 
 
+def _fact_index(spark, sf) -> str:
+    """The facts as an index, added in two batches."""
+    path, whole = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}", facts(spark, sf)
+    half = F.pmod(F.xxhash64("uuid"), F.lit(2))
+    for batch in (0, 1):
+        factindex.add_facts(whole.filter(half == batch), path, batch)
+    return path
+
+
+@query
+def search_index(spark, sf):
+    return factindex.search_index(spark, _fact_index(spark, sf), view(spark, sf, "questions"))
+
+
+@query
+def index_context(spark, sf):
+    return factindex.index_context(spark, _fact_index(spark, sf), view(spark, sf, "questions"))
+
+
 @query
 def vector_topk(spark, sf):
     """The ten most typical vectors of every label: its mean embedding is the question."""
