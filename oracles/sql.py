@@ -708,6 +708,7 @@ SELECT stream_id, part, string_agg(text, '' ORDER BY chunk, pos) AS text FROM (
 _add("drop_groups", ("typed_nodes", "event_log"), """
 SELECT * FROM node_facts WHERE group_id NOT IN (SELECT session_id FROM outcome WHERE outcome = 'error')""", FACTS, LOG, CLOSED, OUTCOME)
 
+ORACLES["streamed_bursts"] = ORACLES["session_windows"]
 ORACLES["search_index"] = ORACLES["search_facts"]
 ORACLES["index_context"] = ORACLES["query_context"]
 

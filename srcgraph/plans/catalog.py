@@ -18,7 +18,7 @@ from srcgraph.schemas import EVENT_LOG, EVENT_PAYLOADS
 from srcgraph.session import shared_dir
 from srcgraph.sources import sinks
 from srcgraph.streaming import events as ev
-from srcgraph.streaming import frames, stateful
+from srcgraph.streaming import frames, live, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -757,6 +757,16 @@ def session_windows(spark, sf):
     return got.select("session_id", _ts("burst_start"), _ts("burst_end"), "n")
 
 
+@query
+def streamed_bursts(spark, sf):
+    """Bursts out of a stream whose late rows were set aside; the log's last row lets time run on, so that all are closed."""
+    stream, folder = _as_stream(spark, view(spark, sf, "event_log"), 2)
+    live.split_late(stream, f"{folder}/split", f"{folder}/split-state", "1 hour", available_now=True).awaitTermination()
+    _run(live.burst_stream(live.in_time(spark, f"{folder}/split"), "4 hours", "1 hour"), f"{folder}/bursts", f"{folder}/bursts-state")
+    found = spark.read.schema("session_id bigint, burst_start timestamp, burst_end timestamp, n bigint").parquet(f"{folder}/bursts")
+    return found.filter("session_id IS NOT NULL").select("session_id", _ts("burst_start"), _ts("burst_end"), "n")
+
+
 @query
 def dedupe_events(spark, sf):
     log = view(spark, sf, "event_log").drop("ts")

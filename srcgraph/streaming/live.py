@@ -120,6 +120,49 @@ def latest_fold(spark, out_dir: str, keys: list[str]) -> DataFrame:
     return _latest(spark, out_dir, keys).drop("batch")
 
 
+def split_late(log: DataFrame, out_dir: str, checkpoint: str, delay: str, available_now: bool = False,
+               every: str = "10 seconds") -> StreamingQuery:
+    """Write rows in time under `out_dir/in_time`, rows that came more than `delay` too late under `out_dir/late`.
+
+    Late is what a watermark of that delay would drop: a row older, by more than `delay`, than the newest row of
+    the batches before its own. No row is lost or given twice: a batch that runs again overwrites its own
+    folders, and reads one number, the newest time that the last batch before it left. What reads `in_time`
+    under the same delay drops nothing.
+    """
+    spark = log.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = max([b for b in _merges(spark, f"{out_dir}/newest") if b < batch_id], default=None)
+        last = None if before is None else spark.read.parquet(f"{out_dir}/newest/batch={before}").first()["ts"]
+        late = F.lit(False) if last is None else F.coalesce(F.col("ts") < F.lit(last) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        batch = batch.persist()
+        batch.filter(~late).write.mode("overwrite").parquet(f"{out_dir}/in_time/batch={batch_id}")
+        batch.filter(late).write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
+        newest = batch.agg(F.greatest(F.max("ts"), F.lit(last).cast("timestamp")).alias("ts"))
+        newest.write.mode("overwrite").parquet(f"{out_dir}/newest/batch={batch_id}")
+        batch.unpersist()
+
+    writer = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, available_now, every).start()
+
+
+def in_time(spark, out_dir: str) -> DataFrame:
+    """What `split_late` found to be in time, as a stream of log rows."""
+    return spark.readStream.schema(EVENT_LOG).parquet(f"{out_dir}/in_time/*")
+
+
+def burst_stream(log: DataFrame, gap: str, delay: str) -> DataFrame:
+    """`session_windows` of a stream: each burst of a session once the watermark has passed its end.
+
+    An event that comes exactly `gap` after another joins its burst here, as is Spark's rule; there it starts anew.
+    """
+    return (
+        log.withWatermark("ts", delay).groupBy("session_id", F.session_window("ts", gap).alias("w"))
+        .agg(F.count("*").alias("n"))
+        .select("session_id", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "n")
+    )
+
+
 def rate_stream(log: DataFrame, width: str, delay: str) -> DataFrame:
     """Event counts per kind and closed window; later rows than `delay` are not counted."""
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.schemas import EVENT_LOG
 from srcgraph.streaming import events as ev
-from srcgraph.streaming import stateful
+from srcgraph.streaming import live, stateful
 
 COLS = "session_id bigint, seq bigint, at bigint, event string, data string"
 
@@ -88,3 +88,23 @@ def test_state_of_folds_falls_when_sessions_end(spark, tmp_path):
     got = {(r["session_id"], r["id"]): (r["ord"], json.loads(r["data"])["data"]["label"]) for r in last.collect()}
     batch = ev.fold_nodes(ev.parse_events(spark.read.schema(EVENT_LOG).parquet(folder))).collect()
     assert got == {(r["session_id"], r["id"]): (r["ord"], r["label"]) for r in batch}
+
+
+def test_late_rows_are_set_aside_and_bursts_equal_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    folder, out = f"{tmp_path}/log", f"{tmp_path}/split"
+    times = sorted(rng.sample(range(1000, 9000, 4), 300))
+    rows = [(rng.randrange(3), i, at, "agent:update", "{}") for i, at in enumerate(times)]
+    late = [(0, 1000, 1001, "agent:update", "{}"), (1, 1001, 1501, "agent:update", "{}")]
+    for n, part in enumerate([rows[:100], rows[100:200], rows[200:250] + late, rows[250:], [(9, 0, 99_999, "agent:update", "{}")]]):
+        write(spark, folder, part)
+        stream = spark.readStream.schema(EVENT_LOG).parquet(folder)
+        query = live.split_late(stream, out, f"{tmp_path}/split-state", "60 seconds", available_now=True)
+        query.awaitTermination(120)
+    read = spark.read.option("basePath", f"{out}/late").parquet(f"{out}/late")
+    assert sorted(r["seq"] for r in read.collect()) == [1000, 1001]
+    kept = spark.read.schema(EVENT_LOG).parquet(f"{out}/in_time")
+    assert kept.count() == 301
+    got, _ = run(spark, live.burst_stream(live.in_time(spark, out), "90 seconds", "60 seconds"), str(tmp_path), "bursts")
+    plain = lambda df: sorted(tuple(r) for r in df.filter("session_id < 9").select("session_id", "burst_start", "burst_end", "n").collect())
+    assert plain(spark.read.parquet(got)) == plain(ev.session_windows(kept, 90))
