@@ -4,8 +4,9 @@ Encoding reads a piece byte by byte. After each byte the BPE encoding of the pre
 one last token, found by testing which token may follow the last token of a shorter
 prefix. A state holds the token paths to those places from which a coming token may
 still start; what all paths share can no longer change and is emitted. States are made
-when first met and their transitions kept, so known words cost one table step a byte. Once
-the table is full, pieces that leave it are walked without making states.
+when first met and their transitions kept, so known words cost one table step a byte. A
+full table keeps the states from which pieces have branched, and the rest is made anew
+where it is met again.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from srcgraph.llm.common import Batches, kept, map_batches, record, texts, with_id
 
 #: Bounds of what a Python worker keeps. Results do not depend on them.
-MAX_STATES = 40_000
-MAX_WORDS = 120_000
+MAX_STATES = 150_000
+MAX_WORDS = 200_000
 MAX_PAIRS = 300_000
 #: Characters that are neither letters, numbers, white space nor an apostrophe.
 ENDS = frozenset(".,;:!?")
+#: No ids, and their decimal form.
+NOTHING = ((), "")
 
 
 class Merges:
@@ -43,12 +46,19 @@ class Merges:
         #: what only a whole piece can be: merges never make it
         self.ranks = {t: rank for t, rank in ranks.items() if t not in unmade}
         self.unmade = {t: ranks[t] for t in unmade}
-        self.starts: set[bytes] = {t[:k] for t in self.ranks for k in range(1, len(t))}
-        #: longest token by its first four bytes
-        self.reach: dict[bytes, int] = {}
-        for t in self.ranks:
-            if len(t) > 3:
-                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
+        #: tree of the tokens' bytes: child by node and byte; token that ends at a node or -1; whether one goes on
+        self.child: dict[int, int] = {}
+        self.ends, self.goes_on = [-1], [True]
+        for token, rank in self.ranks.items():
+            node = 0
+            for byte in token:
+                self.goes_on[node] = True
+                after = self.child.setdefault(node << 8 | byte, len(self.ends))
+                if after == len(self.ends):
+                    self.ends.append(-1)
+                    self.goes_on.append(False)
+                node = after
+            self.ends[node] = rank
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte or a token that no merge makes."""
@@ -126,48 +136,55 @@ class Encoder:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state(b"", ((0, -1, ()),))
+        self._state(((0, -1, ()),))
 
-    def _state(self, read: bytes, places: tuple) -> int:
-        """A state: the bytes since the last emitted token, and (start, last token, tokens so far) of each live place."""
-        number = self.ids.setdefault(places if len(places) > 1 else (read, places), len(self.states))
+    def _state(self, places: tuple) -> int:
+        """A state: (node of the token tree, last token, tokens not yet emitted) of each live place, earliest first."""
+        number = self.ids.setdefault(places, len(self.states))
         if number == len(self.states):
-            self.states.append((read, places))
+            self.states.append(places)
             self.steps.append({})
         return number
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Next state and emitted tokens."""
-        ranks, pairs, starts = self.merges.ranks, self.merges.pairs, self.merges.starts
-        read, places = self.states[state]
-        read += bytes((byte,))
+        merges = self.merges
+        child, ends, goes_on, pairs = merges.child, merges.ends, merges.goes_on, merges.pairs
         live, new = [], None
-        for place in places:
-            start, last, path = place
-            tail = read[start:]
-            if new is None and (token := ranks.get(tail)) is not None:
+        for node, last, path in self.states[state]:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if new is None and (token := ends[node]) >= 0:
                 fits = last < 0 or pairs.get(last << 32 | token)
                 if fits is None:
-                    fits = self.merges.follows(last, token)
+                    fits = merges.follows(last, token)
                 if fits:
                     new = (*path, token)
-            if tail in starts:
-                live.append(place)
+            if goes_on[node]:
+                live.append((node, last, path))
         if new is None:
-            raise ValueError(f"no token of the vocabulary ends the bytes {read!r}")
-        live.append((len(read), new[-1], new))
+            raise ValueError(f"no token of the vocabulary ends at byte {byte}")
+        live.append((0, new[-1], new))
         shared, shortest = 0, live[0][2]
         while shared < len(shortest) and all(p[2][shared] == shortest[shared] for p in live):
             shared += 1
         out = new[:shared]
         if shared:
-            gone = sum(len(self.merges.bytes_of[t]) for t in out)
-            read = read[gone:]
-            live = [(start - gone, last, path[shared:]) for start, last, path in live]
-        done = (self._state(read, tuple(live)), out)
-        self.steps[state][byte] = done
+            live = [(node, last, path[shared:]) for node, last, path in live]
+        done = self.steps[state][byte] = (self._state(tuple(live)), out)
         return done
 
+    def _thin(self) -> None:
+        """Make room: keep the states that several bytes have led out of; all go if those are over half of the table."""
+        old, steps = self.states, self.steps
+        stay = [i for i, out in enumerate(steps) if len(out) > 1]
+        self._reset()
+        if 2 * len(stay) <= MAX_STATES:
+            number = {i: self._state(old[i]) for i in stay}
+            for i, place in number.items():
+                self.steps[place] = {b: (number[n], out) for b, (n, out) in steps[i].items() if n in number}
+
     def piece(self, text: bytes) -> tuple[int, ...]:
         """The tokens of one piece: the piece itself if it is a token, else what the transducer emits."""
         rank = self.merges.ranks.get(text)
@@ -175,52 +192,18 @@ class Encoder:
             rank = self.merges.unmade.get(text)
         if rank is not None:
             return (rank,)
+        if len(self.steps) >= MAX_STATES:
+            self._thin()
         out: list[int] = []
         state, steps = 0, self.steps
         for byte in text:
             step = steps[state].get(byte)
             if step is None:
-                if len(steps) >= MAX_STATES:
-                    return self._simulate(text)
                 step = self._step(state, byte)
             state, tokens = step
             if tokens:
                 out += tokens
-        return (*out, *self.states[state][1][-1][2])
-
-    def _simulate(self, text: bytes) -> tuple[int, ...]:
-        """The same by walking the undetermined transducer depth first, longest tokens first.
-
-        Only one sequence of tokens that may follow each other spells a prefix, so a place
-        from which the walk has had to go back is left out for good.
-        """
-        ranks, pairs, reach = self.merges.ranks, self.merges.pairs, self.merges.reach
-        path: list[int] = []
-        dead: set[int] = set()
-        at, last, size = 0, -1, len(text)
-        length = min(size, reach.get(text[:4], 3))
-        while at < size:
-            while length:
-                token = ranks.get(text[at:at + length])
-                if token is not None and at + length not in dead:
-                    fits = last < 0 or pairs.get(last << 32 | token)
-                    if fits is None:
-                        fits = self.merges.follows(last, token)
-                    if fits:
-                        break
-                length -= 1
-            if length:
-                path.append(token)
-                at += length
-                last = token
-                length = min(size - at, reach.get(text[at:at + 4], 3))
-            else:
-                dead.add(at)
-                length = len(self.merges.bytes_of[path.pop()])
-                at -= length
-                length -= 1
-                last = path[-1] if path else -1
-        return tuple(path)
+        return (*out, *self.states[state][-1][2])
 
     def _pieces(self, text: str) -> list[str]:
         """The matches of the pattern; letters with or without a leading space are one."""
@@ -228,45 +211,54 @@ class Encoder:
         return [text] if letters.isalpha() else self.pattern.findall(text)
 
     def _word(self, text: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a stretch and their decimal form. Kept unless the stretch is long or ends in white space."""
         known = self.words.get(text)
+        if known is not None:
+            return known
+        known = self.older.get(text)
         if known is None:
-            known = self.older.get(text)
-            if known is not None:
-                self.words[text] = known
-        if known is None:
-            last = text[-1:]
-            if last in ENDS and len(text) > 2 and text[-2].isalpha():  # ends as a piece of its own
-                ids = self._word(text[:-1])[0] + self.piece(last.encode())
+            if text[-1:] in ENDS and len(text) > 2 and text[-2].isalpha():  # ends as a piece of its own
+                pieces = [text[:-1], text[-1]]
+            else:
+                pieces = self._pieces(text)
+            if len(pieces) == 1:
+                ids = self.piece(text.encode())
+                known = ids, ",".join(map(str, ids))
             else:
-                ids = tuple(chain.from_iterable(self.piece(p.encode()) for p in self._pieces(text)))
-            known = ids, ",".join(map(str, ids))
-            if len(text) <= 64:
-                if len(self.words) >= MAX_WORDS:
-                    self.older, self.words = self.words, {}
-                self.words[text] = known
+                parts = [self._word(p) for p in pieces]
+                known = tuple(chain.from_iterable(ids for ids, _ in parts)), ",".join([d for _, d in parts])
+                if len(pieces) > 2:
+                    return known
+        if len(text) <= 64 and not text[-1].isspace():
+            if len(self.words) >= MAX_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[text] = known
         return known
 
     def _encoded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Ids and their decimal form, for stretches of the text that the pattern never joins.
 
-        A space between two characters that are not white space always starts a piece.
+        A space after a character that is not white space always starts a piece. Only stretches
+        that are not in the table are looked at one by one.
         """
         if not text:
             return []
         first, *rest = text.split(" ")
         parts = [first, *[" " + r for r in rest]]
-        words = [self.words.get(p) for p in parts]
-        if None not in words:
-            return words
-        out, open_ = [], parts[0]
-        for part in parts[1:]:
-            if open_[-1:].isspace() or not open_ or len(part) == 1 or part[1].isspace():
-                open_ += part
-            else:
-                out.append(self._word(open_))
-                open_ = part
-        out.append(self._word(open_))
-        return out
+        words = list(map(self.words.get, parts))
+        if not first:
+            words[0] = NOTHING
+        end = -1
+        for i in [i for i, word in enumerate(words) if word is None]:
+            if i <= end:
+                continue
+            part, end = parts[i], i
+            while part[-1].isspace() and end + 1 < len(parts):
+                end += 1
+                part += parts[end]
+                words[end] = NOTHING
+            words[i] = self._word(part)
+        return words
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for ids, _ in self._encoded(text)))

@@ -91,3 +91,22 @@ def test_documents(rows, pair):
     back = B.decode_documents(B.encode_documents(docs, RANKS, PATTERN), RANKS, PATTERN).collect()
     assert sorted(map(str, ((r.id, r.text) for r in back))) == sorted(map(str, ((i, t or "") for i, t, _ in data)))
     assert B.encode_documents(docs.limit(0), RANKS, PATTERN).collect() == []
+
+
+def test_words_kept_from_other_texts_change_nothing(pair):
+    """What ends in white space is never taken from the table, for it may join what follows."""
+    fresh = B.Encoder(B.read_ranks(RANKS), PATTERN)
+    for text in ("x\n", " \n", "a", " ", "x\n \n \n", " \ny", "a  \n b", "x\n  y", "  ", "a\t \n", " a \n \n\n  b ", " \x1c \x1c a"):
+        for again in (text, "x" + text, text + "y", text * 3):
+            assert fresh.encode(again) == pair[2].encode_ordinary(again), again
+
+
+@pytest.mark.parametrize("bound", [2, 12, 300])
+def test_thinning_keeps_what_branches(pair, monkeypatch, bound):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice(["th", "é", "an", "tion", "q", "ur"]) for _ in range(rnd.randrange(1, 9))) for _ in range(600)]
+    monkeypatch.setattr(B, "MAX_STATES", bound)
+    fresh = B.Encoder(B.read_ranks(RANKS), PATTERN)
+    for word in words * 2:
+        assert list(fresh.piece(word.encode())) == pair[2].encode_ordinary(word)
+        assert len(fresh.states) <= bound + len(word.encode())
