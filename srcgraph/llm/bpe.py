@@ -146,21 +146,29 @@ class Encoder:
             self.steps.append({})
         return number
 
+    def _fits(self, last: int, token: int) -> bool:
+        fits = last < 0 or self.merges.pairs.get(last << 32 | token)
+        return self.merges.follows(last, token) if fits is None else fits
+
+    def _last(self, state: int, byte: int) -> tuple[int, ...]:
+        """What is still to be emitted if the piece ends with this byte; the state after it need not be made."""
+        child, ends = self.merges.child, self.merges.ends
+        for node, last, path in self.states[state]:
+            node = child.get(node << 8 | byte)
+            if node is not None and (token := ends[node]) >= 0 and self._fits(last, token):
+                return (*path, token)
+        raise ValueError(f"no token of the vocabulary ends at byte {byte}")
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Next state and emitted tokens."""
-        merges = self.merges
-        child, ends, goes_on, pairs = merges.child, merges.ends, merges.goes_on, merges.pairs
+        child, ends, goes_on = self.merges.child, self.merges.ends, self.merges.goes_on
         live, new = [], None
         for node, last, path in self.states[state]:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if new is None and (token := ends[node]) >= 0:
-                fits = last < 0 or pairs.get(last << 32 | token)
-                if fits is None:
-                    fits = merges.follows(last, token)
-                if fits:
-                    new = (*path, token)
+            if new is None and (token := ends[node]) >= 0 and self._fits(last, token):
+                new = (*path, token)
             if goes_on[node]:
                 live.append((node, last, path))
         if new is None:
@@ -196,14 +204,14 @@ class Encoder:
             self._thin()
         out: list[int] = []
         state, steps = 0, self.steps
-        for byte in text:
+        for byte in text[:-1]:
             step = steps[state].get(byte)
             if step is None:
                 step = self._step(state, byte)
             state, tokens = step
             if tokens:
                 out += tokens
-        return (*out, *self.states[state][-1][2])
+        return (*out, *self._last(state, text[-1]))
 
     def _pieces(self, text: str) -> list[str]:
         """The matches of the pattern; letters with or without a leading space are one."""
@@ -224,10 +232,11 @@ class Encoder:
             if len(pieces) == 1:
                 ids = self.piece(text.encode())
                 known = ids, ",".join(map(str, ids))
-            else:
+            else:  # kept if the longer part of two is a word met before
+                keep = len(pieces) == 2 and pieces[0] in self.words
                 parts = [self._word(p) for p in pieces]
-                known = tuple(chain.from_iterable(ids for ids, _ in parts)), ",".join([d for _, d in parts])
-                if len(pieces) > 2:
+                known = tuple(chain.from_iterable([ids for ids, _ in parts])), ",".join([d for _, d in parts])
+                if not keep:
                     return known
         if len(text) <= 64 and not text[-1].isspace():
             if len(self.words) >= MAX_WORDS:
