@@ -390,7 +390,7 @@ def encode_documents(
     ids: the tokens of the whole text by the ranks in `ranks_path`, a file that each
     machine has, or a name given to SparkContext.addFile. ids_sha256 is over the decimal
     ids joined by commas, decoded_sha256 over the bytes decoded from the ids. Null and
-    empty texts have no tokens. Rows are taken one by one, so repeated ones repeat.
+    empty texts have no tokens. Bytes that are no UTF-8 count as U+FFFD. Rows are taken one by one, so repeated ones repeat.
     """
     def run(batches: Batches) -> Batches:
         encoder, decoder = tools(_local(ranks_path), pattern)
@@ -403,7 +403,7 @@ def encode_documents(
             schema = schema or pa.schema(fields + [pa.field("ids", pa.list_(pa.int32()))] * with_ids)
             out: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
-                ids, decimals = encoder.encode_with_decimals(text.decode())
+                ids, decimals = encoder.encode_with_decimals(text.decode(errors="replace"))
                 out[0].append(len(ids))
                 out[1].append(hashlib.sha256(decimals.encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())

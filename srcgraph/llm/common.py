@@ -106,16 +106,25 @@ def text_key(docs: DataFrame, text_col: str) -> Column:
     return F.xxhash64(docs[text_col], docs[text_col].isNull())
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores put after it until no column of `docs` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs`, with all their columns, whose (id, text key) is in `kept` (id, key, copies).
 
     A row given several times (same id, same text) stays once. `kept` has a row per (id, key).
     """
-    rows = docs.withColumn("__key", text_key(docs, text_col))
+    key = unused(docs, "__key")
+    rows = docs.withColumn(key, text_key(docs, text_col))
     narrow = kept.select(F.col("id").alias("__id"), F.col("key").alias("__kept_key"))
     found = rows.join(
-        narrow, rows[id_col].eqNullSafe(narrow["__id"]) & (rows["__key"] == narrow["__kept_key"]), "left_semi",
+        narrow, rows[id_col].eqNullSafe(narrow["__id"]) & (rows[key] == narrow["__kept_key"]), "left_semi",
     )
     if not kept.filter("copies > 1").isEmpty():
-        found = found.dropDuplicates([id_col, "__key"])
-    return found.drop("__key")
+        found = found.dropDuplicates([id_col, key])
+    return found.drop(key)

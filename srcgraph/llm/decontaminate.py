@@ -169,9 +169,10 @@ class Phrases:
         for first, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if end - first < self.shortest:
                 continue
-            step = PIECE_WORDS - self.longest + 1
+            size = max(PIECE_WORDS, 2 * self.longest)
+            step = size - self.longest + 1
             for at in range(first, max(first + 1, end - self.longest + 1), step):
-                out.append((at, numbers[at:min(end, at + PIECE_WORDS)]))
+                out.append((at, numbers[at:min(end, at + size)]))
         return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:

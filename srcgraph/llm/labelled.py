@@ -28,4 +28,5 @@ def sampled(docs: DataFrame, ids: list[tuple[object, int]], id_col: str = "doc_i
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = spark.createDataFrame(ids, f"__id {kind}, __label int")
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).drop("__id")
+    own = docs.drop("__label")
+    return own.join(F.broadcast(chosen), own[id_col] == chosen["__id"]).drop(chosen["__id"])

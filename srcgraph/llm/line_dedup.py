@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.functions.joins import fits_broadcast, keyed_join, lookup_join
-from srcgraph.llm.common import cut, text_key
+from srcgraph.llm.common import cut, text_key, unused
 
 LEADING = 3
 PARTS = 16
@@ -119,19 +119,21 @@ def _without(docs: DataFrame, lists: DataFrame, text_col: str, id_col: str | Non
     """Take the lines of `lists` ((id,) key, __gone) out of the texts; without `id_col` by text alone."""
     if fits_broadcast(lists):  # texts then stay where they are
         lists = F.broadcast(lists)
-    rows = docs.withColumn("__key", text_key(docs, text_col))
+    key = unused(docs, "__key")
+    rows = docs.withColumn(key, text_key(docs, text_col))
+    gone = lists["__gone"]
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    on = rows["__key"] == lists["key"]
+    on = rows[key] == lists["key"]
     if id_col is not None:
         on = rows[id_col].eqNullSafe(lists["id"]) & on
     joined = rows.join(lists, on, "left")
     lines = F.split(rows[text_col], "\n", -1)
-    kept = F.filter(lines, lambda line, nth: ~F.array_contains("__gone", nth))
-    text = F.when(F.col("__gone").isNull(), rows[text_col]).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda line, nth: ~F.array_contains(gone, nth))
+    text = F.when(gone.isNull(), rows[text_col]).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else rows[c] for c in names],
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 

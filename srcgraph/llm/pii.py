@@ -312,13 +312,13 @@ def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", te
 
     The counts and `base` are of base spans; `spans` has added ones as well. Both are
     kind:start:end in order of start, then kind, joined by commas; ends are exclusive.
-    Null and empty texts have none.
+    Null and empty texts have none; bytes that are no UTF-8 count as U+FFFD.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = find_spans(sent.value, [b.decode() for b in batch.column("text").to_pylist()])
+            found = find_spans(sent.value, [b.decode(errors="replace") for b in batch.column("text").to_pylist()])
             counts = np.array([[sum(k == n for _, k, _ in base) for n in range(4)] for base, _ in found], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *map(pa.array, counts.reshape(-1, 4).T),
