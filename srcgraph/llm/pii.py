@@ -4,11 +4,14 @@ The patterns give the base spans. A field over the tokens that hold a digit or a
 spans: neighbouring tokens share a chain potential, and distant tokens that are repeated
 or similar (same digits, or same letters) share a skip potential, so that a mention whose
 own form is broken takes the label of its other mentions. Loopy message passing runs over
-the graphs of a whole batch of documents at once. The field learns from base spans.
+the graphs of a whole batch of documents at once. Tokens of base spans have the label of
+their span for sure. The field learns from base spans, half of them hidden, and from
+their tokens repeated in a form that no pattern finds.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -103,9 +106,17 @@ def _shape(token: str) -> str:
 
 
 def _key(token: str) -> str:
-    """What repeated or similar tokens have in common: four digits or more, else letters and digits."""
-    digits = "".join(c for c in token if c in "0123456789")
-    return digits if len(digits) >= 4 else "".join(c for c in token.lower() if c.isalnum())
+    """What repeated or similar tokens have in common: around an @ letters and digits, else five digits or more.
+
+    Four groups of up to three digits stay groups, so that an address is not like a number.
+    """
+    if "@" in token:
+        return "".join(c for c in token.lower() if c.isalnum())
+    groups = re.findall(r"[0-9]+", token)
+    if len(groups) == 4 and max(map(len, groups)) <= 3:
+        return ".".join(groups)
+    digits = "".join(groups)
+    return digits if len(digits) >= 5 else ""
 
 
 def _features(text: str, tokens: list[tuple[int, int]], at: int) -> list[int]:
@@ -167,6 +178,8 @@ def graph_of(bodies: list[str]) -> Graph:
 # -- the field ------------------------------------------------------------------------------------
 
 LABELS = len(KINDS) + 1
+#: Score of the labels that a token with a known label does not have.
+CERTAIN = -30.0
 
 
 @dataclass
@@ -186,9 +199,16 @@ def _normal(scores: np.ndarray) -> np.ndarray:
     return scores - top - np.log(np.exp(scores - top).sum(axis=-1, keepdims=True))
 
 
-def infer(field: Field, graph: Graph) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of nodes and of edges (first half of the edge list) by loopy sum-product passing, damped."""
+def infer(field: Field, graph: Graph, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of nodes and of edges (first half of the edge list) by loopy sum-product passing, damped.
+
+    `known`: labels of nodes that are certain, 0 for the others.
+    """
     own = field.unary[graph.features].sum(axis=1)
+    if known is not None:
+        sure = np.flatnonzero(known)
+        own[sure] = CERTAIN
+        own[sure, known[sure]] = 0
     potential = field.potentials()[graph.kind]
     edges = len(graph.source)
     back = np.concatenate([np.arange(edges // 2, edges), np.arange(edges // 2)])
@@ -226,20 +246,59 @@ def _labels(graph: Graph, bases: list[list[tuple[int, int, int]]]) -> np.ndarray
     return out
 
 
-def train(bodies: list[str]) -> Field:
-    """Fit to the base spans of the texts by gradient steps on the log-likelihood, expectations by message passing."""
+def with_broken(text: str, base: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with lines put after it that repeat tokens of its base spans in forms no pattern finds, and their spans."""
+    words, out, spans = text.split(), [text], []
+    size = len(text)
+    for start, end in tokens_of(text):
+        kind = next((k for a, k, b in base if a < end and start < b), None)
+        token = text[start:end].strip(".,;:!?()[]{}<>\"'")
+        if kind is None or not _key(token):
+            continue
+        form = re.sub(r"[^\w@]+", rng.choice(["_", "/", "|"]), token.lstrip("+"))
+        if base_spans(form) or _key(form) != _key(token):
+            continue
+        before, after = rng.choice(words)[:24], rng.choice(words)[:24]
+        if MARK.search(before + after):
+            before = after = "is"
+        out.append(f"\n{before} {form} {after}")
+        spans.append((size + len(before) + 2, kind, size + len(before) + 2 + len(form)))
+        size += len(out[-1])
+    return "".join(out), spans
+
+
+def train(bodies: list[str], seed: int = 7) -> Field:
+    """Fit by gradient steps on the log-likelihood, expectations by message passing.
+
+    Every text is taken as it is, and once more with broken repeats where it has base
+    spans. Half of the base spans are known as they are later, the others are to be found.
+    """
+    rng = random.Random(seed)
     field = Field(np.zeros((1 << FEATURE_BITS, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS))
-    graph = graph_of(bodies)
+    bases = [base_spans(b) for b in bodies]
+    whole = list(bodies)
+    spans = [list(b) for b in bases]
+    for text, base in zip(bodies, bases):
+        if base:
+            longer, broken = with_broken(text, base, rng)
+            if broken:
+                whole.append(longer)
+                spans.append([*base, *broken])
+                bases.append(base)
+    graph = graph_of(whole)
     if not len(graph.spans):
         return field
-    label = _labels(graph, [base_spans(b) for b in bodies])
+    label = _labels(graph, spans)
+    shown = [[span for span in base if n >= len(bodies) or rng.random() < 0.5] for n, base in enumerate(bases)]
+    known = _labels(graph, shown)
     half = len(graph.source) // 2
     source, target, kind = graph.source[:half], graph.target[:half], graph.kind[:half]
     squares = [np.full_like(p, 1e-6) for p in (field.unary, field.chain, field.skip)]
     for _ in range(STEPS):
-        node, edge = infer(field, graph)
+        node, edge = infer(field, graph, known)
         error = -node
         error[np.arange(len(label)), label] += 1
+        error[known > 0] = 0
         grads = [np.zeros_like(field.unary), np.zeros_like(field.chain), np.zeros_like(field.skip)]
         np.add.at(grads[0], graph.features.ravel(), np.repeat(error, graph.features.shape[1], axis=0))
         for number, grad in ((FORWARD, grads[1]), (SKIP, grads[2])):
@@ -288,7 +347,7 @@ def find_spans(field: Field, bodies: list[str]) -> list[tuple[list, list]]:
     all_spans = list(bases)
     if marked:
         graph = graph_of([bodies[i] for i in marked])
-        marginal, _ = infer(field, graph)
+        marginal, _ = infer(field, graph, _labels(graph, [bases[i] for i in marked]))
         edge = np.searchsorted(graph.doc, np.arange(len(marked) + 1))
         for n, i in enumerate(marked):
             own = slice(edge[n], edge[n + 1])
@@ -297,14 +356,17 @@ def find_spans(field: Field, bodies: list[str]) -> list[tuple[list, list]]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> Field:
-    """Fit on a bounded sample: up to `sample` documents with a digit or an @, none over `SAMPLE_CHARS` long."""
+    """Fit on a bounded sample: up to `sample` documents with a digit or an @, none over `SAMPLE_CHARS` long.
+
+    Of several rows of an id the least text is taken.
+    """
     text = docs[text_col]
     some = docs.filter(F.length(text).between(1, SAMPLE_CHARS) & text.rlike("[0-9@]") & docs[id_col].isNotNull())
     ids = [r[0] for r in some.select(docs[id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(i,) for i in ids], f"__id {docs.schema[id_col].dataType.simpleString()}").distinct()
-    rows = some.join(F.broadcast(chosen), some[id_col] == chosen["__id"]).select(some[text_col].alias("body")).collect()
-    return train(sorted(r["body"] for r in rows))
+    rows = some.join(F.broadcast(chosen), some[id_col] == chosen["__id"]).groupBy(chosen["__id"]).agg(F.min(some[text_col]).alias("body"))
+    return train(sorted(r["body"] for r in rows.collect()))
 
 
 def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

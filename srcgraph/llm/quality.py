@@ -186,9 +186,13 @@ def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id",
     text_col: str = "text", per_class: int = PER_CLASS,
 ) -> Ensemble:
-    """Fit on a bounded sample: up to `per_class` documents of either label; only their statistics reach the driver."""
+    """Fit on a bounded sample: up to `per_class` documents of either label; only their statistics reach the driver.
+
+    Of several rows of an id the least text is taken.
+    """
     rows = sampled(docs, sample_ids(labels, label_col, learn, per_class, id_col), id_col)
-    got = _with_statistics(rows, text_col, F.col(id_col).alias("id"), F.col("__label").alias("label")).collect()
+    one = rows.groupBy(id_col, "__label").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("__text"))
+    got = _with_statistics(one, "__text", F.col(id_col).alias("id"), F.col("__label").alias("label")).collect()
     got.sort(key=lambda r: (r["id"], tuple(r[2:])))
     return train(np.array([r[2:] for r in got], float).reshape(len(got), len(NAMES)), np.array([r["label"] for r in got]))
 

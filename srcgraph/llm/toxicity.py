@@ -364,11 +364,15 @@ def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id",
     text_col: str = "text", per_class: int = PER_CLASS,
 ) -> Net:
-    """Train on a bounded sample: up to `per_class` documents of either label, none over `SAMPLE_CHARS` long."""
+    """Train on a bounded sample: up to `per_class` documents of either label, none over `SAMPLE_CHARS` long.
+
+    Of several rows of an id the least text is taken.
+    """
     ids = sample_ids(labels, label_col, learn, per_class, id_col)
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = sampled(docs.filter(F.length(text) <= SAMPLE_CHARS), ids, id_col)
-    got = rows.select(id_col, F.coalesce(text_col, F.lit("")).alias("body"), "__label").orderBy(id_col, "body").collect()
+    one = rows.groupBy(id_col, "__label").agg(F.min(F.coalesce(text_col, F.lit(""))).alias("body"))
+    got = one.orderBy(id_col).collect()
     return train([r["body"].encode() for r in got], [r["__label"] for r in got])
 
 
