@@ -31,11 +31,12 @@ def plain(frame):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(con.execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - {"op11_term_pipeline"}))  # its rows are ranks of items
 def test_query_has_each_document_once(spark, documents, name):
     got = QUERIES[name](spark, SF).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in documents)
