@@ -2,9 +2,12 @@
 
 Each word enters as a word (a hashed embedding and how much more often toxic documents
 have it) and as characters (the mean of its bytes' embeddings, and how much more often
-toxic documents have its character n-grams, at most and on average). Windows of 32 words,
-each overlapping the next by 8, are scored; a document's score is that of its most
-toxic window, and training learns from the most toxic windows of labelled documents.
+toxic documents have its character n-grams, at most and on average). Every window of 32
+consecutive words is scored: a word's states are the same for all windows that hold it
+(each direction has read at least 16 words before the word, or all there are), and a
+window pools its words' states by attention, so windows cost sums only. A document's
+score is that of its most toxic window, a shorter one is a window; training learns from
+the most toxic windows of labelled documents.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from srcgraph.llm.common import Batches, kept, map_batches, texts, with_id
 from srcgraph.llm.decontaminate import words_of
 from srcgraph.llm.labelled import sample_ids, sampled
 
-WINDOW, STRIDE = 32, 24
+#: Words of a window (a power of two), words read before a row's own ones, and a row's own words in scoring.
+WINDOW, CONTEXT, CORE = 32, 16, 96
 HIDDEN, EMBED = 8, 4
 STAT_BITS, WORD_BITS = 18, 13
 NGRAMS = (4, 5)
@@ -32,7 +36,7 @@ INPUTS = 3 + 2 * EMBED
 PER_CLASS, SAMPLE_CHARS = 2000, 65_536
 ROUNDS, LEAST_STEPS, BATCH = 6, 160, 256
 MAX_WORDS = 60_000
-CHUNK = 4096
+CHUNK, GROUP_WORDS = 1024, 98_304
 
 
 @dataclass
@@ -127,27 +131,33 @@ def word_inputs(net: Net, words: Words) -> np.ndarray:
     return out
 
 
-def _run(net: Net, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
-    """Logits of windows, from gate inputs (time, 2, windows, 3 * HIDDEN), each direction in its own time order.
+def _states(net: Net, gates: np.ndarray, there: np.ndarray, keep: bool = False):
+    """States of both directions at the own words of rows: (own words, rows, 2 * HIDDEN), in the order of the text.
 
-    mask: (time, windows). Windows without words get the logit of the bias alone.
+    gates: (time, 2, rows, 3 * HIDDEN), each direction in its own time order, its first `CONTEXT` places before the
+    own words. there: (time, 2, rows), False where the text has no word; such a place leaves the state as it is.
     """
     time, _, n, _ = gates.shape
     h = np.zeros((2, n, HIDDEN), np.float32)
     states = np.empty((time, 2, n, HIDDEN), np.float32)
     kept = []
-    there = np.stack([mask, mask[::-1]], axis=1)[..., None]
     for t in range(time):
         a = h @ net.recur
         zr = _sigmoid(gates[t, ..., :2 * HIDDEN] + a[..., :2 * HIDDEN])
-        z, r = zr[..., :HIDDEN] * there[t], zr[..., HIDDEN:]
+        z, r = zr[..., :HIDDEN] * there[t, ..., None], zr[..., HIDDEN:]
         c = np.tanh(gates[t, ..., 2 * HIDDEN:] + r * a[..., 2 * HIDDEN:])
         if keep:
             kept.append((h, z, r, c, a[..., 2 * HIDDEN:]))
         h = h + z * (c - h)
         states[t] = h
-    both = np.concatenate([states[:, 0], states[::-1, 1]], axis=-1)
-    attention = np.where(mask, both @ net.attend, -np.inf)
+    both = np.concatenate([states[CONTEXT:, 0], states[CONTEXT:, 1][::-1]], axis=-1)
+    return (both, kept) if keep else both
+
+
+def _run(net: Net, gates: np.ndarray, there: np.ndarray, keep: bool = False):
+    """Logits of windows, one a row. Windows without words get the logit of the bias alone."""
+    both, kept = _states(net, gates, there, keep=True)
+    attention = np.where(there[CONTEXT:, 0], both @ net.attend, -np.inf)
     top = attention.max(axis=0)
     weight = np.exp(attention - np.where(np.isfinite(top), top, 0))
     weight /= np.maximum(weight.sum(axis=0), 1e-9)
@@ -160,19 +170,80 @@ def _gates(net: Net, inputs: np.ndarray) -> np.ndarray:
     return inputs @ net.enter + net.bias
 
 
-def _timed(projected: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Gate inputs of windows (word numbers, one window a row) in the order `_run` takes them."""
-    forward = projected[index.T, :3 * HIDDEN]
-    backward = projected[index.T[::-1], 3 * HIDDEN:]
-    return np.stack([forward, backward], axis=1)
+def _timed(projected: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Gate inputs of rows of word numbers (rows, 2, time) in the order `_states` takes them."""
+    both = projected.reshape(-1, 3 * HIDDEN)
+    return both[(2 * rows + np.arange(2)[None, :, None]).transpose(2, 1, 0)]
+
+
+@dataclass
+class Laid:
+    """Documents' word numbers one after the other; where each starts, and its words."""
 
+    flat: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray
 
-def windows_of(numbers: np.ndarray) -> np.ndarray:
-    """All overlapping windows of a document, as rows of word numbers; -1 fills up. A document has one at least."""
-    count = max(1, -(-(len(numbers) - WINDOW) // STRIDE) + 1) if len(numbers) > WINDOW else 1
-    padded = np.full((count - 1) * STRIDE + WINDOW, -1, np.int32)
-    padded[:len(numbers)] = numbers
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Laid:
+        sizes = np.array([len(d) for d in docs], np.int64)
+        return cls(np.concatenate([*docs, np.zeros(1, np.int32)]), sizes, np.cumsum(sizes) - sizes)
+
+    def rows(self, doc: np.ndarray, start: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers (rows, 2, time) for `own` words of documents from `start` on, and whether a word is there."""
+        time = np.arange(CONTEXT + own)
+        place = start[:, None, None] + np.stack([time - CONTEXT, own + CONTEXT - 1 - time])
+        there = (place >= 0) & (place < self.sizes[doc][:, None, None])
+        return np.where(there, self.flat[np.where(there, self.first[doc][:, None, None] + place, 0)], 0), there
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of every `WINDOW` consecutive values, by doubling."""
+    step = 1
+    while step < WINDOW and len(x):
+        x = x[:-step] + x[step:]
+        step *= 2
+    return x
+
+
+def window_logits(net: Net, projected: np.ndarray, laid: Laid) -> np.ndarray:
+    """Logit of the window that starts at each word; -inf where none does. Whole documents are shorter windows."""
+    counts = -(-laid.sizes // CORE)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    start = CORE * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
+    weight, value = np.empty((2, len(laid.flat) - 1))
+    done = 0
+    for at in range(0, len(doc), CHUNK):
+        rows, there = laid.rows(doc[at:at + CHUNK], start[at:at + CHUNK], CORE)
+        both = _states(net, _timed(projected, rows), there.transpose(2, 1, 0))
+        own = there[:, 0, CONTEXT:]
+        upto = done + int(own.sum())
+        weight[done:upto] = (both @ net.attend).T[own]
+        value[done:upto] = (both @ net.out).T[own]
+        done = upto
+    weight = np.exp(weight)
+    value *= weight
+    logit = np.full(len(weight), -np.inf)
+    within = np.arange(len(weight)) - np.repeat(laid.first, laid.sizes)
+    whole = within + WINDOW <= np.repeat(laid.sizes, laid.sizes)
+    places = np.flatnonzero(whole)
+    if len(places):
+        logit[places] = _sums(value)[places] / _sums(weight)[places]
+    short = (laid.sizes > 0) & (laid.sizes < WINDOW)
+    if short.any():
+        some = laid.sizes > 0
+        sums = np.add.reduceat(np.stack([value, weight]), laid.first[some], axis=1)[:, short[some]]
+        logit[laid.first[short]] = sums[0] / sums[1]
+    return logit + net.base[0]
+
+
+def _tops(net: Net, logit: np.ndarray, laid: Laid) -> np.ndarray:
+    """The highest logit of each document; without words the bias alone."""
+    top = np.full(len(laid.sizes), float(net.base[0]))
+    some = laid.sizes > 0
+    if some.any():
+        top[some] = np.maximum.reduceat(logit, laid.first[some])
+    return top
 
 
 # -- training -------------------------------------------------------------------------------------
@@ -184,10 +255,10 @@ def _odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return (np.clip(odds * seen / (seen + 10), -4, 4) / 2).astype(np.float32)
 
 
-def _gradient(net: Net, words: Words, inputs, index, mask, target):
-    """Gradients of the mean loss on windows; `index` numbers the words, `inputs` has their vectors."""
+def _gradient(net: Net, words: Words, inputs, index, there, target):
+    """Gradients of the mean loss on windows; `index` numbers the words as rows do, `inputs` has their vectors."""
     projected = _gates(net, inputs)
-    logit, both, weight, pooled, kept = _run(net, _timed(projected, index), mask, keep=True)
+    logit, both, weight, pooled, kept = _run(net, _timed(projected, index), there, keep=True)
     chance = _sigmoid(logit)
     d_logit = ((chance - target) / len(target)).astype(np.float32)
     grads = {"out": pooled.T @ d_logit, "base": np.array([d_logit.sum()], np.float32)}
@@ -196,7 +267,8 @@ def _gradient(net: Net, words: Words, inputs, index, mask, target):
     d_score = weight * (d_weight - (weight * d_weight).sum(axis=0))
     grads["attend"] = np.einsum("tn,tnh->h", d_score, both)
     d_both = weight[..., None] * d_pooled + d_score[..., None] * net.attend
-    d_states = np.stack([d_both[..., :HIDDEN], d_both[::-1, :, HIDDEN:]], axis=1)
+    d_states = np.zeros((len(kept), 2, len(target), HIDDEN), np.float32)
+    d_states[CONTEXT:, 0], d_states[CONTEXT:, 1] = d_both[..., :HIDDEN], d_both[::-1, :, HIDDEN:]
     d_gates = np.empty((*d_states.shape[:3], 3 * HIDDEN), np.float32)
     d_recur = np.zeros_like(net.recur)
     d_h = np.zeros_like(d_states[0])
@@ -212,8 +284,8 @@ def _gradient(net: Net, words: Words, inputs, index, mask, target):
         d_h = d_h * (1 - z) + d_a @ net.recur.transpose(0, 2, 1)
     grads["recur"] = d_recur
     d_projected = np.zeros_like(projected)
-    np.add.at(d_projected[:, :3 * HIDDEN], index.T.ravel(), d_gates[:, 0].reshape(-1, 3 * HIDDEN))
-    np.add.at(d_projected[:, 3 * HIDDEN:], index.T[::-1].ravel(), d_gates[:, 1].reshape(-1, 3 * HIDDEN))
+    for side, part in enumerate((d_projected[:, :3 * HIDDEN], d_projected[:, 3 * HIDDEN:])):
+        np.add.at(part, index[:, side].T.ravel(), d_gates[:, side].reshape(-1, 3 * HIDDEN))
     grads["enter"], grads["bias"] = inputs.T @ d_projected, d_projected.sum(axis=0)
     d_inputs = d_projected @ net.enter.T
     grads["words"], grads["bytes_"] = np.zeros_like(net.words), np.zeros_like(net.bytes_)
@@ -249,7 +321,7 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 7) -> Net:
     target = np.array(labels, np.int64)
     number: dict[bytes, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(b)], np.int32) for b in bodies]
-    words = Words.of([*number, b"?"])  # the last one stands for filled-up places
+    words = Words.of([*number, b"?"])  # so that there is one
     del number, bodies
     half = rng.permutation(len(docs)) % 2
     word_counts, gram_counts = np.zeros((2, 2, 1 << STAT_BITS)), np.zeros((2, 2, 1 << STAT_BITS))
@@ -265,46 +337,44 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 7) -> Net:
     odds = [(_odds(word_counts[1 - side], totals[1 - side]), _odds(gram_counts[1 - side], totals[1 - side])) for side in (0, 1)]
     del word_counts, gram_counts
     full = net.word_odds, net.gram_odds
-    views = [windows_of(d) for d in docs]
-    rows = np.concatenate(views)
-    of = np.repeat(np.arange(len(docs)), [len(v) for v in views])
-    masks = rows >= 0
-    rows = np.where(masks, rows, len(words.own) - 1).astype(np.int32)
-    del views
+    sides = [np.flatnonzero(half == side) for side in (0, 1)]
+    laid = [Laid.of([docs[i] for i in own]) for own in sides]
     adam = _Adam(net, 0.01)
     rounds = max(ROUNDS, min(40, LEAST_STEPS * BATCH // (2 * len(docs))))  # few documents are few steps a round
     for round_ in range(rounds):
         for side in (0, 1):
             net.word_odds, net.gram_odds = odds[side]
-            own = np.flatnonzero(half[of] == side)
-            inputs = word_inputs(net, words)
-            logit = _score_rows(net, inputs, rows[own], masks[own])
-            worst: dict[int, int] = {}
-            for i in own[np.argsort(logit, kind="stable")].tolist():
-                worst[of[i]] = i
-            chosen = np.array(list(worst.values()))
-            clean = own[target[of[own]] == 0]
-            more = rng.choice(clean, min(len(clean), len(chosen))) if len(clean) else chosen[:0]
-            picked = rng.permutation(np.concatenate([chosen, more]))
+            texts_, label = laid[side], target[sides[side]]
+            worst, other = _picked(window_logits(net, _gates(net, word_inputs(net, words)), texts_), texts_, label, rng)
+            doc = np.concatenate([np.arange(len(label)), other[0]])
+            start = np.concatenate([worst, other[1]])
+            order = rng.permutation(len(doc))
+            doc, start = doc[order], start[order]
             adam.rate = 0.01 if round_ < rounds // 2 else 0.004
-            for at in range(0, len(picked), BATCH):
-                batch = picked[at:at + BATCH]
-                used, index = np.unique(rows[batch], return_inverse=True)
+            for at in range(0, len(doc), BATCH):
+                rows, there = texts_.rows(doc[at:at + BATCH], start[at:at + BATCH], WINDOW)
+                used, index = np.unique(rows, return_inverse=True)
                 some = words.take(used)
                 adam.step(_gradient(
-                    net, some, word_inputs(net, some), index.reshape(len(batch), WINDOW), masks[batch].T,
-                    target[of[batch]].astype(np.float32),
+                    net, some, word_inputs(net, some), index.reshape(rows.shape), there.transpose(2, 1, 0),
+                    label[doc[at:at + BATCH]].astype(np.float32),
                 ))
     net.word_odds, net.gram_odds = full
     return net
 
 
-def _score_rows(net: Net, inputs: np.ndarray, rows: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    projected = _gates(net, inputs)
-    out = [
-        _run(net, _timed(projected, rows[at:at + CHUNK]), masks[at:at + CHUNK].T) for at in range(0, len(rows), CHUNK)
-    ]
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
+def _picked(logit: np.ndarray, laid: Laid, label: np.ndarray, rng) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Where each document's most toxic window starts; as many windows of clean documents by chance, as (doc, start)."""
+    worst = np.array([
+        int(logit[f:f + n].argmax()) if n else 0 for f, n in zip(laid.first.tolist(), laid.sizes.tolist())
+    ], np.int64)
+    clean = np.flatnonzero(label == 0)
+    if not len(clean):
+        return worst, (worst[:0], worst[:0])
+    count = np.maximum(laid.sizes[clean] - WINDOW + 1, 1)  # windows of each document
+    chosen = rng.integers(0, int(count.sum()), min(int(count.sum()), len(label)))
+    at = np.searchsorted(np.cumsum(count), chosen, side="right")
+    return worst, (clean[at], chosen - (np.cumsum(count) - count)[at])
 
 
 # -- scoring --------------------------------------------------------------------------------------
@@ -321,14 +391,14 @@ class Scorer:
         self.projected = np.zeros((1, 6 * HIDDEN), np.float32)
 
     def score(self, bodies: list[bytes]) -> np.ndarray:
-        """Toxicity of each text: the highest of its windows. A text without words has one empty window."""
+        """Toxicity of each text: the highest of its windows. A text without words has the bias alone."""
         out = np.empty(len(bodies))
         first, size = 0, 0
         group: list[list[bytes]] = []
         for i, body in enumerate(bodies):
             group.append(words_of(body))
             size += len(group[-1])
-            if size >= CHUNK * STRIDE or i == len(bodies) - 1:
+            if size >= GROUP_WORDS or i == len(bodies) - 1:
                 out[first:i + 1] = self._group(group)
                 first, size, group = i + 1, 0, []
         return out
@@ -341,17 +411,9 @@ class Scorer:
         if new:
             known.update(zip(new, range(len(known) + 1, len(known) + 1 + len(new))))
             self.projected = np.concatenate([self.projected, _gates(self.net, word_inputs(self.net, Words.of(new)))])
-        views = [windows_of(np.fromiter(map(known.__getitem__, words), np.int64, len(words))) for words in docs]
-        counts = np.array([len(v) for v in views])
-        rows = np.concatenate(views)
-        there = rows >= 0
-        rows = np.where(there, rows, 0)
-        logit = np.concatenate([
-            _run(self.net, _timed(self.projected, rows[at:at + CHUNK]), there[at:at + CHUNK].T)
-            for at in range(0, len(rows), CHUNK)
-        ])
-        top = np.maximum.reduceat(logit, np.cumsum(counts) - counts)
-        return 1 / (1 + np.exp(-top.astype(np.float64)))
+        laid = Laid.of([np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in docs])
+        top = _tops(self.net, window_logits(self.net, self.projected, laid), laid)
+        return 1 / (1 + np.exp(-top))
 
 
 def scorer(sent: Broadcast) -> Scorer:

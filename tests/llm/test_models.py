@@ -37,9 +37,9 @@ def test_gradients_are_right():
     for name in T.Net.TRAINED:
         setattr(net, name, getattr(net, name).astype(np.float64) * 3)
     words = [b"one", b"two", b"three", b"four", b"five"]
-    index = rng.integers(0, 5, (3, 6))
-    mask = np.ones((6, 3), bool)
-    mask[4:, 1] = False
+    laid = T.Laid.of([rng.integers(0, 5, n) for n in (40, 4, 9)])
+    index, there = laid.rows(np.arange(3), np.array([20, 0, 0]), 6)
+    there = there.transpose(2, 1, 0)
     target = np.array([1.0, 0.0, 1.0])
     all_words = T.Words.of(words)
 
@@ -48,10 +48,10 @@ def test_gradients_are_right():
 
     def loss():
         projected = T._gates(net, inputs())
-        chance = 1 / (1 + np.exp(-T._run(net, T._timed(projected, index), mask)))
+        chance = 1 / (1 + np.exp(-T._run(net, T._timed(projected, index), there)))
         return -(target * np.log(chance) + (1 - target) * np.log(1 - chance)).mean()
 
-    grads = T._gradient(net, all_words, inputs(), index, mask, target)
+    grads = T._gradient(net, all_words, inputs(), index, there, target)
     for name in T.Net.TRAINED:
         weights = getattr(net, name)
         flat = np.abs(grads[name]).ravel().argsort()[-3:]
@@ -66,12 +66,62 @@ def test_gradients_are_right():
             assert abs((up - down) / 2e-2 - grads[name][place]) < 2e-3, name
 
 
-def test_windows_overlap_and_cover():
-    for n in (0, 1, 31, 32, 33, 56, 57, 500):
-        rows = T.windows_of(np.arange(n))
-        assert len(rows) >= 1 and rows.shape[1] == T.WINDOW
-        assert set(rows[rows >= 0].tolist()) == set(range(n))
-        assert all(set(a[a >= 0]) & set(b[b >= 0]) for a, b in zip(rows, rows[1:]))
+def plain_logits(net, vectors):
+    """Logit of every window of one document, word by word: states from the block's own context on, softmax by hand."""
+    n, hidden = len(vectors), T.HIDDEN
+
+    def gru(side, order):
+        h = np.zeros(hidden)
+        for i in order:
+            x = vectors[i] @ net.enter[:, 3 * hidden * side:3 * hidden * (side + 1)] + net.bias[3 * hidden * side:][:3 * hidden]
+            a = h @ net.recur[side]
+            z, r = (1 / (1 + np.exp(-(x + a)[k * hidden:(k + 1) * hidden])) for k in (0, 1))
+            h = (1 - z) * h + z * np.tanh(x[2 * hidden:] + r * a[2 * hidden:])
+        return h
+
+    states = []
+    for i in range(n):
+        block = i - i % T.CORE
+        left, right = max(0, block - T.CONTEXT), min(n, block + T.CORE + T.CONTEXT)
+        states.append(np.concatenate([gru(0, range(left, i + 1)), gru(1, range(right - 1, i - 1, -1))]))
+    out = []
+    for start in range(max(1, n - T.WINDOW + 1)):
+        some = np.array(states[start:start + T.WINDOW])
+        if not len(some):
+            return [float(net.base[0])]
+        weight = np.exp(some @ net.attend)
+        out.append(float((weight / weight.sum()) @ some @ net.out + net.base[0]))
+    return out
+
+
+def test_every_window_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    net = T.Net.start(rng.normal(size=1 << T.STAT_BITS), rng.normal(size=1 << T.STAT_BITS))
+    words = T.Words.of([b"one", b"two", b"three", b"four", b"five", b"six"])
+    inputs = T.word_inputs(net, words)
+    docs = [rng.integers(0, 6, n) for n in (0, 1, 31, 32, 33, 0, 96, 97, 230)]
+    laid = T.Laid.of(docs)
+    got = T.window_logits(net, T._gates(net, inputs), laid)
+    tops = T._tops(net, got, laid)
+    for doc, first, top in zip(docs, laid.first, tops):
+        want = plain_logits(net, inputs[doc].astype(float))
+        own = got[first:first + len(doc)]
+        assert abs(top - max(want)) < 1e-4
+        if len(doc):
+            assert np.isfinite(own).sum() == len(want) and np.allclose(own[:len(want)], want, atol=1e-4)
+    assert T.window_logits(net, T._gates(net, inputs), T.Laid.of([docs[0]])).shape == (0,)
+
+
+def test_a_verdict_does_not_depend_on_the_place(toxic_net):
+    rnd = random.Random(8)
+    clean = [w for w in prose(rnd, 400).split()]
+    scorer = T.Scorer(toxic_net)
+    for length in (8, 12, 16):
+        for _ in range(4):
+            stretch = insults(rnd, length - 3).split()
+            at = range(100, 100 + T.CORE + 8, 5)
+            scores = scorer.score([" ".join(clean[:k] + stretch + clean[k:]).encode() for k in at])
+            assert len({bool(x >= 0.5) for x in scores}) == 1
 
 
 @pytest.fixture(scope="module")
@@ -83,9 +133,15 @@ def toxic_tables(spark):
     return docs, labels, {i: y for i, _, y in data}
 
 
-def test_held_out_accuracy_and_filter(spark, toxic_tables):
+@pytest.fixture(scope="module")
+def toxic_net(toxic_tables):
+    docs, labels, _ = toxic_tables
+    return T.fit(docs, labels, id_hash_mod(F.col("doc_id"), 5) != 0)
+
+
+def test_held_out_accuracy_and_filter(spark, toxic_tables, toxic_net):
     docs, labels, truth = toxic_tables
-    net = T.fit(docs, labels, id_hash_mod(F.col("doc_id"), 5) != 0)
+    net = toxic_net
     odd = spark.createDataFrame(
         [(900, None), (901, ""), (902, "..."), (None, "the an on"), (903, prose(random.Random(1), 30_000)), (900, None)],
         "doc_id bigint, text string",
