@@ -12,6 +12,7 @@ where it is met again.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import os
 from itertools import chain
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from srcgraph.llm.common import Batches, kept, map_batches, record, texts, with_id
 
 #: Bounds of what a Python worker keeps. Results do not depend on them.
-MAX_STATES = 150_000
-MAX_WORDS = 200_000
-MAX_PAIRS = 300_000
+MAX_STATES = 200_000
+MAX_WORDS = 400_000
+MAX_PAIRS = 600_000
 #: Characters that are neither letters, numbers, white space nor an apostrophe.
 ENDS = frozenset(".,;:!?")
 #: No ids, and their decimal form.
@@ -146,37 +147,39 @@ class Encoder:
             self.steps.append({})
         return number
 
-    def _fits(self, last: int, token: int) -> bool:
-        fits = last < 0 or self.merges.pairs.get(last << 32 | token)
-        return self.merges.follows(last, token) if fits is None else fits
-
     def _last(self, state: int, byte: int) -> tuple[int, ...]:
         """What is still to be emitted if the piece ends with this byte; the state after it need not be made."""
-        child, ends = self.merges.child, self.merges.ends
+        child, ends, pairs = self.merges.child, self.merges.ends, self.merges.pairs
         for node, last, path in self.states[state]:
             node = child.get(node << 8 | byte)
-            if node is not None and (token := ends[node]) >= 0 and self._fits(last, token):
-                return (*path, token)
+            if node is not None and (token := ends[node]) >= 0:
+                fits = last < 0 or pairs.get(last << 32 | token)
+                if fits or fits is None and self.merges.follows(last, token):
+                    return (*path, token)
         raise ValueError(f"no token of the vocabulary ends at byte {byte}")
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Next state and emitted tokens."""
-        child, ends, goes_on = self.merges.child, self.merges.ends, self.merges.goes_on
+        child, ends, goes_on, pairs = self.merges.child, self.merges.ends, self.merges.goes_on, self.merges.pairs
         live, new = [], None
         for node, last, path in self.states[state]:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if new is None and (token := ends[node]) >= 0 and self._fits(last, token):
-                new = (*path, token)
+            if new is None and (token := ends[node]) >= 0:
+                fits = last < 0 or pairs.get(last << 32 | token)
+                if fits or fits is None and self.merges.follows(last, token):
+                    new = (*path, token)
             if goes_on[node]:
                 live.append((node, last, path))
         if new is None:
             raise ValueError(f"no token of the vocabulary ends at byte {byte}")
+        # what the earliest place's path shares with the others, all share
+        shared = len(live[0][2]) if live else len(new)
         live.append((0, new[-1], new))
-        shared, shortest = 0, live[0][2]
-        while shared < len(shortest) and all(p[2][shared] == shortest[shared] for p in live):
-            shared += 1
+        for _, _, path in live[1:]:
+            while path[:shared] != live[0][2][:shared]:
+                shared -= 1
         out = new[:shared]
         if shared:
             live = [(node, last, path[shared:]) for node, last, path in live]
@@ -226,6 +229,9 @@ class Encoder:
         known = self.older.get(text)
         if known is None:
             if text[-1:] in ENDS and len(text) > 2 and text[-2].isalpha():  # ends as a piece of its own
+                if text[:-1] not in self.words:
+                    (ids, decimals), (last, decimal) = self._word(text[:-1]), self._word(text[-1])
+                    return ids + last, f"{decimals},{decimal}"
                 pieces = [text[:-1], text[-1]]
             else:
                 pieces = self._pieces(text)
@@ -376,6 +382,17 @@ def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     return kept(("bpe", path, pattern), make)
 
 
+def uncollected(batches: Batches) -> Batches:
+    """The batches, with the cycle collector at rest meanwhile: the tables have no cycles, but walking them takes time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if was:
+            gc.enable()
+
+
 def _local(path: str) -> str:
     """The file as this machine has it: sent by Spark under its name, or at its own place."""
     return path if os.path.isabs(path) else SparkFiles.get(path)
@@ -395,7 +412,7 @@ def encode_documents(
     def run(batches: Batches) -> Batches:
         encoder, decoder = tools(_local(ranks_path), pattern)
         schema = None
-        for batch in batches:
+        for batch in uncollected(batches):
             fields = [
                 pa.field("id", batch.schema.field("id").type), pa.field("n_tokens", pa.int64()),
                 pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()),
