@@ -274,10 +274,14 @@ VERDICTS = (_object("verdict_responses"), """verdicts AS (
     UNION ALL SELECT session_id, ord, 'remove', CAST(json_extract(o, '$.remove') AS VARCHAR[]) FROM obj),
   unnest(range(1, len(ids) + 1)) t(i))""")
 _add("parse_verdicts", ("verdict_responses",), "SELECT * FROM verdicts", *VERDICTS)
-PLANS = (_object("plan_responses"), "plans AS (" + " UNION ALL ".join(
-    f"SELECT session_id, ord, '{role}' AS role, CAST(i - 1 AS INTEGER) AS pos, ids[i] AS path FROM "
-    f"(SELECT *, CAST(json_extract(o, '$.{field}') AS VARCHAR[]) AS ids FROM obj), unnest(range(1, len(ids) + 1)) t(i)"
-    for role, field in (("entry", "entryPoints"), ("route", "routeFiles"), ("model", "modelFiles"), ("config", "configFiles"))) + ")")
+def _plans(view: str) -> tuple[str, str]:
+    return _object(view), "plans AS (" + " UNION ALL ".join(
+        f"SELECT session_id, ord, '{role}' AS role, CAST(i - 1 AS INTEGER) AS pos, ids[i] AS path FROM "
+        f"(SELECT *, CAST(json_extract(o, '$.{field}') AS VARCHAR[]) AS ids FROM obj), unnest(range(1, len(ids) + 1)) t(i)"
+        for role, field in (("entry", "entryPoints"), ("route", "routeFiles"), ("model", "modelFiles"), ("config", "configFiles"))) + ")"
+
+
+PLANS = _plans("plan_responses")
 _add("parse_plans", ("plan_responses",), "SELECT * FROM plans", *PLANS)
 
 # --- prompts -----------------------------------------------------------------------
@@ -301,6 +305,20 @@ FROM {_parts(rows, 3000)}"""
 
 _add("build_prompts", FILES, _file_prompts(f"(SELECT * FROM lang WHERE {_known})", ROUTE_GATE, API_ASK, "api") + " UNION ALL "
      + _file_prompts(f"(SELECT * FROM lang WHERE {MODEL_WORDS})", MODEL_GATE, DATA_ASK, "data"), *BASE)
+LISTED = """listed AS (
+  SELECT DISTINCT repo_id, k.path, role FROM kept k JOIN plans p ON p.session_id = k.repo_id
+    AND k.path = CASE WHEN starts_with(p.path, '/') THEN p.path ELSE '/' || p.path END)"""
+
+
+def _planned(otherwise: str, role: str) -> str:
+    """A repository's listed files, or where none of them exists those that `otherwise` holds for."""
+    return f"""(SELECT * FROM lang WHERE CASE WHEN repo_id IN (SELECT repo_id FROM listed WHERE role = '{role}')
+  THEN (repo_id, path) IN (SELECT (repo_id, path) FROM listed WHERE role = '{role}') ELSE {otherwise} END)"""
+
+
+_add("planned_prompts", ("source_files", "planner_answers"),
+     _file_prompts(_planned(_known, "route"), ROUTE_GATE, API_ASK, "api") + " UNION ALL "
+     + _file_prompts(_planned(MODEL_WORDS, "model"), MODEL_GATE, DATA_ASK, "data"), *BASE, *_plans("planner_answers"), LISTED)
 _add("planner_prompts", FILES, f"""
 SELECT repo_id, batch, concat('Sort these files into entry points, route files, model files and config files.', chr(10), 'Framework: ', framework, chr(10),
   string_agg(path, chr(10) ORDER BY ord), chr(10), 'Answer with JSON {{entryPoints, routeFiles, modelFiles, configFiles}} of paths as given.') AS prompt
@@ -320,12 +338,19 @@ FROM (SELECT *, (n - 1) // 200 AS batch FROM (SELECT *, row_number() OVER (PARTI
     AND NOT EXISTS (SELECT 1 FROM sdks h WHERE h.repo_id = e.repo_id)
   QUALIFY row_number() OVER (PARTITION BY e.repo_id, e.env_key ORDER BY e.ord, e.pos) = 1)))
 GROUP BY repo_id, batch""", *BASE, ENV, *SDK)
-_add("feature_prompts", ("source_files", "nodes"), f"""
+def _feature_prompts(candidate: str) -> str:
+    return f"""
 SELECT repo_id, ord, path, part, coalesce(batch, 0) AS batch, concat('List the screens a user sees in this file.', chr(10), 'File: ', path, chr(10), piece, chr(10), 'Known nodes: ',
   coalesce(summary, '[]'), chr(10), '{FEATURE_TELL}') AS prompt
-FROM {_parts(f"(SELECT * FROM kept WHERE (regexp_matches(path, '{FEATURE_RE}') OR regexp_matches(path, '{ROUTE_RE}')) AND {SCREEN_GATE})", 3000)} f
+FROM {_parts(f"(SELECT * FROM kept WHERE ({candidate}) AND {SCREEN_GATE})", 3000)} f
 LEFT JOIN (SELECT session_id, batch, concat('[', string_agg(concat('{{"id":"', id, '","type":"', type, '","label":"', label, '"}}'), ',' ORDER BY ord), ']') AS summary
-  FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1) // 30 AS batch FROM nodes) GROUP BY session_id, batch) s ON s.session_id = f.repo_id""", KEPT)
+  FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1) // 30 AS batch FROM nodes) GROUP BY session_id, batch) s ON s.session_id = f.repo_id"""
+
+
+SCREENS = f"regexp_matches(path, '{FEATURE_RE}') OR regexp_matches(path, '{ROUTE_RE}')"
+_add("feature_prompts", ("source_files", "nodes"), _feature_prompts(SCREENS), KEPT)
+_add("planned_feature_prompts", ("source_files", "nodes", "planner_answers"), _feature_prompts(
+    SCREENS + " OR (repo_id, path) IN (SELECT (repo_id, path) FROM listed WHERE role = 'route')"), KEPT, *_plans("planner_answers"), LISTED)
 _add("router_prompts", FILES, f"""
 SELECT repo_id, ord, path, part, concat('List every route this router file declares.', chr(10), 'File: ', path, chr(10), piece, chr(10), '{FEATURE_TELL}') AS prompt
 FROM {_parts(f"(SELECT * FROM kept WHERE regexp_matches(path, '{ROUTER_RE}') AND {ROUTER_GATE})", 4000)}""", KEPT)
@@ -409,6 +434,10 @@ _add("relates_to", FILES, """
 SELECT session_id, source, source_place, source_place + 1 AS first_target, n AS last_target, n - source_place AS n_targets FROM (
   SELECT session_id, id AS source, row_number() OVER (PARTITION BY session_id ORDER BY ord, sub) AS source_place,
     count(*) OVER (PARTITION BY session_id) AS n FROM entities)""", *BASE, *ENTITIES)
+_add("related_targets", FILES, """
+, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord, sub) AS place FROM entities)
+SELECT a.session_id, a.id AS source, b.id AS target, b.place AS target_place
+FROM placed a JOIN placed b ON b.session_id = a.session_id AND b.place > a.place WHERE a.ord % 10 = 0""", *BASE, *ENTITIES)
 _add("relates_to_raw_count", FILES, """
 SELECT session_id, max(seen) AS n_entities, max(seen * (seen - 1) // 2) AS distinct_pairs, CAST(sum(seen * (seen - 1) // 2) AS BIGINT) AS raw_pairs FROM (
   SELECT g.repo_id AS session_id, g.ord, (SELECT count(*) FROM entities e WHERE e.session_id = g.repo_id AND e.ord <= g.ord) AS seen

@@ -203,6 +203,39 @@ def relates_to(entities: DataFrame) -> DataFrame:
     )
 
 
+#: Places of one bucket when ranges of targets are read back.
+TARGET_BUCKET = 1024
+
+
+def related_targets(related: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The targets of some entities, out of the ranges that `relates_to` keeps: (session_id, source, target, target_place).
+
+    related  what `relates_to` gives, written: it is read once for the ranges and once for the targets
+    chosen   (session_id, source): whose targets are wanted, each pair once however often it is given
+
+    A range is met as buckets of 1,024 places: a chosen entity is sent once per bucket of its range, a target once,
+    and a bucket's whole range is dealt out by places, so that no task holds a session. Rows grow with the pairs asked
+    for, not with those of the session. Entities that are unknown, or the last of their session, have no rows.
+    """
+    keys = ["session_id", "source"]
+    wanted = related.filter("n_targets > 0").join(chosen.select(*keys).distinct(), keys)
+    ranges = wanted.select(
+        *keys, "first_target", "last_target",
+        F.explode(F.sequence(
+            F.expr(f"first_target div {TARGET_BUCKET}"), F.expr(f"last_target div {TARGET_BUCKET}")
+        )).alias("bucket"),
+    )
+    targets = related.select(
+        "session_id", F.col("source").alias("target"), F.col("source_place").alias("target_place"),
+        F.expr(f"source_place div {TARGET_BUCKET}").alias("bucket"),
+    )
+    return (
+        ranges.join(targets, ["session_id", "bucket"])
+        .filter("target_place between first_target and last_target")
+        .select(*keys, "target", "target_place")
+    )
+
+
 def relates_to_raw_count(files: DataFrame, entities: DataFrame) -> DataFrame:
     """How many RELATES_TO edges are sent when all pairs so far are sent again after every file.
 

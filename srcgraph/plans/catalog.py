@@ -271,6 +271,26 @@ def build_prompts(spark, sf):
     )
 
 
+def file_plans(spark, sf):
+    return responses.parse_plans(view(spark, sf, "planner_answers"))
+
+
+@query
+def planned_prompts(spark, sf):
+    """Endpoint and model prompts where planners have listed files of most repositories."""
+    k, plans = texts(spark, sf), file_plans(spark, sf)
+    return (
+        prompts.api_prompts(k, plans).withColumn("agent", F.lit("api"))
+        .unionByName(prompts.data_prompts(k, plans).withColumn("agent", F.lit("data")))
+    )
+
+
+@query
+def planned_feature_prompts(spark, sf):
+    """Screen prompts, planned route files among the candidates."""
+    return prompts.feature_prompts(texts(spark, sf), view(spark, sf, "nodes"), ["ord"], file_plans(spark, sf))
+
+
 @query
 def service_prompts(spark, sf):
     return prompts.service_prompts(texts(spark, sf))
@@ -378,6 +398,15 @@ def relates_to(spark, sf):
     return build.relates_to(saved_entities(spark, sf))
 
 
+@query
+def related_targets(spark, sf):
+    """The targets of the entities found in files whose number is divisible by ten."""
+    entities = saved_entities(spark, sf)
+    related = Workspace(spark).saved("related", build.relates_to(entities))
+    chosen = entities.filter("ord % 10 = 0").select("session_id", F.col("id").alias("source"))
+    return build.related_targets(related, chosen)
+
+
 @query
 def relates_to_raw_count(spark, sf):
     k = texts(spark, sf)

@@ -121,6 +121,10 @@ VIEWS: dict[str, str] = {
     CASE WHEN doc_id % 6 = 0 THEN 'sorry' WHEN doc_id % 6 = 1 THEN '{"routeFiles": ["/a"]'
       ELSE concat('Here: {"entryPoints": ["/main', CAST(doc_id AS VARCHAR(20)), '.ts"], "routeFiles": ["/r', CAST(doc_id AS VARCHAR(20)), '.ts", "/q.ts"], "modelFiles": []}') END AS text
   FROM documents""",
+    "planner_answers": """
+  SELECT repo_id AS session_id, ord,
+    CASE WHEN ord % 9 = 4 THEN 'no plan' ELSE concat('Plan: {"entryPoints": [], "routeFiles": ["', path, '", "/gone.ts"], "modelFiles": ["', CASE WHEN ord % 2 = 0 THEN path ELSE substring(path, 2, 200) END, '"]} done') END AS text
+  FROM source_files WHERE ord % 3 = 1 AND repo_id % 4 <> 2""",
     "raw_frames": """
   SELECT conv_id AS stream_id, turn AS chunk,
     CASE WHEN turn % 7 = 4 THEN ' chunks and' ELSE concat(CASE WHEN turn % 7 = 2 THEN concat('lit"}', chr(10)) WHEN turn % 7 = 5 THEN concat(' ends"}', chr(10)) ELSE '' END,
@@ -154,6 +158,7 @@ NEEDS = {
     "typed_nodes": ("nodes",),
     "edges": ("nodes",),
     "verdict_responses": ("nodes",),
+    "planner_answers": ("source_files",),
 }
 
 
