@@ -28,6 +28,8 @@ from srcgraph.llm.common import Batches, kept, map_batches, record, texts, with_
 MAX_STATES = 200_000
 MAX_WORDS = 400_000
 MAX_PAIRS = 600_000
+#: Rows whose ids are held and sent on together.
+ROWS = 1000
 #: Characters that are neither letters, numbers, white space nor an apostrophe.
 ENDS = frozenset(".,;:!?")
 #: No ids, and their decimal form.
@@ -37,7 +39,8 @@ NOTHING = ((), "")
 class Merges:
     """The merges that a rank file implies: which token may stand after which."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: float = 1.0):
+        self.most_pairs = int(MAX_PAIRS * room)
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
@@ -90,7 +93,7 @@ class Merges:
         Replays, in order of rank, the merges that make the tokens at the border between
         them; a merge across the border that would come earlier rules the pair out.
         """
-        if len(self.pairs) >= MAX_PAIRS:
+        if len(self.pairs) >= self.most_pairs:
             self.pairs.clear()
         lefts, rights = self._edge(left, 1), self._edge(right, 0)
         i, j = len(lefts) - 1, len(rights) - 1
@@ -122,10 +125,14 @@ class Merges:
 
 
 class Encoder:
-    """The transducer for one rank file and pattern. `encode` gives what the rank file's library gives."""
+    """The transducer for one rank file and pattern. `encode` gives what the rank file's library gives.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges = Merges(ranks)
+    room: the share of the module's bounds that the tables may fill.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: float = 1.0):
+        self.merges = Merges(ranks, room)
+        self.most_states, self.most_words = int(MAX_STATES * room), int(MAX_WORDS * room)
         # \s of the pattern is Unicode white space; this module's also takes in U+001C to U+001F
         self.pattern = regex.compile(pattern)
         #: words met lately, and those met before the last time this table was full
@@ -191,7 +198,7 @@ class Encoder:
         old, steps = self.states, self.steps
         stay = [i for i, out in enumerate(steps) if len(out) > 1]
         self._reset()
-        if 2 * len(stay) <= MAX_STATES:
+        if 2 * len(stay) <= self.most_states:
             number = {i: self._state(old[i]) for i in stay}
             for i, place in number.items():
                 self.steps[place] = {b: (number[n], out) for b, (n, out) in steps[i].items() if n in number}
@@ -203,7 +210,7 @@ class Encoder:
             rank = self.merges.unmade.get(text)
         if rank is not None:
             return (rank,)
-        if len(self.steps) >= MAX_STATES:
+        if len(self.steps) >= self.most_states:
             self._thin()
         out: list[int] = []
         state, steps = 0, self.steps
@@ -245,7 +252,7 @@ class Encoder:
                 if not keep:
                     return known
         if len(text) <= 64 and not text[-1].isspace():
-            if len(self.words) >= MAX_WORDS:
+            if len(self.words) >= self.most_words:
                 self.older, self.words = self.words, {}
             self.words[text] = known
         return known
@@ -373,13 +380,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+def tools(path: str, pattern: str, room: float = 1.0) -> tuple[Encoder, Decoder]:
     """Encoder and decoder of this Python process for a rank file."""
     def make() -> tuple[Encoder, Decoder]:
-        encoder = Encoder(read_ranks(path), pattern)
+        encoder = Encoder(read_ranks(path), pattern, room)
         return encoder, Decoder(encoder.merges.bytes_of)
 
-    return kept(("bpe", path, pattern), make)
+    return kept(("bpe", path, pattern, room), make)
 
 
 def uncollected(batches: Batches) -> Batches:
@@ -400,19 +407,20 @@ def _local(path: str) -> str:
 
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = True,
+    with_ids: bool = True, room: float = 1.0,
 ) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): one row per row of `docs`, without a shuffle.
 
     ids: the tokens of the whole text by the ranks in `ranks_path`, a file that each
     machine has, or a name given to SparkContext.addFile. ids_sha256 is over the decimal
     ids joined by commas, decoded_sha256 over the bytes decoded from the ids. Null and
-    empty texts have no tokens. Bytes that are no UTF-8 count as U+FFFD. Rows are taken one by one, so repeated ones repeat.
+    empty texts have no tokens. room: the share of the tables' bounds that a worker may fill,
+    for less memory and more time. Bytes that are no UTF-8 count as U+FFFD. Rows are taken one by one, so repeated ones repeat.
     """
     def run(batches: Batches) -> Batches:
-        encoder, decoder = tools(_local(ranks_path), pattern)
+        encoder, decoder = tools(_local(ranks_path), pattern, room)
         schema = None
-        for batch in uncollected(batches):
+        for batch in (b.slice(at, ROWS) for b in uncollected(batches) for at in range(0, b.num_rows, ROWS)):
             fields = [
                 pa.field("id", batch.schema.field("id").type), pa.field("n_tokens", pa.int64()),
                 pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()),
