@@ -48,7 +48,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document left."""
-    return bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+    found = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, room=0.25)
+    return found.withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [
