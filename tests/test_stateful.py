@@ -1,7 +1,14 @@
 """Keyed streaming state against the batch rules."""
 
 import json
+import os
 import random
+import re
+import subprocess
+import sys
+from datetime import datetime, timezone
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +17,8 @@ from srcgraph.schemas import EVENT_LOG
 from srcgraph.streaming import events as ev
 from srcgraph.streaming import live, stateful
 
+ROOT = Path(__file__).resolve().parents[1]
+SF = "/root/testdata/sf0.001"
 COLS = "session_id bigint, seq bigint, at bigint, event string, data string"
 
 
@@ -108,3 +117,85 @@ def test_late_rows_are_set_aside_and_bursts_equal_the_batch(spark, tmp_path):
     got, _ = run(spark, live.burst_stream(live.in_time(spark, out), "90 seconds", "60 seconds"), str(tmp_path), "bursts")
     plain = lambda df: sorted(tuple(r) for r in df.filter("session_id < 9").select("session_id", "burst_start", "burst_end", "n").collect())
     assert plain(spark.read.parquet(got)) == plain(ev.session_windows(kept, 90))
+
+
+def test_queries_need_neither_the_path_nor_the_state_store_of_the_session(tmp_path):
+    """A session as Spark gives it, started elsewhere: the streaming runner cannot import this package."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate())
+queries, keys = entry.queries(), ("session_id", "id", "ord")
+before = spark.conf.get({stateful._PROVIDER!r}, None)
+got = sorted(tuple(r[k] for k in keys) for r in queries["streamed_nodes"](spark, {SF!r}).collect())
+accepted = queries["gated_events"](spark, {SF!r}).count()
+assert spark.conf.get({stateful._PROVIDER!r}, None) == before
+print("FOUND", len(got), accepted)
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    nodes, accepted = map(int, re.search(r"FOUND (\d+) (\d+)", done.stdout).groups())
+    assert 0 < nodes < accepted
+
+
+class _Handle:
+    """State of one key in memory, and the timers set."""
+
+    def __init__(self):
+        self.states, self.timers, self.reads = {}, [], 0
+
+    def getListState(self, name, schema):
+        return _State(self)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _State:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.handle.reads += len(self.value)
+        return self.value
+
+    def put(self, rows):
+        self.value = rows
+
+    def appendList(self, rows):
+        self.value = [*(self.value or []), *rows]
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_batch_reads_what_it_holds_once(tmp_path):
+    """Of 3,000 events at as many times, held rows are read in blocks, once a batch, and one timer is set."""
+    handle, gate = _Handle(), stateful._Gate(1000)
+    gate.init(handle)
+    rows = [(i % 100, i, "node:added", None, i * 10**6, i * 1000, i == 150, True, 1, 0) for i in range(3000)]
+    list(gate.handleInputRows((1, 0), iter(rows), None))
+    assert handle.timers == [0, 151_000]
+    handle.reads = 0
+    fire = lambda now: list(gate.handleExpiredTimer((1, 0), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None))
+    assert [r["seq"] for r in fire(299_000)] == [i for i in range(300) if i != 250]
+    assert handle.timers == [0, 151_000, 300_000] and handle.reads < 10
+    assert [r["seq"] for r in fire(10**9)] == [i for i in range(300, 3000) if i % 100 != 50]
+    assert handle.reads < 20 and not gate.held.rows() and not gate.closed.rows()
+
+
+def test_state_is_keyed_by_groups_of_sessions(spark):
+    """A key costs exchanges with the state store, so there are not more keys the more sessions there are."""
+    log = spark.range(20_000).select(
+        F.col("id").alias("session_id"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"),
+        F.lit("node:added").alias("event"), F.lit("{}").alias("data"))
+    keys = stateful._salted(log, F.col("seq")).groupBy("grp", "salt").count().agg(F.count("*"), F.max("count")).first()
+    assert keys[0] == stateful.GROUPS * stateful.SALTS and keys[1] < 100
