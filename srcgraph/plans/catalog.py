@@ -716,16 +716,37 @@ def ignored_events(spark, sf):
     return ev.ignored_events(event_log(spark, sf)).select("session_id", "seq", "event", "close_seq")
 
 
-def _as_stream(spark, log, files: int):
-    """The log, written in `files` files by time, as a stream of one file a batch; a later row lets time run on."""
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    log = log.select("session_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "event", "data")
-    log.repartitionByRange(files, "ts").write.parquet(f"{folder}/log")
-    end = log.agg(F.max("ts").alias("ts")).select(
-        F.lit(None).cast("bigint").alias("session_id"), F.lit(0).cast("bigint").alias("seq"),
-        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end of log").alias("event"), F.lit("{}").alias("data"))
-    end.write.mode("append").parquet(f"{folder}/log")
-    return spark.readStream.schema(EVENT_LOG).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"), folder
+class _Replay:
+    """A log that arrives in `parts` parts by time, and a row a month later that lets time run on.
+
+    Every part is written in files of about the size that adaptive execution advises, and becomes one batch:
+    no task writes or reads a part of the log.
+    """
+
+    def __init__(self, spark, log, parts: int) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+        self.log = log.select("session_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "event", "data")
+        self.cuts = self.log.agg(
+            F.percentile_approx("ts", [i / parts for i in range(1, parts)]).alias("cuts"), F.max("ts").alias("end")).first()
+        self.arrived = 0
+
+    def _parts(self):
+        edges = [None, *(self.cuts["cuts"] or []), None]
+        for low, high in zip(edges, edges[1:]):
+            after = F.lit(True) if low is None else F.coalesce(F.col("ts") > F.lit(low), F.lit(True))
+            until = F.lit(True) if high is None else F.coalesce(F.col("ts") <= F.lit(high), F.lit(False))
+            yield self.log.filter(after & until).hint("rebalance")
+        end = F.lit(self.cuts["end"]).cast("timestamp") + F.expr("INTERVAL 30 DAYS")
+        yield self.spark.range(1).select(
+            F.lit(None).cast("bigint").alias("session_id"), F.lit(0).cast("bigint").alias("seq"), end.alias("ts"),
+            F.lit("end of log").alias("event"), F.lit("{}").alias("data"))
+
+    def through(self, *steps: Callable[[DataFrame], None]) -> None:
+        """Let part after part arrive, and run each of `steps` on the stream until it has caught up."""
+        for part in self._parts():
+            part.write.mode("append").parquet(f"{self.folder}/log")
+            for step in steps:
+                step(self.spark.readStream.schema(EVENT_LOG).parquet(f"{self.folder}/log"))
 
 
 def _run(stream, out: str, state: str) -> None:
@@ -735,8 +756,9 @@ def _run(stream, out: str, state: str) -> None:
 
 def _gated(spark, sf):
     """The event log through the stateful gate, in two batches and the one that lets time run on."""
-    stream, folder = _as_stream(spark, view(spark, sf, "event_log"), 2)
-    _run(stateful.gated(stream, "1 hour", keep="60 days"), f"{folder}/accepted", f"{folder}/gate")
+    replay = _Replay(spark, view(spark, sf, "event_log"), 2)
+    folder = replay.folder
+    replay.through(lambda log: _run(stateful.gated(log, "1 hour", keep="60 days"), f"{folder}/accepted", f"{folder}/gate"))
     return spark.read.schema(EVENT_LOG).parquet(f"{folder}/accepted").filter("session_id IS NOT NULL"), folder
 
 
@@ -749,8 +771,8 @@ def gated_events(spark, sf):
 @query
 def streamed_nodes(spark, sf):
     accepted, folder = _gated(spark, sf)
-    stream, _ = _as_stream(spark, accepted, 2)
-    _run(stateful.folded(stream, "node:added", F.col("node_added.id"), "1 hour"), f"{folder}/nodes", f"{folder}/fold")
+    fold = lambda log: stateful.folded(log, "node:added", F.col("node_added.id"), "1 hour")
+    _Replay(spark, accepted, 2).through(lambda log: _run(fold(log), f"{folder}/nodes", f"{folder}/fold"))
     changes = spark.read.schema("session_id bigint, id string, ord bigint, data string").parquet(f"{folder}/nodes")
     last = changes.groupBy("session_id", "id").agg(F.max_by("data", "ord").alias("data"), F.max("ord").alias("ord"))
     node = F.from_json("data", EVENT_PAYLOADS["node:added"])
@@ -789,9 +811,12 @@ def session_windows(spark, sf):
 @query
 def streamed_bursts(spark, sf):
     """Bursts out of a stream whose late rows were set aside; the log's last row lets time run on, so that all are closed."""
-    stream, folder = _as_stream(spark, view(spark, sf, "event_log"), 2)
-    live.split_late(stream, f"{folder}/split", f"{folder}/split-state", "1 hour", available_now=True).awaitTermination()
-    _run(live.burst_stream(live.in_time(spark, f"{folder}/split"), "4 hours", "1 hour"), f"{folder}/bursts", f"{folder}/bursts-state")
+    replay = _Replay(spark, view(spark, sf, "event_log"), 2)
+    folder = replay.folder
+    replay.through(
+        lambda log: live.split_late(log, f"{folder}/split", f"{folder}/split-state", "1 hour", available_now=True).awaitTermination(),
+        lambda _: _run(live.burst_stream(live.in_time(spark, f"{folder}/split"), "4 hours", "1 hour"), f"{folder}/bursts", f"{folder}/bursts-state"),
+    )
     found = spark.read.schema("session_id bigint, burst_start timestamp, burst_end timestamp, n bigint").parquet(f"{folder}/bursts")
     return found.filter("session_id IS NOT NULL").select("session_id", _ts("burst_start"), _ts("burst_end"), "n")
 
