@@ -36,3 +36,12 @@ def test_pairs_are_joined_by_bucket_not_by_session(spark):
     plan = build.related_targets(ranges(spark, {1: 4}), ranges(spark, {1: 4}).filter(F.col("source_place") == 1))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "bucket" in text and "Cross" not in text
+
+
+def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    """All 1,124,250 pairs of one session of 1,500 entities: the small inputs do not put them into a few tasks."""
+    monkeypatch.setattr(build, "PAIRS_A_TASK", 20_000)
+    related = ranges(spark, {1: 1500})
+    got = build.related_targets(related, related).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 1500 * 1499 // 2
+    assert max(r["count"] for r in got) < 200_000
