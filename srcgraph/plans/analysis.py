@@ -6,6 +6,7 @@ A session is the analysis of one repository, so `session_id` is the repository i
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ def analyze(
     source: DataFrame,
     service_answers: DataFrame | None = None,
     feature_answers: DataFrame | None = None,
-    verdict_answers: DataFrame | None = None,
+    verdict_answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     entry_points: DataFrame | None = None,
     endpoint_answers: DataFrame | None = None,
     entity_answers: DataFrame | None = None,
@@ -61,7 +62,8 @@ def analyze(
 
     Endpoints, entities and external services come from the extraction rules, services
     and features from answers; records of endpoint, entity and external answers
-    join what the rules found. File contents are read once: what rules, services and
+    join what the rules found. Verdicts can be a function of the resolved nodes, which are then written
+    and handed to it, so that a review needs no analysis of its own. File contents are read once: what rules, services and
     frameworks need of them is written and used from there on.
     """
     work = Workspace(source.sparkSession, work_dir)
@@ -132,6 +134,9 @@ def analyze(
     final_edges = resolve.remap_edges(all_edges, id_map)
     removed = None
     if verdict_answers is not None:
+        if callable(verdict_answers):
+            final_nodes = work.saved("resolved_nodes", final_nodes)
+            verdict_answers = verdict_answers(final_nodes)
         verdicts = responses.parse_verdicts(verdict_answers)
         removed = resolve.removed_ids(verdicts)
         final_nodes, final_edges = resolve.apply_verdicts(final_nodes, final_edges, verdicts)
