@@ -3,7 +3,7 @@
 Rows of a group stand in the order of their ids; runs of `arity` consecutive nodes get a
 parent until one is left, the group's subroot; subroots in the order of their groups
 get the root in the same way. A level is a self-join: every node looks its siblings up by
-their computed places (its run's other slots), and the rows of slot zero emit the
+their computed places (its run's other slots), which come from one shuffle by runs, and the rows of slot zero emit the
 parents. Proofs go down again: a node's proof is its siblings, then its parent's proof.
 
 Digests are kept as 32 bytes and hashed as hexadecimal text. Places come from
@@ -84,21 +84,19 @@ def _depth(n: int, arity: int) -> int:
 
 
 def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Add `sibs`: the digests of the run's other nodes, left to right, as one binary.
+    """Add `run`, the parent's place, and `sibs`: the digests of the run's other nodes, left to right, as one binary.
 
-    nodes  (tree, place, digest, ...), places of a tree from 0 without gaps
+    nodes  (tree, height, place, digest), places of a tree from 0 without gaps
     """
-    slot = F.col("place") % arity
-    names = [f"sib{j}" for j in range(arity - 1)]
-    out = nodes
-    for j, name in enumerate(names):
-        # The run's other slots: those before the node's own keep their number, the rest move up by one.
-        at = F.col("place") - slot + F.when(slot > j, j).otherwise(j + 1)
-        lookup = nodes.select("tree", F.col("place").alias("at"), F.col("digest").alias(name))
-        # Merged, not broadcast: a job has dozens of these joins, and their tables would add up on the driver.
-        out = out.withColumn("at", at).join(lookup.hint("merge"), ["tree", "at"], "left").drop("at")
-    sibs = F.concat(*[F.coalesce(name, F.lit("").cast("binary")) for name in names])
-    return out.withColumn("sibs", sibs).drop(*names)
+    slot, keys = F.col("place") % arity, ["tree", "height", "run"]
+    names = [f"slot{j}" for j in range(arity)]
+    # Both sides of the join read this one shuffle: planned apart, a job's exchanges filled the driver's memory.
+    dealt = nodes.withColumn("run", _div(F.col("place"), arity)).repartition(*keys)
+    runs = dealt.groupBy(*keys).agg(*[F.max(F.when(slot == j, F.col("digest"))).alias(name) for j, name in enumerate(names)])
+    none = F.lit("").cast("binary")
+    sibs = F.concat(*[F.when(slot == j, none).otherwise(F.coalesce(name, none)) for j, name in enumerate(names)])
+    # Merged, not broadcast: a job has dozens of these joins, and their tables would add up on the driver.
+    return dealt.join(runs.hint("merge"), keys).withColumn("sibs", sibs).drop(*names)
 
 
 def climb(nodes: DataFrame, highest: int, arity: int,
@@ -109,7 +107,7 @@ def climb(nodes: DataFrame, highest: int, arity: int,
            `highest`
     keep   writes a frame and reads it back
 
-    Level k holds (tree, height, place, digest, sibs) of trees that are higher than k, tops (tree, height, top).
+    Level k holds (tree, height, run, place, digest, sibs) of trees that are higher than k, tops (tree, height, top).
     """
     levels, tops, now = [], [], nodes
     for k in range(highest):
@@ -119,21 +117,21 @@ def climb(nodes: DataFrame, highest: int, arity: int,
         # Slot zero has its whole run: itself, then its siblings.
         whole = digest(_hex(F.concat("digest", "sibs")))
         now = level.filter(F.col("place") % arity == 0).select(
-            "tree", "height", _div(F.col("place"), arity).alias("place"), F.unhex(whole).alias("digest"),
+            "tree", "height", F.col("run").alias("place"), F.unhex(whole).alias("digest"),
         )
     tops.append(now.select("tree", "height", F.col("digest").alias("top")))
     return levels, keep(reduce(DataFrame.unionByName, tops))
 
 
-def descend(levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
+def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
     """`(tree, place, path)` of the lowest nodes: siblings level by level, then what stands above the tree.
 
     above  (tree, height, path): the proof of each tree's top
     """
     paths = above.filter(F.col("height") == len(levels)).select("tree", F.lit(0).cast("bigint").alias("place"), "path")
     for height in reversed(range(len(levels))):
-        parents = paths.select("tree", F.col("place").alias("up"), F.col("path").alias("rest"))
-        joined = levels[height].withColumn("up", _div(F.col("place"), arity)).join(parents.hint("merge"), ["tree", "up"])
+        parents = paths.select("tree", F.col("place").alias("run"), F.col("path").alias("rest"))
+        joined = levels[height].join(parents.hint("merge"), ["tree", "run"])
         alone = above.filter(F.col("height") == height).select("tree", F.lit(0).cast("bigint").alias("place"), "path")
         paths = joined.select("tree", "place", F.concat("sibs", "rest").alias("path")).unionByName(alone)
         if height and height % LEVELS_A_PLAN == 0:
@@ -193,9 +191,9 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
 
     highest, above_all = _depth(largest, arity), _depth(groups, arity)
     height = reduce(lambda a, b: a + b, [(F.col("n") > arity**k).cast("int") for k in range(highest)], F.lit(0))
-    leaves = lookup_join(placed, trees, ["named", "group"]).select(
+    leaves = cut(lookup_join(placed, trees, ["named", "group"]).select(
         "id", "tree", "n", height.alias("height"), (F.col("nth") - 1).alias("place"), "digest", "seen",
-    )
+    ))
     keep = _tables(docs.sparkSession)
     levels, tops = climb(leaves.select("tree", "height", "place", "digest"), highest, arity)
     over = tops.select(
@@ -204,12 +202,12 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
     )
     upper, root = climb(over, above_all, arity, keep)
     none = root.select("tree", "height", F.lit("").cast("binary").alias("path"))
-    tails = descend(upper, none, arity).select(F.col("place").alias("tree"), "path")
+    tails = descend(upper, none).select(F.col("place").alias("tree"), "path")
     # The root is one row, so that its digest is a constant.
     top = root.first()
     value = F.lit(None).cast("binary") if top is None else F.lit(top["top"])
     above = keep(tops.join(tails, "tree").withColumn("root", value))
-    paths = descend(levels, above.select("tree", "height", "path"), arity)
+    paths = descend(levels, above.select("tree", "height", "path"))
 
     known = lookup_join(
         leaves.join(paths.hint("merge"), ["tree", "place"]), above.select("tree", F.col("top").alias("subroot"), "root"), ["tree"],

@@ -163,6 +163,15 @@ def test_manifest_of_one_row_and_of_none(spark):
     assert listed(spark, []) == []
 
 
+def test_a_level_of_the_manifest_is_one_join_over_one_shuffle(spark):
+    nodes = spark.createDataFrame([(0, 2, p, bytes([p])) for p in range(5)], "tree bigint, height int, place bigint, digest binary")
+    level = merkle.with_siblings(nodes, 3)
+    got = {r["place"]: (r["run"], bytes(r["sibs"])) for r in level.collect()}
+    assert got == {0: (0, b"\1\2"), 1: (0, b"\0\2"), 2: (0, b"\0\1"), 3: (1, b"\4"), 4: (1, b"\3")}
+    plan = level._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") == 1 and plan.count("ReusedExchange") == 1
+
+
 # --- host rules --------------------------------------------------------------------
 
 def counted(text):
