@@ -1,6 +1,6 @@
 """A written inverted index of facts: postings in blocks with bounds, searched without reading blocks that cannot matter.
 
-Facts are tokenised once, when a batch of them is added. They are put in order of their lengths and cut into
+Facts are tokenised once, when a batch of them is added. They are put in order of their sizes and cut into
 ranges; a word's postings of one range are a block, which keeps its highest count and its smallest length.
 From these follows the most that the block can add to a score, for whatever average length and document
 frequency hold when a question is asked; what the blocks of a range add up to bounds all its facts.
@@ -15,15 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcgraph.functions.joins import BROADCAST_ROWS, fits_broadcast, keyed_join
+from srcgraph.functions.joins import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, keyed_join
 from srcgraph.functions.ranking import first_n, in_order
 from srcgraph.operators.search import K1, TOP_FACTS, B, context_of, matched, ranked, words
-from srcgraph.session import cut
+from srcgraph.session import cut, send_package
 
 #: A range holds at most 2**RANGE_BITS facts, so a block at most as many postings.
 RANGE_BITS = 9
 #: Ranges that are scored to get a floor.
 PROBES = 4
+#: Words that a task holds before it gathers the ranges it has whole.
+GATHERED = 1 << 21
+#: Questions whose weights for a block go in one row, about.
+PART = 1024
 #: Scores are rounded to six places; ranges this close to the floor are read.
 MARGIN = 1e-5
 
@@ -39,19 +43,74 @@ def add_facts(facts: DataFrame, path: str, batch: int) -> None:
     uuid is unique over all batches. A batch that is written again replaces itself, so that a job may be repeated; a
     null fact has no words and no length. The table of facts is written last, and only batches that it has are read.
     """
-    split = facts.select("group_id", "uuid", "fact", words(F.col("fact")).alias("words"))
-    placed = in_order(split.withColumn("len", F.size("words")), ["group_id"], ["len", "uuid"])
-    ranged = placed.withColumn("range", F.shiftright("__at", RANGE_BITS))
-    said = ranged.select("group_id", "uuid", "len", "range", F.explode("words").alias("word"))
-    counts = said.repartition("uuid").groupBy("uuid", "group_id", "len", "range", "word").agg(
-        F.count("*").cast("int").alias("tf"))
-    blocks = counts.groupBy("group_id", "word", "range").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
-        F.collect_list(F.struct("uuid", "tf", "len")).alias("postings"),
-    )
-    blocks.repartitionByRange("word", "group_id", "range").sortWithinPartitions("word", "group_id").write.mode("overwrite").parquet(
-        f"{path}/postings/batch={batch}")
-    ranged.select("group_id", "uuid", "len", "fact").write.mode("overwrite").parquet(f"{path}/facts/batch={batch}")
+    # Ordered by bytes, which follow the number of words: so texts are not split while they are dealt.
+    placed = in_order(facts.select("group_id", "uuid", "fact", F.octet_length("fact").alias("bytes")), ["group_id"], ["bytes", "uuid"])
+    ranged = placed.select("group_id", "uuid", "fact", F.shiftright("__at", RANGE_BITS).alias("range"))
+    # Texts are dealt by ranges, once; their words are counted and gathered there.
+    said = ranged.repartition("range").sortWithinPartitions("range").select(
+        "group_id", "uuid", "range", words(F.col("fact")).alias("words"))
+    send_package(facts.sparkSession)
+    kinds = dict(facts.dtypes)
+    blocks = said.mapInArrow(_gather, (
+        f"group_id {kinds['group_id']}, word string, range bigint, n bigint, max_tf int, min_len int, "
+        f"postings array<struct<uuid: {kinds['uuid']}, tf: int, len: int>>"))
+    blocks.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    ranged.select("group_id", "uuid", F.size(words(F.col("fact"))).alias("len"), "fact").write.mode("overwrite").parquet(
+        f"{path}/facts/batch={batch}")
+
+
+def _gather(batches):
+    """Blocks of rows (group_id, uuid, range, words) that are sorted by range, as a function of Arrow batches."""
+    import pyarrow as pa
+
+    held, n_words = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n_words += len(batch.column(3).flatten())
+        if n_words > GATHERED:
+            table = pa.Table.from_batches(held)
+            ranges = table.column(2).to_numpy()
+            done = int(ranges.searchsorted(ranges[-1]))  # the last range may go on
+            if done:
+                yield from _blocks(table.slice(0, done).combine_chunks())
+            held = table.slice(done).combine_chunks().to_batches()
+            n_words = sum(len(b.column(3).flatten()) for b in held)
+    if held:
+        yield from _blocks(pa.Table.from_batches(held).combine_chunks())
+
+
+def _blocks(rows):
+    """Blocks of whole ranges: pairs of a fact and a word are counted, then put together by group, range and word."""
+    import numpy as np
+    import pyarrow as pa
+
+    group, uuid, ranges, said = (c.combine_chunks() for c in rows.columns)
+    lengths = said.value_lengths().fill_null(0).to_numpy()
+    coded = said.flatten().dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    pairs, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * n + coded.indices.to_numpy(), return_counts=True)
+    if not len(pairs):
+        return
+    fact, word = pairs // n, pairs % n
+    kinds = group.dictionary_encode()
+    named = kinds.indices.fill_null(len(kinds.dictionary)).to_numpy().astype("int64")
+    place = np.unique(ranges.to_numpy(), return_inverse=True)[1] * (len(kinds.dictionary) + 1) + named
+    key = place[fact] * n + word
+    order = np.argsort(key, kind="stable")
+    fact, word, tf, key = fact[order], word[order], tf[order], key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    first = pa.array(fact[starts])
+    postings = pa.ListArray.from_arrays(
+        pa.array(np.append(starts, len(key)), pa.int32()),
+        pa.StructArray.from_arrays(
+            [uuid.take(pa.array(fact)), pa.array(tf, pa.int32()), pa.array(lengths[fact], pa.int32())], names=["uuid", "tf", "len"]))
+    yield pa.RecordBatch.from_arrays([
+        group.take(first), coded.dictionary.take(pa.array(word[starts])), ranges.take(first),
+        pa.array(np.diff(starts, append=len(key)), pa.int64()), pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
+        pa.array(np.minimum.reduceat(lengths[fact], starts), pa.int32()), postings,
+    ], names=["group_id", "word", "range", "n", "max_tf", "min_len", "postings"])
 
 
 def indexed_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +129,10 @@ def _weighted(spark: SparkSession, path: str, questions: DataFrame) -> tuple[Dat
     found = cut(matched(stored, vocabulary, ["group_id", "word"], fits_broadcast(asked), "left_semi"))
     df = found.groupBy("group_id", "word").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.col("n_facts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    parts = questions.count() // PART + 1
     weights = keyed_join(keyed_join(asked, df, ["group_id", "word"]), sizes, ["group_id"]).select(
-        "group_id", "question_id", "word", idf.alias("idf"), "avg_len")
+        "group_id", "question_id", "word", idf.alias("idf"), "avg_len",
+        F.pmod(F.xxhash64(F.col("question_id").cast("string")), F.lit(parts)).alias("part"))
     slim = found.select("group_id", "word", "batch", "range", "max_tf", "min_len")
     met = slim.join(weights, ["group_id", "word"]).withColumn(
         "most", F.col("idf") * _share(F.col("max_tf"), F.col("min_len"), F.col("avg_len"))
@@ -84,12 +145,21 @@ _ASKED = ["group_id", "question_id"]
 
 
 def _scored(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
-    """`(uuid, group_id, question_id, score)` over the chosen blocks."""
-    wanted = chosen.select(*_BLOCK, "question_id", "idf", "avg_len")
-    rows = blocks.select(*_BLOCK, "postings").join(wanted, _BLOCK).select(
-        "group_id", "question_id", "idf", "avg_len", F.explode("postings").alias("p"))
+    """`(uuid, group_id, question_id, score)` over the chosen blocks.
+
+    A block moves once for all questions that ask its word, to where its range's other blocks go: there
+    a fact's score is added up without moving what its words add.
+    """
+    wanted = cut(chosen.groupBy(*_BLOCK, "part").agg(F.collect_list(F.struct("question_id", "idf", "avg_len")).alias("asks")))
+    few = fits_broadcast(wanted.drop("asks"), max_bytes=BROADCAST_BYTES // 4) and fits_broadcast(wanted.select(F.explode("asks")))
+    met = blocks.select(*_BLOCK, "postings").join(F.broadcast(wanted) if few else wanted, _BLOCK)
+    place = ["group_id", "batch", "range", "part"]
+    rows = met.select(*place, "asks", "postings").repartition(*place).select(*place, "postings", F.explode("asks").alias("a")).select(
+        *place, F.col("a.question_id").alias("question_id"), F.col("a.idf").alias("idf"), F.col("a.avg_len").alias("avg_len"),
+        F.explode("postings").alias("p"))
     score = F.col("idf") * _share(F.col("p.tf"), F.col("p.len"), F.col("avg_len"))
-    return rows.groupBy(F.col("p.uuid").alias("uuid"), *_ASKED).agg(F.sum(score).alias("score"))
+    sums = rows.groupBy(*place, F.col("p.uuid").alias("uuid"), "question_id").agg(F.sum(score).alias("score"))
+    return sums.select("uuid", *_ASKED, "score")
 
 
 def blocks_to_read(blocks: DataFrame, met: DataFrame, k: int) -> DataFrame:

@@ -1,7 +1,10 @@
 """The written index of facts against scoring all of them."""
 
 import random
+import re
+from collections import Counter
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from srcgraph.operators import factindex, search
@@ -61,3 +64,23 @@ def test_a_batch_without_its_facts_is_not_read(rows, spark, tmp_path):
     spark.read.parquet(f"{path}/postings/batch=1").write.parquet(f"{path}/postings/batch=2")  # broken off before its facts
     got = factindex.search_index(spark, path, rows([("g", 1, "x")], ASKED))
     assert [(r["uuid"], r["rank"]) for r in got.orderBy("rank").collect()] == [("b", 1), ("c", 2), ("a", 3)]
+
+
+def test_words_are_counted_and_gathered_without_moving_them(rows, spark, tmp_path, monkeypatch):
+    wide = []
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **kw: (wide.append(self._df), plain(self, *a, **kw))[1])
+    path, (facts, asked) = str(tmp_path / "index"), corpus(3000, 9)
+    factindex.add_facts(rows(facts, FACTS), path, 0)
+    plan = wide[0]._jdf.queryExecution().executedPlan().toString()
+    assert "/postings" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
+    counted = {(g, w, u): (tf, len(ws)) for g, u, ws in ((g, u, re.findall(r"\w+", (t or "").lower())) for g, u, t in facts)
+               for w, tf in Counter(ws).items()}
+    got = {(r["group_id"], r["word"], p["uuid"]): (p["tf"], p["len"]) for r in spark.read.parquet(f"{path}/postings").collect() for p in r["postings"]}
+    assert got == counted
+    blocks = spark.read.parquet(f"{path}/postings").collect()
+    assert all((b["n"], b["max_tf"], b["min_len"]) == (len(b["postings"]), max(p["tf"] for p in b["postings"]), min(p["len"] for p in b["postings"])) for b in blocks)
+    assert max(b["n"] for b in blocks) <= 1 << factindex.RANGE_BITS and len({(b["group_id"], b["word"], b["range"]) for b in blocks}) == len(blocks)
+    monkeypatch.setattr(factindex, "GATHERED", 50)
+    factindex.add_facts(rows(facts, FACTS), path, 0)
+    assert sorted(map(repr, blocks)) == sorted(map(repr, spark.read.parquet(f"{path}/postings").collect()))
