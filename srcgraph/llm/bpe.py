@@ -2,22 +2,29 @@
 
 Encoding reads a piece byte by byte. After each byte the BPE encoding of the prefix has
 one last token, found by testing which token may follow the last token of a shorter
-prefix. A state holds the token paths to those places from which a coming token may
-still start; what all paths share can no longer change and is emitted. States are made
-when first met and their transitions kept, so known words cost one table step a byte. A
-full table keeps the states from which pieces have branched, and the rest is made anew
-where it is met again.
+prefix. A state holds those places from which a coming token may still start, each with
+the last token before it, so it does not depend on the tokens further back; they are
+read off the states from the piece's end back. States are made when first met and their
+transitions kept, so known words cost one table step a byte. Pieces that are new in a
+slice of rows are read in step, and ask together for what they share. A full table keeps
+the states from which pieces have branched, and the rest is made anew where it is met
+again.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
-import hashlib
 import os
+import sys
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -28,12 +35,17 @@ from srcgraph.llm.common import Batches, kept, map_batches, record, texts, with_
 MAX_STATES = 200_000
 MAX_WORDS = 400_000
 MAX_PAIRS = 600_000
-#: Rows whose ids are held and sent on together.
+#: Rows, and bytes of their texts, whose ids are held and sent on together.
 ROWS = 1000
+BYTES = 1 << 23
 #: Characters that are neither letters, numbers, white space nor an apostrophe.
 ENDS = frozenset(".,;:!?")
-#: No ids, and their decimal form.
-NOTHING = ((), "")
+#: Pieces that are read at once, and the bytes of the longest that is.
+TOGETHER = 1 << 14
+WIDE = 48
+#: Bits of the last token in a place of a state.
+LAST_BITS = 24
+LAST = (1 << LAST_BITS) - 1
 
 
 class Merges:
@@ -135,159 +147,252 @@ class Encoder:
         self.most_states, self.most_words = int(MAX_STATES * room), int(MAX_WORDS * room)
         # \s of the pattern is Unicode white space; this module's also takes in U+001C to U+001F
         self.pattern = regex.compile(pattern)
+        self.length = np.ones(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = [len(token) for token in ranks]
         #: words met lately, and those met before the last time this table was full
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state(((0, -1, ()),))
+        self.ids: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        #: next state by state << 8 | byte
+        self.steps: dict[int, int] = {}
+        self._state((0,))
 
-    def _state(self, places: tuple) -> int:
-        """A state: (node of the token tree, last token, tokens not yet emitted) of each live place, earliest first."""
+    def _state(self, places: tuple[int, ...]) -> int:
+        """A state: each live place, earliest first, as node of the token tree << LAST_BITS | last token + 1.
+
+        The last place is the end of what was read, so its last token is the one that ends there.
+        """
         number = self.ids.setdefault(places, len(self.states))
         if number == len(self.states):
             self.states.append(places)
-            self.steps.append({})
         return number
 
-    def _last(self, state: int, byte: int) -> tuple[int, ...]:
-        """What is still to be emitted if the piece ends with this byte; the state after it need not be made."""
+    def _last(self, state: int, byte: int) -> int:
+        """The token that ends with this byte if the piece does; the state after it need not be made."""
+        step = self.steps.get(state << 8 | byte)
+        if step is not None:
+            return self.states[step][-1] - 1
         child, ends, pairs = self.merges.child, self.merges.ends, self.merges.pairs
-        for node, last, path in self.states[state]:
-            node = child.get(node << 8 | byte)
+        for place in self.states[state]:
+            node = child.get(place >> LAST_BITS << 8 | byte)
             if node is not None and (token := ends[node]) >= 0:
+                last = (place & LAST) - 1
                 fits = last < 0 or pairs.get(last << 32 | token)
                 if fits or fits is None and self.merges.follows(last, token):
-                    return (*path, token)
+                    return token
         raise ValueError(f"no token of the vocabulary ends at byte {byte}")
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Next state and emitted tokens."""
+    def _step(self, state: int, byte: int) -> int:
+        """The next state."""
         child, ends, goes_on, pairs = self.merges.child, self.merges.ends, self.merges.goes_on, self.merges.pairs
-        live, new = [], None
-        for node, last, path in self.states[state]:
-            node = child.get(node << 8 | byte)
+        live, new = [], -1
+        for place in self.states[state]:
+            node = child.get(place >> LAST_BITS << 8 | byte)
             if node is None:
                 continue
-            if new is None and (token := ends[node]) >= 0:
+            if new < 0 and (token := ends[node]) >= 0:
+                last = (place & LAST) - 1
                 fits = last < 0 or pairs.get(last << 32 | token)
                 if fits or fits is None and self.merges.follows(last, token):
-                    new = (*path, token)
+                    new = token
             if goes_on[node]:
-                live.append((node, last, path))
-        if new is None:
+                live.append(node << LAST_BITS | place & LAST)
+        if new < 0:
             raise ValueError(f"no token of the vocabulary ends at byte {byte}")
-        # what the earliest place's path shares with the others, all share
-        shared = len(live[0][2]) if live else len(new)
-        live.append((0, new[-1], new))
-        for _, _, path in live[1:]:
-            while path[:shared] != live[0][2][:shared]:
-                shared -= 1
-        out = new[:shared]
-        if shared:
-            live = [(node, last, path[shared:]) for node, last, path in live]
-        done = self.steps[state][byte] = (self._state(tuple(live)), out)
+        live.append(new + 1)
+        done = self.steps[state << 8 | byte] = self._state(tuple(live))
         return done
 
     def _thin(self) -> None:
         """Make room: keep the states that several bytes have led out of; all go if those are over half of the table."""
         old, steps = self.states, self.steps
-        stay = [i for i, out in enumerate(steps) if len(out) > 1]
+        ways = Counter(key >> 8 for key in steps)
+        stay = [state for state, out in ways.items() if out > 1]
         self._reset()
         if 2 * len(stay) <= self.most_states:
-            number = {i: self._state(old[i]) for i in stay}
-            for i, place in number.items():
-                self.steps[place] = {b: (number[n], out) for b, (n, out) in steps[i].items() if n in number}
+            number = {state: self._state(old[state]) for state in stay}
+            for key, after in steps.items():
+                if key >> 8 in number and after in number:
+                    self.steps[number[key >> 8] << 8 | key & 255] = number[after]
 
     def piece(self, text: bytes) -> tuple[int, ...]:
-        """The tokens of one piece: the piece itself if it is a token, else what the transducer emits."""
+        """The tokens of one piece: the piece itself if it is a token, else those its states lead back through."""
         rank = self.merges.ranks.get(text)
         if rank is None and self.merges.unmade:
             rank = self.merges.unmade.get(text)
         if rank is not None:
             return (rank,)
-        if len(self.steps) >= self.most_states:
+        if len(self.states) >= self.most_states:
             self._thin()
-        out: list[int] = []
-        state, steps = 0, self.steps
+        state, steps, read = 0, self.steps, []
         for byte in text[:-1]:
-            step = steps[state].get(byte)
-            if step is None:
-                step = self._step(state, byte)
-            state, tokens = step
-            if tokens:
-                out += tokens
-        return (*out, *self._last(state, text[-1]))
-
-    def _pieces(self, text: str) -> list[str]:
-        """The matches of the pattern; letters with or without a leading space are one."""
-        letters = text[1:] if text[:1] == " " else text
-        return [text] if letters.isalpha() else self.pattern.findall(text)
-
-    def _word(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a stretch and their decimal form. Kept unless the stretch is long or ends in white space."""
-        known = self.words.get(text)
-        if known is not None:
-            return known
-        known = self.older.get(text)
-        if known is None:
-            if text[-1:] in ENDS and len(text) > 2 and text[-2].isalpha():  # ends as a piece of its own
-                if text[:-1] not in self.words:
-                    (ids, decimals), (last, decimal) = self._word(text[:-1]), self._word(text[-1])
-                    return ids + last, f"{decimals},{decimal}"
-                pieces = [text[:-1], text[-1]]
+            after = steps.get(state << 8 | byte)
+            state = self._step(state, byte) if after is None else after
+            read.append(state)
+        out = [self._last(state, text[-1])]
+        at = len(read) - int(self.length[out[0]])
+        while at >= 0:
+            out.append(self.states[read[at]][-1] - 1)
+            at -= int(self.length[out[-1]])
+        return tuple(out[::-1])
+
+    def _in_step(self, pieces: list[bytes]) -> list[bytes]:
+        """The tokens of pieces of at most WIDE bytes, as bytes of 32-bit numbers, all read byte by byte at once.
+
+        Pieces in the same state that go on with the same byte ask for their step once.
+        """
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-lengths, kind="stable")
+        lengths, width = lengths[order], int(lengths.max())
+        data = np.array(pieces, f"S{width}").view(np.uint8).reshape(-1, width)[order].astype(np.int64)
+        longer = np.searchsorted(-lengths, -np.arange(1, width + 1), "left")  # of more than 1, 2, ... bytes
+        states, get = self.states, self.steps.get
+        state, read = np.zeros(len(pieces), np.int64), len(pieces)
+        tokens = np.zeros((len(pieces), width), np.int64)
+        for at in range(width):
+            go = longer[at]
+            keys, place = np.unique(state[:read] << 8 | data[:read, at], return_inverse=True)
+            going = np.zeros(len(keys), bool)
+            going[place[:go]] = True
+            after = list(map(get, keys.tolist()))
+            ends = []
+            for i, goes in enumerate(going.tolist()):
+                if after[i] is None:
+                    key = int(keys[i])
+                    if not goes:
+                        after[i] = 0
+                        ends.append(self._last(key >> 8, key & 255))
+                        continue
+                    after[i] = self._step(key >> 8, key & 255)
+                ends.append(states[after[i]][-1] - 1)
+            state[:go] = np.array(after, np.int64)[place[:go]]
+            tokens[:read, at] = np.array(ends, np.int64)[place]
+            read = go
+        found = np.full((len(pieces), width), -1, np.int32)
+        rows, at = np.arange(len(pieces)), lengths - 1
+        for column in range(width - 1, -1, -1):
+            last = tokens[rows, at]
+            found[rows, column] = last
+            at = at - self.length[last]
+            rows, at = rows[at >= 0], at[at >= 0]
+            if not len(rows):
+                break
+        back = np.empty(len(pieces), np.int64)
+        back[order] = np.arange(len(pieces))
+        found = found[back]
+        cuts = [0, *((found >= 0).sum(axis=1).cumsum() * 4).tolist()]
+        packed = found[found >= 0].tobytes()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        """The tokens of each piece, as bytes of 32-bit numbers."""
+        ranks, unmade = self.merges.ranks, self.merges.unmade
+        data = [p.encode() for p in pieces]
+        found = [ranks.get(d, unmade.get(d)) if unmade else ranks.get(d) for d in data]
+        short = sorted({d for d, rank in zip(data, found) if rank is None and len(d) <= WIDE})
+        known: dict[bytes, bytes] = {}
+        for i in range(0, len(short), TOGETHER):
+            if len(self.states) >= self.most_states:
+                self._thin()
+            known.update(zip(short[i:i + TOGETHER], self._in_step(short[i:i + TOGETHER])))
+        for d, rank in zip(data, found):
+            if rank is not None:
+                yield rank.to_bytes(4, sys.byteorder)
             else:
-                pieces = self._pieces(text)
-            if len(pieces) == 1:
-                ids = self.piece(text.encode())
-                known = ids, ",".join(map(str, ids))
-            else:  # kept if the longer part of two is a word met before
-                keep = len(pieces) == 2 and pieces[0] in self.words
-                parts = [self._word(p) for p in pieces]
-                known = tuple(chain.from_iterable([ids for ids, _ in parts])), ",".join([d for _, d in parts])
-                if not keep:
-                    return known
+                yield known[d] if len(d) <= WIDE else np.array(self.piece(d), np.int32).tobytes()
+
+    def _keep(self, text: str, ids: bytes) -> None:
+        """Kept unless the stretch is long or ends in white space."""
         if len(text) <= 64 and not text[-1].isspace():
             if len(self.words) >= self.most_words:
                 self.older, self.words = self.words, {}
-            self.words[text] = known
-        return known
-
-    def _encoded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids and their decimal form, for stretches of the text that the pattern never joins.
-
-        A space after a character that is not white space always starts a piece. Only stretches
-        that are not in the table are looked at one by one.
-        """
-        if not text:
-            return []
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + r for r in rest]]
-        words = list(map(self.words.get, parts))
-        if not first:
-            words[0] = NOTHING
-        end = -1
-        for i in [i for i, word in enumerate(words) if word is None]:
-            if i <= end:
+            self.words[text] = ids
+
+    def _stretches(self, texts_: list[str]) -> list[bytes]:
+        """The ids of stretches of text that are not in the table of words, as bytes of 32-bit numbers."""
+        words, older = self.words, self.older
+        pieces_of: list[tuple[list[str], bool] | None] = []
+        ids: dict[str, bytes | None] = {}
+        for text in texts_:
+            if older and (known := older.get(text)) is not None:
+                ids[text] = known
+                pieces_of.append(([text], True))
                 continue
-            part, end = parts[i], i
-            while part[-1].isspace() and end + 1 < len(parts):
+            # a mark after a letter is a piece of its own
+            body = text[:-1] if text[-1] in ENDS and len(text) > 2 and text[-2].isalpha() else text
+            letters = body[1:] if body[0] == " " else body
+            pieces = [body] if letters.isalpha() else self.pattern.findall(body)
+            if body is not text:
+                pieces.append(text[-1])
+            # kept if the longer part of two is a word met before
+            pieces_of.append((pieces, len(pieces) == 1 or len(pieces) == 2 and pieces[0] in words))
+            for piece in pieces:
+                if piece not in ids:
+                    ids[piece] = words.get(piece) or older.get(piece)
+        new = [piece for piece, known in ids.items() if known is None]
+        for piece, known in zip(new, self._encoded(new)):
+            ids[piece] = known
+            self._keep(piece, known)
+        out = []
+        for text, (pieces, keep) in zip(texts_, pieces_of):
+            known = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+            if keep:
+                self._keep(text, known)
+            out.append(known)
+        return out
+
+    def encode_all(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has.
+
+        A space after a character that is not white space always starts a piece, so texts fall into
+        stretches that the pattern never joins. Each stretch that several places share is looked up once.
+        """
+        if not len(texts_):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts_, " ")
+        starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        parts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        first = np.zeros(len(codes), bool)
+        first[starts] = True
+        # what ends in white space may join what follows; before a leading space there is nothing
+        open_ = np.array([not p or p[-1].isspace() for p in parts])[codes]
+        open_[starts] &= np.array([parts[c] != "" for c in codes[starts]])
+        joins = np.zeros(len(codes), bool)
+        joins[1:] = open_[:-1]
+        joins &= ~first
+        own = first | open_ & ~joins
+        plain = np.zeros(len(parts), bool)
+        plain[codes[~(own | joins)]] = True
+        spaced = [" " + p for p in parts]
+        ids = list(map(self.words.get, spaced))
+        which = codes.astype(np.int64)
+        which[joins] = len(ids)
+        ids.append(b"")
+        spaced.append("")
+        for at in np.flatnonzero(own).tolist():
+            end = at + 1
+            while end < len(codes) and joins[end]:
                 end += 1
-                part += parts[end]
-                words[end] = NOTHING
-            words[i] = self._word(part)
-        return words
+            which[at] = len(ids)
+            spaced.append(" " * (not first[at]) + " ".join([parts[c] for c in codes[at:end]]))
+            ids.append(self.words.get(spaced[-1]) if spaced[-1] else b"")
+        missing = [i for i, known in enumerate(ids) if known is None and (i >= len(parts) or plain[i])]
+        for i, known in zip(missing, self._stretches([spaced[i] for i in missing])):
+            ids[i] = known
+        ids = [known or b"" for known in ids]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        known = np.frombuffer(b"".join(ids), np.int32)
+        counts = lengths[which]
+        shift = (lengths.cumsum() - lengths)[which] - (counts.cumsum() - counts)
+        return known[np.repeat(shift, counts) + np.arange(int(counts.sum()))], np.add.reduceat(counts, starts)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self._encoded(text)))
-
-    def encode_with_decimals(self, text: str) -> tuple[list[int], str]:
-        words = self._encoded(text)
-        return list(chain.from_iterable(ids for ids, _ in words)), ",".join([d for ids, d in words if ids])
+        return self.encode_all(pa.array([text]))[0].tolist()
 
 
 class Utf8Machine:
@@ -347,7 +452,7 @@ class Decoder:
     """Streaming decode of token ids: the state machine steps from token to token.
 
     Tokens that are whole characters leave the machine in its resting state, so their
-    texts are kept and stretches of them need no step.
+    texts are kept and texts that consist of them need no step.
     """
 
     def __init__(self, bytes_of: dict[int, bytes]):
@@ -358,6 +463,7 @@ class Decoder:
             text = machine.feed(data)
             if not machine.left and "�" not in text:
                 self.text_of[token] = text
+        self.whole = pa.array(map(self.text_of.get, range(max(bytes_of) + 1)), pa.large_string())
         self.machine = Utf8Machine()
 
     def feed(self, ids: list[int]) -> str:
@@ -374,6 +480,22 @@ class Decoder:
             return "".join(texts_)
         return self.feed(ids) + self.machine.end()
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview | bytes]:
+        """The UTF-8 bytes of texts whose ids lie one after the other, each up to its end."""
+        found = self.whole.take(pa.array(ids))
+        broken = found.is_null().to_numpy(zero_copy_only=False) if found.null_count else None
+        for at, end, data in zip(chain([0], ends), ends, stretches(found, ends)):
+            yield data if broken is None or not broken[at:end].any() else self.decode(ids[at:end].tolist()).encode()
+
+
+def stretches(values: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of a fresh large string array, up to each end one after the other."""
+    _, offsets, data = values.buffers()
+    data = memoryview(data or b"")
+    cuts = np.frombuffer(offsets, np.int64)[ends].tolist() if len(values) else [0] * len(ends)
+    for at, end in zip([0, *cuts], cuts):
+        yield data[at:end]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -400,6 +522,28 @@ def uncollected(batches: Batches) -> Batches:
             gc.enable()
 
 
+def slices(batches: Batches) -> Batches:
+    """The batches in slices of at most ROWS rows, and of BYTES bytes of text unless a single row has more."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if i > start and (i - start == ROWS or held + size > BYTES):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if sizes:
+            yield batch.slice(start)
+
+
+def as_strings(data: pa.Array) -> pa.Array:
+    """Bytes as text; those that are no UTF-8 count as U+FFFD."""
+    try:
+        return data.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([d.decode(errors="replace") for d in data.to_pylist()], pa.string())
+
+
 def _local(path: str) -> str:
     """The file as this machine has it: sent by Spark under its name, or at its own place."""
     return path if os.path.isabs(path) else SparkFiles.get(path)
@@ -419,27 +563,18 @@ def encode_documents(
     """
     def run(batches: Batches) -> Batches:
         encoder, decoder = tools(_local(ranks_path), pattern, room)
-        schema = None
-        for batch in (b.slice(at, ROWS) for b in uncollected(batches) for at in range(0, b.num_rows, ROWS)):
-            fields = [
-                pa.field("id", batch.schema.field("id").type), pa.field("n_tokens", pa.int64()),
-                pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()),
-            ]
-            schema = schema or pa.schema(fields + [pa.field("ids", pa.list_(pa.int32()))] * with_ids)
-            out: list[list] = [[], [], [], []]
-            for text in batch.column("text").to_pylist():
-                ids, decimals = encoder.encode_with_decimals(text.decode(errors="replace"))
-                out[0].append(len(ids))
-                out[1].append(hashlib.sha256(decimals.encode()).hexdigest())
-                out[2].append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    out[3].append(pa.array(ids, pa.int32()))
-            columns = [batch.column("id"), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(out[:3]))]
+        decimals = pa.array([f"{rank}," for rank in range(len(decoder.whole))], pa.large_string())
+        for batch in slices(uncollected(batches)):
+            ids, lengths = encoder.encode_all(as_strings(batch.column("text")))
+            ends = lengths.cumsum()
+            columns = {
+                "id": batch.column("id"), "n_tokens": pa.array(lengths, pa.int64()),
+                "ids_sha256": pa.array([sha256(d[:-1]).hexdigest() for d in stretches(decimals.take(pa.array(ids)), ends)], pa.string()),
+                "decoded_sha256": pa.array([sha256(d).hexdigest() for d in decoder.decode_all(ids, ends)], pa.string()),
+            }
             if with_ids:
-                lengths = pa.array([0, *map(len, out[3])], pa.int32()).to_numpy().cumsum().astype("int32")
-                flat = pa.concat_arrays(out[3]) if out[3] else pa.array([], pa.int32())
-                columns.append(pa.ListArray.from_arrays(pa.array(lengths), flat))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                columns["ids"] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     rest = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_batches(texts(docs, id_col, text_col), run, with_id(docs, id_col, rest))

@@ -1,9 +1,11 @@
 """Byte-level BPE against the rank file's own library, and the streaming decoder."""
 
 import hashlib
+import itertools
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import HealthCheck, given, settings
@@ -111,3 +113,51 @@ def test_thinning_keeps_what_branches(pair, monkeypatch, bound):
     for word in words * 2:
         assert list(fresh.piece(word.encode())) == pair[2].encode_ordinary(word)
         assert len(fresh.states) <= bound + longest
+
+
+def _library_calls(pair, texts, monkeypatch):
+    """An encoder of its own, the steps and ends it has worked out for the texts, and whether its ids are the library's."""
+    fresh, asked = B.Encoder(B.read_ranks(RANKS), PATTERN), []
+    for name in ("_step", "_last"):
+        own = getattr(fresh, name)
+        monkeypatch.setattr(fresh, name, lambda state, byte, own=own, name=name: asked.append((name, state, byte)) or own(state, byte))
+    ids, counts = fresh.encode_all(pa.array(texts))
+    cuts = [0, *counts.cumsum().tolist()]
+    return asked, [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:])] == [pair[2].encode_ordinary(t) for t in texts]
+
+
+def test_new_words_of_many_rows_ask_once(pair, monkeypatch):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice(["th", "é", "an", "tion", "q", "ur"]) for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, k=40)) + rnd.choice(["", ".", "\n", " \n  x", "  "]) for _ in range(50)]
+    texts += ["", " ", "\n \n", "  a", "x" * 200, "日本語" * 30, " ".join(words)]
+    asked, same = _library_calls(pair, texts, monkeypatch)
+    steps = [a for a in asked if a[0] == "_step"]
+    assert same and len(steps) == len(set(steps)) and len(asked) < 1000  # 300 words have some 4,000 bytes
+
+
+def test_states_forget_tokens_that_no_longer_matter(pair, monkeypatch):
+    """Prefixes that end alike share their states, though their open tokens differ."""
+    words = ["".join(p) for p in itertools.product("ab", repeat=8)]
+    assert _library_calls(pair, [" ".join(words)], monkeypatch)[1]
+    fresh = B.Encoder(B.read_ranks(RANKS), PATTERN)
+    fresh.encode(" ".join(words))
+    assert len(fresh.states) < 150
+
+
+def test_slices_of_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(B, "ROWS", 3)
+    monkeypatch.setattr(B, "BYTES", 10)
+    texts = [b"a" * n for n in (1, 1, 1, 1, 9, 1, 1, 50, 2, 2)] + [b"\xff\xfea"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})
+    got = [s.column("text").to_pylist() for s in B.slices([batch, batch.slice(0, 0)])]
+    assert [len(g) for g in got] == [3, 2, 2, 1, 3] and sum(got, []) == texts
+    assert B.as_strings(batch.column("text")).to_pylist()[-1] == "��a"
+
+
+def test_decoder_of_many_texts(pair):
+    texts = ["Hello there", "", "漢字😀 é", "plain", "\U0001f44d\U0001f3fd"]
+    ids, counts = pair[0].encode_all(pa.array(texts))
+    assert [bytes(d).decode() for d in pair[1].decode_all(ids, counts.cumsum())] == texts
+    none, counts = pair[0].encode_all(pa.array(["", ""]))
+    assert [bytes(d) for d in pair[1].decode_all(none, counts.cumsum())] == [b"", b""]
