@@ -522,13 +522,17 @@ def uncollected(batches: Batches) -> Batches:
             gc.enable()
 
 
-def slices(batches: Batches) -> Batches:
-    """The batches in slices of at most ROWS rows, and of BYTES bytes of text unless a single row has more."""
+def slices(batches: Batches, room: float = 1.0) -> Batches:
+    """The batches in slices of at most ROWS rows, and of BYTES bytes of text unless a single row has more.
+
+    room: the share of both bounds that a slice may fill.
+    """
+    rows, most = max(1, int(ROWS * room)), int(BYTES * room)
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
-            if i > start and (i - start == ROWS or held + size > BYTES):
+            if i > start and (i - start == rows or held + size > most):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -564,7 +568,7 @@ def encode_documents(
     def run(batches: Batches) -> Batches:
         encoder, decoder = tools(_local(ranks_path), pattern, room)
         decimals = pa.array([f"{rank}," for rank in range(len(decoder.whole))], pa.large_string())
-        for batch in slices(uncollected(batches)):
+        for batch in slices(uncollected(batches), room):
             ids, lengths = encoder.encode_all(as_strings(batch.column("text")))
             ends = lengths.cumsum()
             columns = {

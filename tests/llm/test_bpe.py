@@ -152,6 +152,7 @@ def test_slices_of_rows_and_bytes(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})
     got = [s.column("text").to_pylist() for s in B.slices([batch, batch.slice(0, 0)])]
     assert [len(g) for g in got] == [3, 2, 2, 1, 3] and sum(got, []) == texts
+    assert [s.num_rows for s in B.slices([batch], 0.4)] == [1] * 11
     assert B.as_strings(batch.column("text")).to_pylist()[-1] == "��a"
 
 
