@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from srcgraph.functions import joins
 from srcgraph.functions.ranking import in_order, position, running_total
-from srcgraph.operators import resolve
+from srcgraph.operators import prompts, resolve
 from srcgraph.streaming import events as ev
 
 SETTINGS = {
@@ -82,3 +83,35 @@ def test_findings_of_one_ord_lie_over_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_product_of_one_session_lies_over_many_tasks(spark, monkeypatch):
+    """Parts of files times batches of nodes, where the batches are too many to be broadcast."""
+    files = spark.range(0, 240, 1, 4).select(
+        (F.col("id") % 3 + F.when(F.col("id") % 3 == 2, 40).otherwise(0)).alias("repo_id"), F.col("id").alias("ord"),
+        F.concat(F.lit("/src/pages/Home"), F.col("id").cast("string"), F.lit("Page.tsx")).alias("path"),
+        F.when(F.col("id") % 3 == 1, "x" * 60).otherwise("y" * 4000).alias("content"),
+    ).withColumn("repo_id", F.when(F.col("ord") % 60 == 59, F.lit(None)).otherwise(F.col("repo_id")))
+    nodes = spark.range(0, 1500, 1, 4).select(
+        F.when(F.col("id") < 1460, 0).otherwise(1).cast("bigint").alias("session_id"), F.col("id").alias("ord"),
+        F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("api").alias("type"), F.lit("L").alias("label"))
+    plain = prompts.feature_prompts(files, nodes, ["ord"]).collect()
+    assert len(plain) == 80 * 2 * 49 + 80 * 2 + 80 * 2 and len({tuple(r) for r in plain}) == len(plain)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(joins, "PAIR_ROWS", 16, raising=False)
+    monkeypatch.setattr(joins, "PAIR_LOOKUPS", 20, raising=False)
+    limits = [k for k in SETTINGS if "BroadcastJoinThreshold" in k]
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k in limits:
+        spark.conf.set(k, "-1")
+    try:
+        dealt = prompts.feature_prompts(files, nodes, ["ord"]).withColumn("__task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(repr, (tuple(r)[:-1] for r in dealt))) == sorted(repr(tuple(r)) for r in plain)
+    per_task = {}
+    for r in dealt:
+        if r["repo_id"] == 0:
+            per_task[r["__task"]] = per_task.get(r["__task"], 0) + 1
+    assert len(per_task) > 8 and max(per_task.values()) < 80 * 2 * 49 / 4
